@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import language_model, toxicity, url_filters
+from .common import doc_remainder, shared_path
+from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .token_counts import token_counts, word_piece_vocabulary
+from .token_files import read_token_files, write_token_files
+
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +23,48 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), word_piece_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = doc_remainder(F.col("doc_id"), 5) == 0
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = url_filters.train(url_filters.labelled_urls(spark))
+    return url_filters.judge_urls(_table(spark, sf_dir, "pages"), model)
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shared_path(spark, "tokens")
+    manifest = write_token_files(_table(spark, sf_dir, "documents"), out, public_tokenizers.path("word_bpe_49k.json"))
+    return read_token_files(manifest, out)
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = doc_remainder(F.col("doc_id"), 10) == 0
+    model = language_model.train(docs.where(~held_out))
+    scored = language_model.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_token_counts": op3_token_counts,
+    "op4_toxicity": op4_toxicity,
+    "op6_url_filters": op6_url_filters,
+    "op7_token_files": op7_token_files,
+    "op9_mixing": op9_mixing,
+    "op10_language_model": op10_language_model,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
