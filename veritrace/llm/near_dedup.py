@@ -108,6 +108,29 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", F.size("x").alias("na"), F.size("y").alias("nb"), F.size(F.array_intersect("x", "y")).alias("common"))
 
 
+def _edges(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of rows (key, class, ...) those of buckets that hold several components, with the component's root."""
+    placed = rows.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    several = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+    return placed.join(several, "key", "left_semi")
+
+
+def _support(rows: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """How many items of each class in an open bucket are in another such class too (class, shared).
+
+    A set has no more in common with any other than that.
+    """
+    classes = _open(rows, roots).select("class").distinct()
+    items = sets.join(classes, "class", "left_semi")
+    alone = items.select("class", F.explode("items").alias("item")).groupBy("item").agg(F.min("class").alias("class"), F.count("*").alias("n")).where("n = 1")
+    lonely = alone.groupBy("class").agg(F.count("*").alias("alone"))
+    return items.select("class", F.size("items").alias("all")).join(lonely, "class", "left").select("class", (F.col("all") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
     """Group near-duplicate documents.
 
@@ -123,10 +146,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
     Documents with equal sets are one class from the start, so copies cost one row each. Classes that
     share a band key are candidates. In a bucket every class is compared with one hub
-    (its least class), not with all others; then the classes of buckets that still hold several
-    components are compared across components, unless their distances to the hub
-    differ by more than the threshold allows (the triangle inequality of the Jaccard
-    distance). All links are confirmed on the full sets of 64-bit hashes. With 32 bands of 5
+    (its least class), not with all others. Buckets that hold several components after that get
+    a second hub, the class whose items are shared most: in a family of edited copies, the one that
+    all others come from. Classes that are still apart are compared across components, unless their
+    sizes or the number of items that they share with any open class rule a link out. All links are confirmed on the full sets of 64-bit hashes. With 32 bands of 5
     rows a pair at exactly 0.8 is missed with probability 3e-6, a closer one with less.
     """
     spark = docs.sparkSession
@@ -157,30 +180,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     )
     tested = written(_verified(first, sets), "tested")
     linked = F.expr(f"100L * common >= {int(percent)}L * (na + nb - common)")
-    edges = tested.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    edges = _edges(tested.where(linked))
     roots = connected_components(edges)
-    # buckets that hold several components after the first round, and more than the one pair already tested
-    near = tested.select(F.col("a").alias("hub"), F.col("b").alias("class"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("far"))
-    placed = (
-        members.where("members > 2")
-        .join(near, ["hub", "class"], "left")
-        .join(roots.withColumnRenamed("node", "class"), "class", "left")
-        .select("key", "hub", "class", "n", F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("root", "class").alias("root"))
-    )
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    rest = written(placed.where("class <> hub").join(open_keys, "key", "left_semi"), "open")
-    x, y = (rest.select("key", *(F.col(c).alias(c + s) for c in ("class", "n", "far", "root"))) for s in ("1", "2"))
-    slack = 1 - percent / 100 + 1e-9
-    second = (
+
+    # Buckets that hold several components now: their most supported class is a second hub.
+    crowded = members.where("members > 2").select("key", "class", "n")
+    still_open = written(_open(crowded, roots).join(_support(crowded, roots, sets), "class"), "open")
+    hubs = still_open.groupBy("key").agg(F.max(F.struct(F.col("shared") / F.col("n"), "class", "root")).alias("hub"))
+    again = still_open.join(hubs, "key").where("root <> hub.root")
+    again = again.select(F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")).distinct()
+    again = written(_verified(again.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets), "tested")
+    edges = edges.union(_edges(again.where(linked)))
+    roots = connected_components(edges)
+
+    # What is open even so is compared across components, where the sizes and the support allow a link.
+    left = _open(still_open.select("key", "class", "n", "shared"), roots)
+    need = F.expr(f"{100 + int(percent)}L * shared >= {int(percent)}L * (n + greatest(least_n, {int(percent)}L * n div 100))")
+    left = left.join(left.groupBy("key").agg(F.min("n").alias("least_n")), "key").where(need).drop("least_n", "root")
+    left = written(_open(left, roots), "open")
+    x, y = (left.select("key", *(F.col(c).alias(c + side) for c in ("class", "n", "shared", "root"))) for side in "12")
+    last = (
         x.join(y, "key")
         .where("class1 < class2 and root1 <> root2")
-        .where(F.abs(F.col("far1") - F.col("far2")) <= slack)
+        .where(f"{100 + int(percent)}L * least(shared1, shared2) >= {int(percent)}L * (n1 + n2)")
         .where(f"100L * least(n1, n2) >= {int(percent)}L * greatest(n1, n2)")
         .select(F.col("class1").alias("a"), F.col("class2").alias("b"))
         .distinct()
-        .join(tested.select("a", "b"), ["a", "b"], "left_anti")
     )
-    more = written(_verified(second, sets).where(linked).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    done = tested.select("a", "b").union(again.select("a", "b"))
+    more = written(_edges(_verified(last.join(done, ["a", "b"], "left_anti"), sets).where(linked)), "links")
     if not more.isEmpty():
         roots = connected_components(edges.union(more))
     named = prints.select("doc_id", "n_shingles", "class").join(roots.withColumnRenamed("node", "class"), "class", "left")
