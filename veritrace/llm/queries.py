@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import language_model, toxicity, url_filters
 from .common import doc_remainder, shared_path
+from .hamming_search import hamming_top_k
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .token_counts import token_counts, word_piece_vocabulary
@@ -23,6 +24,11 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op2_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return hamming_top_k(vectors, vectors.where("vec_id % 50 = 0"), k=10)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), word_piece_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken")))
 
@@ -59,6 +65,7 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_hamming_top_k": op2_hamming_top_k,
     "op3_token_counts": op3_token_counts,
     "op4_toxicity": op4_toxicity,
     "op6_url_filters": op6_url_filters,
@@ -93,4 +100,12 @@ ORACLE_SQL = {
         FROM documents d JOIN reach r ON r.node = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
         GROUP BY d.doc_id
     """,
+    "op2_hamming_top_k": """
+        WITH pairs AS (
+            SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(range(1, 65),
+                lambda i: CASE WHEN (q.embedding[i] > 0) <> (v.embedding[i] > 0) THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+            FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),
+        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM pairs)
+        SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
+    """,
 }
