@@ -108,14 +108,14 @@ def text_chunks(column: pa.Array):
         row = end
 
 
-def hash_words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(offsets: np.ndarray, data: np.ndarray, word_bytes: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray]:
     """Hash the words of the texts of a chunk, A-Z lower-cased.
 
     Returns the 64-bit hashes of all words in order, and for each text where its words begin
     (one entry more than texts). A word's hash depends only on its bytes: a polynomial
-    over byte values, taken as a difference of prefix sums.
+    over byte values, taken as a difference of prefix sums. word_bytes: which bytes are part of a word.
     """
-    word = _IS_WORD[data]
+    word = word_bytes[data]
     before = np.empty(len(data) + 1, dtype=bool)
     before[0] = False
     before[1:] = word

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import language_model, toxicity, url_filters
 from .common import doc_remainder, shared_path
+from .decontamination import find_leaks
 from .hamming_search import hamming_top_k
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
@@ -40,6 +41,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = url_filters.train(url_filters.labelled_urls(spark))
     return url_filters.judge_urls(_table(spark, sf_dir, "pages"), model)
@@ -68,6 +73,7 @@ QUERIES = {
     "op2_hamming_top_k": op2_hamming_top_k,
     "op3_token_counts": op3_token_counts,
     "op4_toxicity": op4_toxicity,
+    "op5_decontamination": op5_decontamination,
     "op6_url_filters": op6_url_filters,
     "op7_token_files": op7_token_files,
     "op9_mixing": op9_mixing,
