@@ -12,6 +12,7 @@ from .decontamination import find_leaks
 from .hamming_search import hamming_top_k
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .substring_dedup import repeated_passages
 from .token_counts import token_counts, word_piece_vocabulary
 from .token_files import read_token_files, write_token_files
 
@@ -56,6 +57,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest, out)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -76,6 +81,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_url_filters": op6_url_filters,
     "op7_token_files": op7_token_files,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_mixing": op9_mixing,
     "op10_language_model": op10_language_model,
 }
