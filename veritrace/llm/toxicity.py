@@ -158,6 +158,15 @@ def _fit(lists: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, bias: float)
     return w * ratio, float(b)
 
 
+def _scores(model: Model, weights: np.ndarray, texts: pa.Array) -> np.ndarray:
+    useful, out = weights != 0, []
+    for _, offsets, data in text_chunks(texts):
+        owner, bucket = _features(offsets, data, useful)
+        out.append(model.bias + np.bincount(owner, weights=weights[bucket], minlength=len(offsets) - 1))
+    z = np.concatenate(out) if out else np.empty(0)
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Score every text: doc_id, score (0 to 1), predicted (1 if score >= 0.5).
 
@@ -168,14 +177,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value.table()
-        useful = weights != 0
         for batch in batches:
-            for row, offsets, data in text_chunks(batch.column("text")):
-                n = len(offsets) - 1
-                owner, bucket = _features(offsets, data, useful)
-                z = shared.value.bias + np.bincount(owner, weights=weights[bucket], minlength=n)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[row : row + n], pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(shared.value, weights, batch.column("text")))], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = rows.mapInArrow(run, "doc_id long, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows whose text scores below 0.5, with all their columns; null and empty texts count as in `score`."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = shared.value.table()
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(shared.value, weights, batch.column(at)) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
