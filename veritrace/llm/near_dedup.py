@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, _GOLDEN, hash_shingles, hash_words, list_column, mix, text_chunks, written
@@ -131,6 +131,33 @@ def _support(rows: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     return items.select("class", F.size("items").alias("all")).join(lonely, "class", "left").select("class", (F.col("all") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
 
+def _prefix_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components that may be linked, by prefix filtering.
+
+    rows: key, class, n, root of open buckets. Two linked sets of sizes n1 and n2 have at least
+    c = percent * (n1 + n2) / (100 + percent) items in common; so if the items of each stand in order of
+    rarity, one of the first n - c + 1 of both is the same. Edited copies that are too far from all others begin with
+    items of their own and meet nobody. One side holds only classes that are not in the
+    component with most of a bucket's classes: of any pair across components one is such.
+    """
+    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("classes")).groupBy("key").agg(F.max(F.struct("classes", "root"))["root"].alias("main"))
+    minor = rows.join(sizes, "key").where("root <> main").select("class").distinct().withColumn("minor", F.lit(True))
+    classes = rows.select("class", "n", "root").distinct().join(minor, "class", "left")
+    items = sets.join(classes, "class").select("class", "n", "root", "minor", F.explode("items").alias("item"))
+    counts = items.groupBy("item").agg(F.count("*").alias("holders")).where("holders > 1")
+    # items that only one class has stand first and match nothing
+    ordered = items.join(counts, "item", "left").withColumn(
+        "rank", F.row_number().over(Window.partitionBy("class").orderBy(F.col("holders").asc_nulls_first(), "item"))
+    )
+    prefix = written(ordered.where(f"holders > 1 and 100L * (n - rank + 1) >= {int(percent)}L * n"), "prefixes")
+    x, y = (prefix.select("item", *(F.col(c).alias(c + side) for c in ("class", "n", "root", "rank", "minor"))) for side in "12")
+    whole, part = 100 + int(percent), int(percent)
+    found = x.where("minor1").join(y, "item").where("class1 <> class2 and root1 <> root2")
+    for side in "12":
+        found = found.where(f"{whole}L * (n{side} - rank{side} + 1) >= {part}L * (n1 + n2)")
+    return found.select(F.least("class1", "class2").alias("a"), F.greatest("class1", "class2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
     """Group near-duplicate documents.
 
@@ -148,8 +175,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     share a band key are candidates. In a bucket every class is compared with one hub
     (its least class), not with all others. Buckets that hold several components after that get
     a second hub, the class whose items are shared most: in a family of edited copies, the one that
-    all others come from. Classes that are still apart are compared across components, unless their
-    sizes or the number of items that they share with any open class rule a link out. All links are confirmed on the full sets of 64-bit hashes. With 32 bands of 5
+    all others come from. Classes that are still apart are compared across components if they share one
+    of their rarest items (prefix filtering, which loses no link). All links are confirmed on the full sets of 64-bit hashes. With 32 bands of 5
     rows a pair at exactly 0.8 is missed with probability 3e-6, a closer one with less.
     """
     spark = docs.sparkSession
@@ -193,22 +220,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     edges = edges.union(_edges(again.where(linked)))
     roots = connected_components(edges)
 
-    # What is open even so is compared across components, where the sizes and the support allow a link.
-    left = _open(still_open.select("key", "class", "n", "shared"), roots)
-    need = F.expr(f"{100 + int(percent)}L * shared >= {int(percent)}L * (n + greatest(least_n, {int(percent)}L * n div 100))")
-    left = left.join(left.groupBy("key").agg(F.min("n").alias("least_n")), "key").where(need).drop("least_n", "root")
-    left = written(_open(left, roots), "open")
-    x, y = (left.select("key", *(F.col(c).alias(c + side) for c in ("class", "n", "shared", "root"))) for side in "12")
-    last = (
-        x.join(y, "key")
-        .where("class1 < class2 and root1 <> root2")
-        .where(f"{100 + int(percent)}L * least(shared1, shared2) >= {int(percent)}L * (n1 + n2)")
-        .where(f"100L * least(n1, n2) >= {int(percent)}L * greatest(n1, n2)")
-        .select(F.col("class1").alias("a"), F.col("class2").alias("b"))
-        .distinct()
-    )
+    # What is open even so is compared across components where a prefix of rare items is shared.
+    left = written(_open(still_open.select("key", "class", "n"), roots), "open")
+    last = _prefix_pairs(left, sets, percent)
     done = tested.select("a", "b").union(again.select("a", "b"))
-    more = written(_edges(_verified(last.join(done, ["a", "b"], "left_anti"), sets).where(linked)), "links")
+    last = written(_verified(last.join(done, ["a", "b"], "left_anti"), sets), "tested")
+    more = written(_edges(last.where(linked)), "links")
     if not more.isEmpty():
         roots = connected_components(edges.union(more))
     named = prints.select("doc_id", "n_shingles", "class").join(roots.withColumnRenamed("node", "class"), "class", "left")
