@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import ids
+from .functions import ids, signal
 from .functions.align import char_error_rate, edit_counts, word_errors
 from .functions.features import build_features, orphan_word_ratio, repeated_ngram_ratio
 from .functions.text import normalize_text, parse_number, strip_accents, words
-from .operators import labels, metrics, summaries
-from .plans import pool
+from .operators import labels, metrics, reports, resample, summaries
+from .plans import models, pool
 from .plans.oracle import LABELLED, MERGED, edits
 from .schema import ROLES
 from .sources import annotations, sinks
+from .store import shared_path
+from .streaming import ingest
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -484,6 +486,21 @@ def o7_histogram(spark, sf_dir):
     return summaries.histogram(_predicted(spark, sf_dir), "label_wer")
 
 
+@query(PREDICTED + ", pooled AS (SELECT * FROM predicted UNION ALL SELECT * REPLACE ('POOL' AS corpus) FROM predicted)" + _regression_sql("pooled", "label_wer", "pred", "corpus"))
+def a22_evaluate_by_dataset(spark, sf_dir):
+    return reports.evaluate_by_dataset(_predicted(spark, sf_dir))
+
+
+@query()
+def m11_classification_report(spark, sf_dir):
+    return reports.classification_report(_predicted(spark, sf_dir), "label_wer", "pred", [0.2, 0.21], [0.05, 50], "segment_id")
+
+
+@query()
+def v18_transfer_report(spark, sf_dir):
+    return reports.transfer_report(_predicted(spark, sf_dir).withColumn("flat", F.lit(0.2)), ["pred", "flat"])
+
+
 # --- features
 
 
@@ -515,3 +532,117 @@ def f1_f2_features(spark, sf_dir):
     rows = build_features(pool.merged(spark, sf_dir).where("hyp_target is not null"))
     names = ["pwer_proxy_a", "pwer_proxy_b", "psub_proxy_a", "pwer_mean", "pwer_spread", "words_per_second", "chars_per_word", "type_token_ratio", "log_duration"]
     return rows.select("segment_id", *(f"features.{n}" for n in names))
+
+
+# --- resampling, models
+
+
+@query()
+def m13_cluster_bootstrap(spark, sf_dir):
+    return resample.cluster_bootstrap(_predicted(spark, sf_dir), "label_wer", "pred", "group_id")
+
+
+@query()
+def m14_paired_bootstrap(spark, sf_dir):
+    rows = _predicted(spark, sf_dir).withColumn("flat", F.lit(0.2))
+    return resample.paired_bootstrap(rows, "label_wer", "flat", "pred", "group_id")
+
+
+@query()
+def m7_concordance_sample(spark, sf_dir):
+    return resample.concordance_sample(_predicted(spark, sf_dir), "label_wer", "pred", "segment_id")
+
+
+@query()
+def m16_call_significance(spark, sf_dir):
+    return resample.call_significance(summaries.call_metrics(_predicted(spark, sf_dir)), margin=0.1)
+
+
+def _complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pool.labelled(spark, sf_dir).where(ids.complete(*ROLES))
+
+
+def _protocol(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return models.summarize(models.run_protocol(_complete(spark, sf_dir), name))
+
+    return run
+
+
+for _name in models.PROTOCOLS:
+    QUERIES[f"v4_protocol_{_name}"] = _protocol(_name)
+
+
+@query()
+def v6_boosted_trees(spark, sf_dir):
+    return models.summarize(models.run_protocol(_complete(spark, sf_dir), "loco", ("pwer", "hgb", "xgb")))
+
+
+@query()
+def v8_ablation(spark, sf_dir):
+    return models.ablation(_complete(spark, sf_dir))
+
+
+@query()
+def v10_permutation_importance(spark, sf_dir):
+    return models.permutation_importance(_complete(spark, sf_dir), n_repeats=1)
+
+
+@query()
+def v11_ridge_coefficients(spark, sf_dir):
+    return models.ridge_coefficients(_complete(spark, sf_dir))
+
+
+@query()
+def a21_metrics_by_stratum(spark, sf_dir):
+    return reports.metrics_by_stratum(models.run_protocol(_complete(spark, sf_dir), "lodo", ("mean", "pwer", "ridge")), "lang")
+
+
+@query()
+def v12_partial_dependence(spark, sf_dir):
+    return models.partial_dependence(_complete(spark, sf_dir), "pwer_mean")
+
+
+@query()
+def v17_export_and_apply(spark, sf_dir):
+    rows = _complete(spark, sf_dir)
+    return summaries.call_estimates(models.apply_export(models.ridge_export(rows), rows))
+
+
+# --- streaming, signals
+
+
+@query("SELECT user_id AS segment_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS system FROM (SELECT user_id, ts, event_id, event_type FROM events) GROUP BY 1")
+def st_incremental_cache(spark, sf_dir):
+    """Events as lines of a cache that arrive in files; the state after all batches."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet")  # a pattern may stand for a file or a folder
+    lines = stream.select(F.col("user_id").alias("segment_id"), F.struct("ts", "event_id").alias("seq"), "event_id", F.col("event_type").alias("system"))
+    cache = shared_path(spark, "cache")
+    ingest.ingest(lines, cache, shared_path(spark, "progress"))
+    return ingest.state(spark.read.parquet(cache)).select("segment_id", "event_id", "system")
+
+
+@query(
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 4) AS s FROM embeddings),
+    m AS (SELECT vec_id, s, list_max(list_transform(s, lambda x: abs(x))) AS top FROM e)
+    SELECT vec_id, list_sum(CASE WHEN top > 0.95 THEN list_transform(s, lambda x: x * (0.95 / top)) ELSE s END) AS total,
+        list_sum(list_transform(s, lambda x: trunc(least(greatest(x, -1.0), 1.0) * 32767)))::BIGINT AS pcm FROM m"""
+)
+def d1_peak_normalize(spark, sf_dir):
+    """Embeddings as samples."""
+    rows = _table(spark, sf_dir, "embeddings").withColumn("s", F.transform("embedding", lambda x: x.cast("double") * 4))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x)
+    return rows.select("vec_id", total(signal.peak_normalize(F.col("s"))).alias("total"), total(signal.to_pcm(F.col("s")).cast("array<double>")).cast("long").alias("pcm"))
+
+
+@query(
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS s FROM embeddings),
+    h AS (SELECT vec_id, list_transform(s, lambda x, i: x + CASE WHEN i > 5 THEN s[i - 5] * 0.5 ELSE 0 END) AS t, s FROM e),
+    m AS (SELECT *, list_max(list_transform(t, lambda x: abs(x))) AS top FROM h)
+    SELECT vec_id, list_sum(CASE WHEN top > 0.95 THEN list_transform(t, lambda x: x * (0.95 / top)) ELSE t END) AS echo, list_sum(s[11:30]) AS cut FROM m"""
+)
+def d5_echo_and_extract(spark, sf_dir):
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x)
+    s = F.col("embedding").cast("array<double>")
+    return _table(spark, sf_dir, "embeddings").select("vec_id", total(signal.echo(s, 5, 0.5)).alias("echo"), total(signal.extract(s, 10, F.lit(1.0), F.lit(3.0))).alias("cut"))
