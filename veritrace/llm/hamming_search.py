@@ -77,7 +77,8 @@ def hamming_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int
         # reached by no step before: segments ahead of this one differ by more than r, the others by r at least
         apart = F.zip_with("query", "code", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
         first_seen = F.forall(F.transform(apart, lambda x, j: x >= r + F.when(j < F.col("at"), 1).otherwise(0)), lambda ok: ok)
-        new = probes.join(index, (F.col("at") == F.col("segment")) & (F.col("probe") == F.col("value")) & first_seen & (_distance("query", "code") <= F.col("bound")))
+        # each query stands for thousands of probes, which the planner does not foresee: no broadcast
+        new = probes.hint("merge").join(index, (F.col("at") == F.col("segment")) & (F.col("probe") == F.col("value")) & first_seen & (_distance("query", "code") <= F.col("bound")))
         new = new.select("query", "code", "ids", "n", _distance("query", "code").alias("distance"))
         every = new if found is None else found.union(new)
         found = written(every.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= k).drop("place"), "found")
