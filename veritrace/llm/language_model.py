@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,32 +98,46 @@ def _load(out: str, name: str) -> np.ndarray:
         return np.load(io.BytesIO(f.read()))
 
 
+def _by_part(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The columns of each part in a task's rows; a task has one part, or several if Spark has put small ones together."""
+    found = [[b.column(c).to_numpy() for c in ["part", *names]] for b in batches if b.num_rows]
+    if found:
+        part, *columns = (np.concatenate(x) for x in zip(*found, strict=True))
+        for k in np.unique(part).tolist():
+            yield k, [c[part == k] for c in columns]
+
+
 def _bigram_parts(out: str):
     """Of a part's bigrams: writes the sorted arrays, and gives what they add to the statistics of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [tuple(b.column(c).to_numpy() for c in ("h", "w", "n")) for b in batches]
-        h, w, n = (np.concatenate([x[i] for x in found]) if found else np.empty(0, np.int64) for i in range(3))
-        h, w = h.view(U64), w.view(U64)
-        part = TaskContext.get().partitionId()
-        key = _key(h, w)
-        for name, mask in (("once", n == 1), ("more", n > 1)):
-            order = np.argsort(key[mask])
-            _save(out, f"{name}-{part:06d}.npy", key[mask][order])
-            if name == "more":
-                _save(out, f"counts-{part:06d}.npy", np.minimum(n[mask][order], 0xFFFFFFFF).astype(np.uint32))
-        words, at = np.unique(np.concatenate([h, w]), return_inverse=True)
-        first, second = at[: len(h)], at[len(h) :]
-        sums = [np.bincount(first[mask], minlength=len(words)) for mask in (n == 1, n == 2, n >= 3)]
-        sums += [np.bincount(second, minlength=len(words)), np.bincount(second, weights=n, minlength=len(words))]
-        names = ["word", "n1", "n2", "n3", "types", "tokens"]
-        columns = [words.view(np.int64), *(x.astype(np.int64) for x in sums)]
-        for a in range(0, len(words), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)]) for x in columns], names)
+        for part, (h, w, n) in _by_part(batches, ["h", "w", "n"]):
+            h, w = h.view(U64), w.view(U64)
+            key = _key(h, w)
+            for name, mask in (("once", n == 1), ("more", n > 1)):
+                order = np.argsort(key[mask])
+                _save(out, f"{name}-{part:06d}.npy", key[mask][order])
+                if name == "more":
+                    _save(out, f"counts-{part:06d}.npy", np.minimum(n[mask][order], 0xFFFFFFFF).astype(np.uint32))
+            words, at = np.unique(np.concatenate([h, w]), return_inverse=True)
+            first, second = at[: len(h)], at[len(h) :]
+            sums = [np.bincount(first[mask], minlength=len(words)) for mask in (n == 1, n == 2, n >= 3)]
+            sums += [np.bincount(second, minlength=len(words)), np.bincount(second, weights=n, minlength=len(words))]
+            names = ["word", "n1", "n2", "n3", "types", "tokens"]
+            columns = [words.view(np.int64), *(x.astype(np.int64) for x in sums)]
+            for a in range(0, len(words), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)]) for x in columns], names)
 
     return run
 
 
+def _present(out: str, name: str) -> list[int]:
+    """Parts of which an array was written; the others have no rows."""
+    filesystem, root = _filesystem(out)
+    files = (f.base_name for f in filesystem.get_file_info(arrow_fs.FileSelector(root)))
+    return sorted(int(f[len(name) + 1 : -4]) for f in files if f.startswith(f"{name}-"))
+
+
 @dataclass
 class Model:
     """Where the arrays are, and the numbers that all words share."""
@@ -136,6 +151,7 @@ class Model:
     bigram_discounts: tuple[float, float, float]
     word_discounts: tuple[float, float, float]
     word_rest: float
+    present: dict[str, list[int]]
 
 
 def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -163,7 +179,7 @@ def train(docs: DataFrame) -> Model:
     filesystem, root = _filesystem(out)
     filesystem.create_dir(root, recursive=True)
     counted = texts.mapInArrow(_count(parts), "part int, h long, w long, n int").repartitionById(parts, "part")
-    bigrams = counted.groupBy("part", "h", "w").agg(F.sum("n").alias("n")).select("h", "w", "n")
+    bigrams = counted.groupBy("part", "h", "w").agg(F.sum("n").alias("n"))
     shares = bigrams.mapInArrow(_bigram_parts(out), "word long, n1 long, n2 long, n3 long, types long, tokens long")
     names = ["n1", "n2", "n3", "types", "tokens"]
     words = written(shares.groupBy("word").agg(*(F.sum(c).alias(c) for c in names)), "words")
@@ -177,16 +193,18 @@ def train(docs: DataFrame) -> Model:
         *(number(f"types = {k}") for k in (1, 2, 3, 4)),
         number("types >= 3"),
     ).first()
-    high = spark.createDataFrame([(i,) for i in range(parts)], "part int").repartition(parts, "part").mapInArrow(_count_of_counts(out), "three long, four long").agg(F.sum("three"), F.sum("four")).first()
+    present = _present(out, "counts")
+    high = spark.createDataFrame([(i,) for i in present], "part int").repartition(parts, "part").mapInArrow(_count_of_counts(out), "three long, four long").agg(F.sum("three"), F.sum("four")).first()
     word_discounts = _discounts(total["types = 1"], total["types = 2"], total["types = 3"], total["types = 4"])
     rest = sum(d * total[c] for d, c in zip(word_discounts, ("types = 1", "types = 2", "types >= 3"), strict=True))
     word_parts = max(1, int(total["tokens > 0"] / 1_000_000) + 1)
     model = Model(
-        out, parts, word_parts, total["tokens"], total["tokens > 0"], total["types"], _discounts(total["n1"], total["n2"], high[0] or 0, high[1] or 0), word_discounts, rest / total["types"] if total["types"] else 1.0
+        out, parts, word_parts, total["tokens"], total["tokens > 0"], total["types"], _discounts(total["n1"], total["n2"], high[0] or 0, high[1] or 0), word_discounts, rest / total["types"] if total["types"] else 1.0, {"bigrams": present}
     )
     part = F.pmod(F.col("word"), F.lit(word_parts)).cast("int").alias("part")
     dealt = words.select(part, "word", *names).repartitionById(word_parts, "part")
     dealt.mapInArrow(_word_parts(model), "n long").agg(F.sum("n")).first()
+    model.present["words"] = _present(out, "words")
     return model
 
 
@@ -204,21 +222,18 @@ def _word_parts(model: Model):
     """Writes a part's words, sorted: hash, count, lower-order probability, weight left to the lower order, occurrences as a context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["word", "n1", "n2", "n3", "types", "tokens"]
-        found = [[b.column(c).to_numpy() for c in names] for b in batches]
-        word, n1, n2, n3, types, tokens = (np.concatenate([x[i] for x in found]) if found else np.empty(0, np.int64) for i in range(6))
-        order = np.argsort(word)
-        word, n1, n2, n3, types, tokens = (x[order] for x in (word, n1, n2, n3, types, tokens))
-        taken = np.array([0, *model.word_discounts])[np.minimum(types, 3)]
-        table = np.empty(len(word), dtype=[("tokens", "<u8"), ("p", "<f4"), ("left", "<f4")])
-        table["tokens"] = tokens
-        table["p"] = np.maximum(types - taken, 0) / max(model.n_types, 1) + model.word_rest / (model.n_words + 1)
-        a, b, c = model.bigram_discounts
-        table["left"] = a * n1 + b * n2 + c * n3
-        part = TaskContext.get().partitionId()
-        _save(model.out, f"words-{part:06d}.npy", word)
-        _save(model.out, f"table-{part:06d}.npy", table)
-        yield pa.RecordBatch.from_arrays([pa.array([len(word)], pa.int64())], ["n"])
+        for part, columns in _by_part(batches, ["word", "n1", "n2", "n3", "types", "tokens"]):
+            order = np.argsort(columns[0])
+            word, n1, n2, n3, types, tokens = (x[order] for x in columns)
+            taken = np.array([0, *model.word_discounts])[np.minimum(types, 3)]
+            table = np.empty(len(word), dtype=[("tokens", "<u8"), ("p", "<f4"), ("left", "<f4")])
+            table["tokens"] = tokens
+            table["p"] = np.maximum(types - taken, 0) / max(model.n_types, 1) + model.word_rest / (model.n_words + 1)
+            a, b, c = model.bigram_discounts
+            table["left"] = a * n1 + b * n2 + c * n3
+            _save(model.out, f"words-{part:06d}.npy", word)
+            _save(model.out, f"table-{part:06d}.npy", table)
+            yield pa.RecordBatch.from_arrays([pa.array([len(word)], pa.int64())], ["n"])
 
     return run
 
@@ -235,6 +250,7 @@ class Reader:
 
     def __init__(self, model: Model):
         self.model, self.open = model, {}
+        self.present = {k: set(v) for k, v in model.present.items()}
 
     def array(self, name: str, part: int) -> np.ndarray:
         key = f"{name}-{part:06d}.npy"
@@ -250,6 +266,8 @@ class Reader:
         left = np.zeros(len(tokens))
         part = tokens.view(np.int64) % m.word_parts
         for k in np.unique(part):
+            if k not in self.present["words"]:
+                continue
             own = np.flatnonzero(part == k)
             at, hit = _find(self.array("words", k), tokens[own].view(np.int64))
             found = self.array("table", k)[at[hit]]
@@ -263,6 +281,8 @@ class Reader:
         order = np.lexsort((key, part))
         cuts = np.searchsorted(part[order], np.arange(self.model.parts + 1))
         for k in np.flatnonzero(np.diff(cuts)):
+            if k not in self.present["bigrams"]:
+                continue
             own = order[cuts[k] : cuts[k + 1]]
             at, hit = _find(self.array("more", k), key[own])
             out[own[hit]] = self.array("counts", k)[at[hit]]
