@@ -28,6 +28,6 @@ def state(cache: DataFrame) -> DataFrame:
 
 def windowed_counts(events: DataFrame, out: str, checkpoint: str, late: str = "10 minutes", width: str = "1 hour") -> None:
     """Counts by event-time window and type, written once the watermark has passed a window."""
-    counts = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
+    counts = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
     flat = counts.select(F.col("window.start").alias("start"), "event_type", "n")
     flat.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
