@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.features import build_features, feature_names, is_transferable
 from ..operators.metrics import gain, regression_metrics
+from ..schema import PROXIES
 from ..store import written
 
 RIDGE_ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0)
@@ -32,10 +33,10 @@ def clipped(pred: Column) -> Column:
     return F.least(F.greatest(pred, F.lit(CLIP[0])), F.lit(CLIP[1]))
 
 
-def design(rows: DataFrame, blocks: tuple[str, ...] = ("proxy", "text"), feature_set: str = "transferable") -> tuple[DataFrame, list[str]]:
+def design(rows: DataFrame, blocks: tuple[str, ...] = ("proxy", "text"), feature_set: str = "transferable", roles: tuple[str, ...] = PROXIES) -> tuple[DataFrame, list[str]]:
     """Rows with `x` (array of features), `y`, and the names of the features in order."""
-    names = [n for n in feature_names(blocks) if feature_set == "full" or is_transferable(n)]
-    made = build_features(rows, blocks)
+    names = [n for n in feature_names(blocks, roles) if feature_set == "full" or is_transferable(n)]
+    made = build_features(rows, blocks, roles)
     kept = ["segment_id", "sample_id", "group_id", "corpus", "lang", "condition", "duration", "n_ref_words", "n_hyp_words", "label_errors"]
     return made.select(*kept, F.col("label_wer").alias("y"), F.array(*(F.col(f"features.{n}") for n in names)).alias("x")), names
 
@@ -188,9 +189,9 @@ def score_trees(rows: DataFrame, names: list[str], folds: list[str], seed: int =
     return out
 
 
-def run_protocol(rows: DataFrame, protocol: str, models: tuple[str, ...] = ("mean", "pwer", "ridge", "lasso"), blocks: tuple[str, ...] = ("proxy", "text"), feature_set: str = "transferable", n_splits: int = 5) -> DataFrame:
+def run_protocol(rows: DataFrame, protocol: str, models: tuple[str, ...] = ("mean", "pwer", "ridge", "lasso"), blocks: tuple[str, ...] = ("proxy", "text"), feature_set: str = "transferable", n_splits: int = 5, roles: tuple[str, ...] = PROXIES) -> DataFrame:
     """Out-of-fold predictions of several models under a protocol."""
-    table, names = design(rows, blocks, feature_set)
+    table, names = design(rows, blocks, feature_set, roles)
     table = written(with_folds(table, protocol, n_splits), "design")
     out = score_linear(table, linear_models(table, names, [m for m in models if m not in ("hgb", "xgb")]))
     for kind in ("hgb", "xgb"):
@@ -217,6 +218,23 @@ def ablation(rows: DataFrame, model: str = "ridge") -> DataFrame:
     return out
 
 
+def single_proxy_ablation(rows: DataFrame, model: str = "ridge") -> DataFrame:
+    """The same model with each proxy alone and with both."""
+    out = None
+    for roles in (*((r,) for r in PROXIES), PROXIES):
+        part = regression_metrics(run_protocol(rows, "group", (model,), roles=roles), "y", "pred", "model").withColumn("proxies", F.lit("+".join(roles)))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def tree_gains(rows: DataFrame, seed: int = 0, steps: int = 30) -> DataFrame:
+    """Share of each feature in the loss that boosted trees on all rows save."""
+    table, names = design(rows)
+    assembled = VectorAssembler(inputCols=names, outputCol="v").transform(written(table.select("y", *(F.col("x")[i].alias(n) for i, n in enumerate(names))), "design"))
+    fitted = GBTRegressor(featuresCol="v", labelCol="y", maxDepth=3, maxIter=steps, stepSize=0.05, minInstancesPerNode=20, seed=seed).fit(assembled)
+    return rows.sparkSession.createDataFrame(list(zip(names, fitted.featureImportances.toArray().tolist(), strict=True)), "feature string, gain double")
+
+
 def ridge_export(rows: DataFrame, blocks: tuple[str, ...] = ("proxy", "text"), feature_set: str = "transferable", alpha: float | None = None) -> str:
     """A ridge on all rows as JSON: names, scaler, coefficients."""
     table, names = design(rows, blocks, feature_set)

@@ -583,6 +583,17 @@ def v8_ablation(spark, sf_dir):
     return models.ablation(_complete(spark, sf_dir))
 
 
+@query()
+def v9_single_proxy_ablation(spark, sf_dir):
+    return models.single_proxy_ablation(_complete(spark, sf_dir))
+
+
+@query()
+def v13_importance_comparison(spark, sf_dir):
+    rows = _complete(spark, sf_dir)
+    return reports.importance_comparison(models.permutation_importance(rows, n_repeats=1), models.tree_gains(rows))
+
+
 @query()
 def v10_permutation_importance(spark, sf_dir):
     return models.permutation_importance(_complete(spark, sf_dir), n_repeats=1)
