@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
 
 import numpy as np
@@ -13,8 +15,10 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1_000
 #: A chunk of texts that is hashed at once holds about this many bytes.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 
 U64 = np.uint64
 _GOLDEN = U64(0x9E3779B97F4A7C15)
@@ -32,6 +36,19 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of BATCH_ROWS at most: buffers for Spark's default of 10,000 would grow to hundreds of MB."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    """doc_id as long and text as string, without the other columns, whatever their names."""
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def doc_remainder(doc_id: Column, k: int) -> Column:
     """crc32 of the id as text, modulo k; a null id counts as the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % k
@@ -64,6 +81,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that no result reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if "/veritrace-" in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(run):
+    """Wrap a function of batches: when a task is done, memory that it has freed goes back to the system.
+
+    Python workers live on for later tasks, and would keep it.
+    """
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            if sys.platform == "linux":
+                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+                if trim:
+                    trim(0)
+
+    return tidied
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, hash_words, mix, shared_path, text_chunks, written
+from .common import U64, discard, hash_words, mix, shared_path, text_chunks, small_batches, texts_of, written
 from .token_files import _filesystem
 
 #: Words are known by 48 bits of hash. Two values that no word has stand for the start and the end of a text.
@@ -172,6 +172,7 @@ def train(docs: DataFrame) -> Model:
     written in the same way. Only totals reach the driver.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     parts = max(8, int(size / 6 / PART_TOKENS) + 1)
@@ -205,6 +206,7 @@ def train(docs: DataFrame) -> Model:
     dealt = words.select(part, "word", *names).repartitionById(word_parts, "part")
     dealt.mapInArrow(_word_parts(model), "n long").agg(F.sum("n")).first()
     model.present["words"] = _present(out, "words")
+    discard(words)
     return model
 
 
@@ -331,5 +333,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 columns = [np.bincount(text, minlength=n), np.bincount(text[count > 0], minlength=n), np.bincount(text, weights=base, minlength=n), np.bincount(text, weights=scores, minlength=n)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[row : row + n], *map(pa.array, columns)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts_of(docs)
     return rows.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, _GOLDEN, hash_shingles, hash_words, list_column, mix, text_chunks, written
+from .common import U64, _GOLDEN, discard, hash_shingles, hash_words, list_column, mix, text_chunks, texts_of, tidy, written
 from .components import connected_components
 
 _LOW = U64(0xFFFFFFFF)
@@ -180,9 +180,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     rows a pair at exactly 0.8 is missed with probability 3e-6, a closer one with less.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts_of(docs)
     prints = written(
-        texts.mapInArrow(_fingerprints(shingle, bands, rows), "doc_id long, n_shingles long, class long, bands array<long>"), "fingerprints"
+        texts.mapInArrow(tidy(_fingerprints(shingle, bands, rows)), "doc_id long, n_shingles long, class long, bands array<long>"), "fingerprints"
     )
     classes = prints.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
     keyed = written(classes.select("class", "n", "doc_id", F.explode("bands").alias("key")), "bands")
@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
         texts.join(leaders, "doc_id", "left_semi")
         .select("text")
         .union(texts.where("doc_id is null").select("text"))
-        .mapInArrow(_full_sets(shingle), "class long, items array<long>")
+        .mapInArrow(tidy(_full_sets(shingle)), "class long, items array<long>")
         .join(wanted.select("class"), "class", "left_semi")
         .dropDuplicates(["class"]),
         "sets",
@@ -228,6 +228,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     more = written(_edges(last.where(linked)), "links")
     if not more.isEmpty():
         roots = connected_components(edges.union(more))
+    discard(keyed, members, wanted, sets, tested, still_open, again, left, last, more)
     named = prints.select("doc_id", "n_shingles", "class").join(roots.withColumnRenamed("node", "class"), "class", "left")
     named = named.withColumn("root", F.coalesce("root", "class"))
     least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))

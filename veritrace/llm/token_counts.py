@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import texts_of
+
 #: Word counts that a worker remembers before it starts anew.
 CACHE_WORDS = 200_000
 
@@ -128,5 +130,5 @@ def token_counts(docs: DataFrame, vocabulary: tuple[list[bytes], list[bytes]]) -
                 tokens.append(sum(map(known.__getitem__, parts)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts_of(docs)
     return rows.mapInArrow(run, "doc_id long, n_words long, n_tokens long")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _IS_WORD, U64, _VALUES, mix, text_chunks
+from .common import U64, _IS_WORD, _VALUES, mix, text_chunks, small_batches, texts_of, tidy
 
 #: Character n-grams (of UTF-8 bytes, A-Z lower-cased) of these lengths are features.
 LENGTHS = (4, 5, 6)
@@ -96,12 +96,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         .toPandas()
     )
     chosen = F.broadcast(spark.createDataFrame(sample.astype("int64"), "doc_id long, toxic long"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("toxic", "text")
+    texts = texts_of(docs).join(chosen, "doc_id").select("toxic", "text")
     n_toxic, n_clean = int(sample.toxic.sum()), int((1 - sample.toxic).sum())
     share = (n_toxic + SMOOTHING) / (n_toxic + n_clean + 2 * SMOOTHING)
     bias = float(np.log(share / (1 - share)))
     counts = (
-        texts.mapInArrow(_count_features, "bucket long, toxic long, clean long")
+        texts.mapInArrow(tidy(_count_features), "bucket long, toxic long, clean long")
         .groupBy("bucket")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .where(F.col("toxic") + F.col("clean") >= MIN_TEXTS)
@@ -131,6 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
                 yield pa.RecordBatch.from_arrays([batch.column("toxic")[row : row + n], pa.array(lists, pa.binary())], ["toxic", "features"])
 
     table = texts.mapInArrow(rows_of, "toxic long, features binary").toPandas()
+    shared.unpersist()
     table = table.assign(features=table.features.map(bytes)).sort_values(["toxic", "features"])  # sums come in the same order in every run
     position = np.zeros(BUCKETS, dtype=np.int64)
     position[buckets] = np.arange(len(buckets))
@@ -180,8 +181,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(shared.value, weights, batch.column("text")))], ["doc_id", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, score double")
+    rows = texts_of(docs)
+    scored = rows.mapInArrow(tidy(run), "doc_id long, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -189,10 +190,11 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows whose text scores below 0.5, with all their columns; null and empty texts count as in `score`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value.table()
         for batch in batches:
             yield batch.filter(pa.array(_scores(shared.value, weights, batch.column(at)) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
