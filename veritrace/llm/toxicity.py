@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, _IS_WORD, _VALUES, mix, text_chunks, small_batches, texts_of, tidy
+from .common import U64, _IS_WORD, _VALUES, hash_sample, mix, text_chunks, small_batches, texts_of, tidy
 
 #: Character n-grams (of UTF-8 bytes, A-Z lower-cased) of these lengths are features.
 LENGTHS = (4, 5, 6)
@@ -87,14 +87,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     has no features and its bias is the smoothed share of toxic labels.
     """
     spark = docs.sparkSession
-    sample = (
-        labels.where("doc_id is not null and toxic is not null")
-        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-        .agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-        .orderBy(F.xxhash64("doc_id", F.lit(42)), "doc_id")
-        .limit(rows)
-        .toPandas()
-    )
+    known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    sample = hash_sample(known, labels.count(), rows, "doc_id").toPandas()
     chosen = F.broadcast(spark.createDataFrame(sample.astype("int64"), "doc_id long, toxic long"))
     texts = texts_of(docs).join(chosen, "doc_id").select("toxic", "text")
     n_toxic, n_clean = int(sample.toxic.sum()), int((1 - sample.toxic).sum())
