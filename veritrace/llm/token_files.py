@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, hash_sample, texts_of, tidy, written
 
 MAGIC = b"TOKIDS01"
 INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("offset", "<u8"), ("size", "<u4"), ("n_tokens", "<u4")])
@@ -32,8 +32,10 @@ TAIL = np.dtype([("index_at", "<u8"), ("entries", "<u8")])
 #: The dictionary: its size, and how many texts of what length at most it is trained on.
 DICTIONARY_BYTES, SAMPLE_TEXTS, SAMPLE_CHARS = 65_536, 600, 16_384
 #: Encoded words that a worker remembers before it starts anew.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 800_000
 DOCS_PER_FILE = 16_384
+#: Texts are encoded together up to so many bytes.
+ENCODE_BYTES = 4_000_000
 
 
 def _filesystem(uri: str) -> tuple[arrow_fs.FileSystem, str]:
@@ -43,9 +45,10 @@ def _filesystem(uri: str) -> tuple[arrow_fs.FileSystem, str]:
 
 
 class WordEncoder:
-    """Encodes texts word by word and remembers words.
+    """Encodes texts by their distinct words, and remembers words.
 
-    It needs a tokenizer of which no token reaches over ASCII white space, as where white space is dropped.
+    It needs a tokenizer of which no token reaches over ASCII white space, as where white space is dropped. Where
+    case makes no difference, or punctuation after a letter is always a token of its own, fewer words are encoded.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -54,18 +57,74 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end_id], dtype="<u4").tobytes()
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {b"": b""}
+        upper, lower, both, marks = (self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("AN EXAMPLE", "an example", "an example.,", ".,"))
+        self.any_case = upper == lower
+        self.marks = b".,;:!?" if both == lower + marks else b""
 
-    def encode(self, text: bytes) -> bytes:
-        words = text.split()
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode words as one text, which costs less than a call each, and cut its ids where words begin."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        begins = np.zeros(len(texts), dtype=np.int64)
+        np.cumsum([len(x) + 1 for x in texts[:-1]], out=begins[1:])
+        word = np.searchsorted(begins, np.array([a for a, _ in found.offsets], dtype=np.int64), side="right") - 1
+        cuts = (4 * np.searchsorted(word, np.arange(len(texts) + 1))).tolist()
+        ids = np.array(found.ids, dtype="<u4").tobytes()
+        self.known.update((w, ids[i:j]) for w, i, j in zip(words, cuts[:-1], cuts[1:], strict=True))
+
+    def _look_up(self, words: list[bytes]) -> list[bytes]:
         known = self.known
-        if missing := [w for w in dict.fromkeys(words) if w not in known]:
-            if len(known) + len(missing) > CACHE_WORDS:
-                known.clear()
-                missing = list(dict.fromkeys(words))
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)
-            known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(missing, found, strict=True))
-        return b"".join([*map(known.__getitem__, words), self.end])
+        found = list(map(known.get, words))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if len(known) + len(missing) > CACHE_WORDS:
+            known.clear()
+            known[b""] = b""
+            missing = range(len(words))
+        new, parts = set(), []
+        for w in (words[i] for i in missing):
+            stem = w.rstrip(self.marks) if self.marks else w
+            if stem != w and stem and (stem[-1:].isalpha() or stem[-1] > 127 and stem.decode("utf-8", "replace")[-1].isalpha()):
+                parts.append((w, stem, w[len(stem) :]))
+                new.update(x for x in parts[-1][1:] if x not in known)
+            else:
+                new.add(w)
+        todo = [w for w in new if w not in known]
+        for i in range(0, len(todo), 20_000):
+            self._learn(todo[i : i + 20_000])
+        known.update((w, known[stem] + known[mark]) for w, stem, mark in parts)
+        for i in missing:
+            found[i] = known[words[i]]
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[bytes, np.ndarray]:
+        """The ids of all texts, each with the end id behind it, and where each text's ids end (in tokens)."""
+        if self.any_case:  # special tokens are written with <| and know case
+            texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        lists = pc.ascii_split_whitespace(texts)
+        distinct = lists.flatten().dictionary_encode()
+        offsets = lists.offsets.to_numpy()
+        places = distinct.indices.to_numpy()
+        ids = [*self._look_up(distinct.dictionary.cast(pa.binary()).to_pylist()), self.end]
+        sizes = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids)) // 4
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
+        ends = offsets[1:] - offsets[0] + np.arange(len(texts))
+        order = np.full(len(places) + len(texts), len(ids) - 1, dtype=np.int32)
+        rest = np.ones(len(order), dtype=bool)
+        rest[ends] = False
+        order[rest] = places
+        size = sizes[order]
+        # ENCODE_BYTES of texts, or one text, have fewer than 2^31 tokens
+        stops = np.cumsum(size, dtype=np.int32)
+        at = np.repeat(starts[order] - (stops - size), size)
+        at += np.arange(len(at), dtype=np.int32)
+        return np.frombuffer(b"".join(ids), dtype="<u4")[at].tobytes(), stops[ends].astype(np.int64)
+
+    def encode_each(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, as bytes."""
+        ids, ends = self.encode(texts)
+        cuts = [0, *(4 * ends).tolist()]
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def train_dictionary(samples: list[bytes]) -> bytes:
@@ -91,10 +150,10 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2
     empty table gives no files.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sample = texts.where(F.length("text").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(SAMPLE_TEXTS)
+    texts = texts_of(docs).fillna("", ["text"])
+    sample = hash_sample(texts.where(F.length("text").between(1, SAMPLE_CHARS)), docs.count(), SAMPLE_TEXTS, "doc_id", "text")
     encoder = WordEncoder(tokenizer, end_id)
-    dictionary = train_dictionary([encoder.encode(r.text.encode()) for r in sample.collect()])
+    dictionary = train_dictionary(encoder.encode_each(pa.array([r.text for r in sample.collect()], pa.string())))
     filesystem, root = _filesystem(out)
     filesystem.create_dir(root, recursive=True)
     with filesystem.open_output_stream(f"{root}/dictionary") as f:
@@ -105,13 +164,15 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2
         encoder = WordEncoder(tokenizer, end_id)
         packer = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(shared.value))
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                sizes, packed = [], []
-                for text in part.column("text").cast(pa.large_binary()):
-                    ids = encoder.encode(text.as_py())
-                    sizes.append(len(ids) // 4)
-                    packed.append(packer.compress(ids))
+            ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+            start = 0
+            while start < batch.num_rows:
+                done = ends[start - 1] if start else 0
+                part = batch.slice(start, max(1, int(np.searchsorted(ends, done + ENCODE_BYTES, side="right")) - start))
+                start += part.num_rows
+                encoded = encoder.encode_each(part.column("text"))
+                sizes = [len(ids) // 4 for ids in encoded]
+                packed = [packer.compress(ids) for ids in encoded]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n_tokens", "packed"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,10 +205,12 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2
             [pa.array([number], pa.int32()), pa.array([name]), pa.array([len(whole)], pa.int64()), pa.array([int(whole["n_tokens"].sum(dtype=np.int64))], pa.int64())], ["file", "path", "docs", "tokens"]
         )
 
-    packed = written(texts.mapInArrow(encode, "doc_id long, n_tokens long, packed binary"), "packed")
+    packed = written(texts.mapInArrow(tidy(encode), "doc_id long, n_tokens long, packed binary"), "packed")
     files = max(1, -(-packed.count() // docs_per_file))
     ordered = packed.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), "n_tokens", F.crc32("packed")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", F.crc32("packed"))
-    return written(ordered.mapInArrow(write, "file int, path string, docs long, tokens long"), "manifest")
+    manifest = written(ordered.mapInArrow(write, "file int, path string, docs long, tokens long"), "manifest")
+    discard(packed)
+    return manifest
 
 
 def read_token_files(manifest: DataFrame, out: str) -> DataFrame:
