@@ -116,6 +116,30 @@ def test_leaks_are_found_and_clean_texts_left_alone(spark):
     assert find_leaks(tables.empty(spark), bench).collect() == [] and find_leaks(table, bench.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("share", [0.19, 0.38])
+def test_leaks_without_their_rarest_words_match_brute_force(spark, share):
+    """With the rarest words replaced, what the rules accept is found, and nothing else."""
+    rng = random.Random(12)
+    common = tables.WORDS[:40]
+    items = [" ".join(rng.choice(common) if rng.random() < 0.6 else f"rare{k}x{j}" for j in range(n)) + ". " + tables.text(rng, 6) + "." for k, n in enumerate((14, 26, 34, 54))]
+    docs, want = [], set()
+    for i in range(80):
+        words = [rng.choice(common) for _ in range(rng.randint(5, 200))]
+        if i % 2 == 0:
+            k = i // 2 % len(items)
+            leak = items[k].replace(".", "").split()
+            at = sorted(range(len(leak) - 6), key=lambda j: (leak[j][:4] != "rare", rng.random()))
+            for j in at[: int(share * len(leak))]:
+                leak[j] = f"new{i}x{j}"
+            place = rng.randint(0, len(words))
+            words[place:place] = leak
+            want.add((i, k))
+        docs.append(tables.row(i, " ".join(words)))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(docs, tables.DOCS), bench).collect()}
+    assert found == want
+
+
 def test_subsequence_length():
     import numpy as np
 
