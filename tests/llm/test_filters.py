@@ -140,6 +140,17 @@ def test_leaks_without_their_rarest_words_match_brute_force(spark, share):
     assert found == want
 
 
+def test_item_of_one_sentence_is_found_by_its_last_words(spark):
+    rng = random.Random(13)
+    item = [f"word{j}" for j in range(30)]
+    leak = [w if j >= 20 or j % 2 else f"new{j}" for j, w in enumerate(item)]  # 20 of 30 words, the last ten among them
+    other = [w if j < 20 or j % 2 else f"new{j}" for j, w in enumerate(leak)]
+    docs = [tables.row(i, f"{tables.text(rng, 40)} {' '.join(w)} {tables.text(rng, 40)}") for i, w in enumerate((leak, other, tables.text(rng, 30).split()))]
+    bench = spark.createDataFrame([(1, " ".join(item) + ".")], "item_id long, text string")
+    found = find_leaks(spark.createDataFrame(docs, tables.DOCS), bench).collect()
+    assert [(r.doc_id, r.lcs) for r in found] == [(0, 20)]
+
+
 def test_subsequence_length():
     import numpy as np
 
