@@ -48,7 +48,8 @@ class WordEncoder:
     """Encodes texts by their distinct words, and remembers words.
 
     It needs a tokenizer of which no token reaches over ASCII white space, as where white space is dropped. Where
-    case makes no difference, or punctuation after a letter is always a token of its own, fewer words are encoded.
+    case makes no difference, or punctuation after a letter is always a token of its own, fewer words are encoded. Where
+    the vocabulary marks the ends of words, the ids of words of letters are cut there, else at the offsets of the words.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -60,43 +61,74 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {b"": b""}
         upper, lower, both, marks = (self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("AN EXAMPLE", "an example", "an example.,", ".,"))
         self.any_case = upper == lower
-        self.marks = b".,;:!?" if both == lower + marks else b""
+        self.marks = ".,;:!?" if both == lower + marks else ""
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _learn(self, words: list[bytes]) -> None:
-        """Encode words as one text, which costs less than a call each, and cut its ids where words begin."""
+        """Encode words as one text, which costs less than a call each, and cut its ids where words end."""
         texts = [w.decode("utf-8", "replace") for w in words]
-        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        begins = np.zeros(len(texts), dtype=np.int64)
-        np.cumsum([len(x) + 1 for x in texts[:-1]], out=begins[1:])
-        word = np.searchsorted(begins, np.array([a for a, _ in found.offsets], dtype=np.int64), side="right") - 1
-        cuts = (4 * np.searchsorted(word, np.arange(len(texts) + 1))).tolist()
-        ids = np.array(found.ids, dtype="<u4").tobytes()
-        self.known.update((w, ids[i:j]) for w, i, j in zip(words, cuts[:-1], cuts[1:], strict=True))
+        # a word of letters ends once, where the tokenizer marks ends of words
+        found = self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0]
+        ids = np.array(found.ids, dtype="<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) == len(texts) and (not len(ids) or ends[-1] == len(ids)) and " ".join(texts).replace(" ", "").isalpha():
+            cuts = [0, *(4 * ends).tolist()]
+        else:
+            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            begins = np.zeros(len(texts), dtype=np.int64)
+            np.cumsum([len(x) + 1 for x in texts[:-1]], out=begins[1:])
+            word = np.searchsorted(begins, np.array([a for a, _ in found.offsets], dtype=np.int64), side="right") - 1
+            cuts = (4 * np.searchsorted(word, np.arange(len(texts) + 1))).tolist()
+        data = ids.tobytes()
+        self.known.update((w, data[i:j]) for w, i, j in zip(words, cuts[:-1], cuts[1:], strict=True))
 
     def _look_up(self, words: list[bytes]) -> list[bytes]:
-        known = self.known
-        found = list(map(known.get, words))
+        """The ids of distinct words."""
+        found = list(map(self.known.get, words))
         missing = [i for i, x in enumerate(found) if x is None]
-        if len(known) + len(missing) > CACHE_WORDS:
-            known.clear()
-            known[b""] = b""
-            missing = range(len(words))
-        new, parts = set(), []
-        for w in (words[i] for i in missing):
-            stem = w.rstrip(self.marks) if self.marks else w
-            if stem != w and stem and (stem[-1:].isalpha() or stem[-1] > 127 and stem.decode("utf-8", "replace")[-1].isalpha()):
-                parts.append((w, stem, w[len(stem) :]))
-                new.update(x for x in parts[-1][1:] if x not in known)
-            else:
-                new.add(w)
-        todo = [w for w in new if w not in known]
-        for i in range(0, len(todo), 20_000):
-            self._learn(todo[i : i + 20_000])
-        known.update((w, known[stem] + known[mark]) for w, stem, mark in parts)
+        if len(self.known) + len(missing) > CACHE_WORDS:
+            self.known = {b"": b""}
+            missing = [i for i, w in enumerate(words) if w]
+        new = [words[i] for i in missing]
+        letters = [w.isalpha() or not w.isascii() and w.decode("utf-8", "replace").isalpha() for w in new]
+        for kind in (True, False):
+            todo = [w for w, x in zip(new, letters, strict=True) if x is kind]
+            for i in range(0, len(todo), 20_000):
+                self._learn(todo[i : i + 20_000])
         for i in missing:
-            found[i] = known[words[i]]
+            found[i] = self.known[words[i]]
         return found
 
+    def _ids(self, words: pa.Array) -> list[bytes]:
+        """The ids of distinct words; marks behind a letter are looked up on their own."""
+        if not self.marks:
+            return self._look_up(words.cast(pa.binary()).to_pylist())
+        stems = pc.ascii_rtrim(words, self.marks)
+        ends = np.frombuffer(stems.buffers()[1], np.int32)[stems.offset : stems.offset + len(stems) + 1][1:]
+        begins = np.frombuffer(stems.buffers()[1], np.int32)[stems.offset : stems.offset + len(stems)]
+        last = np.zeros(len(stems), dtype=np.uint8)
+        last[ends > begins] = np.frombuffer(stems.buffers()[2], np.uint8)[ends[ends > begins] - 1]
+        lower = last | 32
+        letter = (lower >= 97) & (lower <= 122)
+        cut = pc.binary_length(stems).to_numpy(zero_copy_only=False) < pc.binary_length(words).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(cut & (last > 127)).tolist():
+            letter[i] = stems[i].as_buffer().to_pybytes().decode("utf-8", "replace")[-1:].isalpha()
+        cut &= letter
+        distinct = pc.if_else(pa.array(cut), stems, words).dictionary_encode()
+        ids = self._look_up(distinct.dictionary.cast(pa.binary()).to_pylist())
+        at = distinct.indices.to_numpy()
+        out = [ids[i] for i in at.tolist()]
+        marked = np.flatnonzero(cut)
+        whole = words.take(pa.array(marked)).cast(pa.binary()).to_pylist()
+        lengths = (ends - begins)[marked].tolist()
+        marks = [w[n:] for w, n in zip(whole, lengths, strict=True)]
+        of = dict(zip(every := list(dict.fromkeys(marks)), self._look_up(every), strict=True))
+        for i, m in zip(marked.tolist(), marks, strict=True):
+            out[i] += of[m]
+        return out
+
     def encode(self, texts: pa.Array) -> tuple[bytes, np.ndarray]:
         """The ids of all texts, each with the end id behind it, and where each text's ids end (in tokens)."""
         if self.any_case:  # special tokens are written with <| and know case
@@ -105,7 +137,7 @@ class WordEncoder:
         distinct = lists.flatten().dictionary_encode()
         offsets = lists.offsets.to_numpy()
         places = distinct.indices.to_numpy()
-        ids = [*self._look_up(distinct.dictionary.cast(pa.binary()).to_pylist()), self.end]
+        ids = [*self._ids(distinct.dictionary), self.end]
         sizes = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids)) // 4
         starts = np.cumsum(sizes, dtype=np.int32) - sizes
         ends = offsets[1:] - offsets[0] + np.arange(len(texts))
