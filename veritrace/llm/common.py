@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import sys
+import tempfile
 import uuid
 
 import numpy as np
@@ -57,15 +59,13 @@ def doc_remainder(doc_id: Column, k: int) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that is unset (a single machine, as in tests) a folder of our own is used.
+    Where that is unset, a session on a single machine (as in tests) uses a folder of its own; on a cluster it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        import tempfile
-
-        found = tempfile.mkdtemp(prefix="veritrace-")
-        spark.conf.set("spark.veritrace.shared", found)
-        spark.sparkContext.setCheckpointDir(found)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veritrace-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
@@ -81,15 +81,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hash_sample(rows: DataFrame, total: int, n: int, *keys: str) -> DataFrame:
-    """The n rows with the least hash of their keys, of about `total`: the same in every run.
+def hash_sample(rows: DataFrame, total: int, n: int, *keys: str, ties: str | None = None) -> DataFrame:
+    """The n rows with the least hash of their keys, of about `total`: the same in every run. Rows of equal keys go by `ties`.
 
     A threshold on the hash goes first, so that tasks don't each send n rows to be merged.
     """
     place = F.xxhash64(*keys, F.lit(42))
     if total > 16 * n:
         rows = rows.where(place < int(-(2**63) + 2**64 * (8 * n / total)))
-    return rows.orderBy(place, *keys).limit(n)
+    return rows.orderBy(place, *keys, *([ties] if ties else [])).limit(n)
 
 
 def discard(*tables: DataFrame) -> None:
@@ -102,20 +102,22 @@ def discard(*tables: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def tidy(run):
-    """Wrap a function of batches: when a task is done, memory that it has freed goes back to the system.
+def give_back() -> None:
+    """Memory that has been freed goes back to the system."""
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
 
-    Python workers live on for later tasks, and would keep it.
-    """
+
+def tidy(run):
+    """Wrap a function of batches: when a task is done, it gives back memory, as Python workers live on for later tasks."""
 
     def tidied(batches):
         try:
             yield from run(batches)
         finally:
-            if sys.platform == "linux":
-                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-                if trim:
-                    trim(0)
+            give_back()
 
     return tidied
 

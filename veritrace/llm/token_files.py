@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ MAGIC = b"TOKIDS01"
 INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("offset", "<u8"), ("size", "<u4"), ("n_tokens", "<u4")])
 TAIL = np.dtype([("index_at", "<u8"), ("entries", "<u8")])
 #: The dictionary: its size, and how many texts of what length at most it is trained on.
-DICTIONARY_BYTES, SAMPLE_TEXTS, SAMPLE_CHARS = 65_536, 600, 16_384
+DICTIONARY_BYTES, SAMPLE_TEXTS, SAMPLE_BYTES = 65_536, 600, 16_384
 #: Encoded words that a worker remembers before it starts anew.
 CACHE_WORDS = 800_000
 DOCS_PER_FILE = 16_384
@@ -44,12 +45,32 @@ def _filesystem(uri: str) -> tuple[arrow_fs.FileSystem, str]:
     return arrow_fs.FileSystem.from_uri(uri.replace("file:///", "file:/").replace("file:/", "file:///"))
 
 
+#: Letters that no normal form and no lower-casing changes.
+_SMALL_LETTERS = "".join(c for c in map(chr, range(97, 256)) if c.isalpha() and c.islower() and c not in "ªµº")
+_SMALL_WORD = re.compile(f"[{_SMALL_LETTERS}]+")
+
+
+def _byte_spelling(tokenizer) -> dict[int, str]:
+    """How a byte-level tokenizer writes each byte; empty for other tokenizers."""
+    from tokenizers import pre_tokenizers
+
+    step = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    letters = {b: step.pre_tokenize_str(c)[0][0] for c in _SMALL_LETTERS if len(c.encode()) == 2 for b in [c.encode()]}
+    out = {}
+    for two, text in letters.items():
+        if len(text) != 2:
+            return {}
+        out |= dict(zip(two, text, strict=True))
+    return out
+
+
 class WordEncoder:
     """Encodes texts by their distinct words, and remembers words.
 
     It needs a tokenizer of which no token reaches over ASCII white space, as where white space is dropped. Where
-    case makes no difference, or punctuation after a letter is always a token of its own, fewer words are encoded. Where
-    the vocabulary marks the ends of words, the ids of words of letters are cut there, else at the offsets of the words.
+    case makes no difference, or punctuation after a letter is always a token of its own, fewer words are encoded. Words
+    of small Latin letters go to the tokenizer's model alone, where its other steps leave them as they are, but
+    for the bytes that its vocabulary writes as other characters.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -57,31 +78,44 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.end = np.array([end_id], dtype="<u4").tobytes()
         self.known: dict[bytes, bytes] = {b"": b""}
-        upper, lower, both, marks = (self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("AN EXAMPLE", "an example", "an example.,", ".,"))
+        upper, lower, both, marks = (self._ids_of(x) for x in ("AN EXAMPLE", "an example", "an example.,", ".,"))
         self.any_case = upper == lower
         self.marks = ".,;:!?" if both == lower + marks else ""
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.spelling = _byte_spelling(self.tokenizer)
+        probes = [*_SMALL_LETTERS, _SMALL_LETTERS, _SMALL_LETTERS[::-1], "example", "été"]
+        self.plain = bool(self.spelling) and all(self._ids_of(w) == self._model_ids(w.encode()) for w in probes)
+
+    def _ids_of(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _model_ids(self, word: bytes) -> list[int]:
+        text = word.decode() if word.isascii() else word.decode("latin-1").translate(self.spelling)
+        return [t.id for t in self.model.tokenize(text)]
+
+    def _is_plain(self, word: bytes) -> bool:
+        return word.isalpha() and word.islower() or not word.isascii() and _SMALL_WORD.fullmatch(word.decode("utf-8", "replace")) is not None
 
     def _learn(self, words: list[bytes]) -> None:
-        """Encode words as one text, which costs less than a call each, and cut its ids where words end."""
+        """Encode words as one text, which costs less than a call each, and cut its ids where words begin."""
         texts = [w.decode("utf-8", "replace") for w in words]
-        # a word of letters ends once, where the tokenizer marks ends of words
-        found = self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0]
-        ids = np.array(found.ids, dtype="<u4")
-        ends = np.flatnonzero(self.ends_word[ids]) + 1
-        if len(ends) == len(texts) and (not len(ids) or ends[-1] == len(ids)) and " ".join(texts).replace(" ", "").isalpha():
-            cuts = [0, *(4 * ends).tolist()]
-        else:
-            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            begins = np.zeros(len(texts), dtype=np.int64)
-            np.cumsum([len(x) + 1 for x in texts[:-1]], out=begins[1:])
-            word = np.searchsorted(begins, np.array([a for a, _ in found.offsets], dtype=np.int64), side="right") - 1
-            cuts = (4 * np.searchsorted(word, np.arange(len(texts) + 1))).tolist()
-        data = ids.tobytes()
+        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        begins = np.zeros(len(texts), dtype=np.int64)
+        np.cumsum([len(x) + 1 for x in texts[:-1]], out=begins[1:])
+        word = np.searchsorted(begins, np.array([a for a, _ in found.offsets], dtype=np.int64), side="right") - 1
+        self._remember(words, found.ids, np.searchsorted(word, np.arange(len(texts) + 1)))
+
+    def _learn_plain(self, words: list[bytes]) -> None:
+        ids, ends = [], [0]
+        for w in words:
+            ids += self._model_ids(w)
+            ends.append(len(ids))
+        self._remember(words, ids, np.array(ends))
+
+    def _remember(self, words: list[bytes], ids: list[int], cuts: np.ndarray) -> None:
+        data, cuts = np.array(ids, dtype="<u4").tobytes(), (4 * cuts).tolist()
         self.known.update((w, data[i:j]) for w, i, j in zip(words, cuts[:-1], cuts[1:], strict=True))
 
     def _look_up(self, words: list[bytes]) -> list[bytes]:
@@ -91,12 +125,12 @@ class WordEncoder:
         if len(self.known) + len(missing) > CACHE_WORDS:
             self.known = {b"": b""}
             missing = [i for i, w in enumerate(words) if w]
-        new = [words[i] for i in missing]
-        letters = [w.isalpha() or not w.isascii() and w.decode("utf-8", "replace").isalpha() for w in new]
-        for kind in (True, False):
-            todo = [w for w, x in zip(new, letters, strict=True) if x is kind]
-            for i in range(0, len(todo), 20_000):
-                self._learn(todo[i : i + 20_000])
+        plain, other = [], []
+        for i in missing:
+            (plain if self.plain and self._is_plain(words[i]) else other).append(words[i])
+        self._learn_plain(plain)
+        for i in range(0, len(other), 20_000):
+            self._learn(other[i : i + 20_000])
         for i in missing:
             found[i] = self.known[words[i]]
         return found
@@ -176,14 +210,15 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2
 
     docs: doc_id, text; other columns are ignored. A null text counts as empty: its ids are the end
     id alone. A null doc_id comes first; rows that repeat an id are all written. The dictionary is trained
-    on at most SAMPLE_TEXTS texts of at most SAMPLE_CHARS characters (least hash first), everything else
+    on at most SAMPLE_TEXTS texts of at most SAMPLE_BYTES bytes (least hash of id and size first), everything else
     reads all texts. Returns the manifest: file (its place in the order), path, docs, tokens. A file
     gets its name when it is complete, so that a task that is lost and run again does no harm. An
     empty table gives no files.
     """
     spark = docs.sparkSession
     texts = texts_of(docs).fillna("", ["text"])
-    sample = hash_sample(texts.where(F.length("text").between(1, SAMPLE_CHARS)), docs.count(), SAMPLE_TEXTS, "doc_id", "text")
+    sized = texts.withColumn("size", F.octet_length("text")).where(F.col("size").between(1, SAMPLE_BYTES))
+    sample = hash_sample(sized, docs.count(), SAMPLE_TEXTS, "doc_id", "size", ties="text")
     encoder = WordEncoder(tokenizer, end_id)
     dictionary = train_dictionary(encoder.encode_each(pa.array([r.text for r in sample.collect()], pa.string())))
     filesystem, root = _filesystem(out)
