@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, _IS_WORD, _VALUES, hash_sample, mix, text_chunks, small_batches, texts_of, tidy
+from .common import U64, _IS_WORD, _VALUES, discard, give_back, hash_sample, mix, small_batches, text_chunks, texts_of, tidy, written
 
 #: Character n-grams (of UTF-8 bytes, A-Z lower-cased) of these lengths are features.
 LENGTHS = (4, 5, 6)
@@ -21,6 +21,7 @@ TRAIN_ROWS = 8000
 MIN_TEXTS, MIN_RATIO = 8, 1.0
 SMOOTHING = 0.5
 L2, STEPS = 1.0, 150
+FIT_TEXTS = 500
 _MULTIPLIER = U64(0x9E3779B97F4A7C15)
 
 
@@ -78,20 +79,26 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[1][seen].astype(np.int64)), pa.array(counts[0][seen].astype(np.int64))], ["bucket", "toxic", "clean"])
 
 
+def log_count_ratios(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Of each feature: log of its share of toxic texts by its share of clean ones, both smoothed."""
+    return np.log((toxic + SMOOTHING) / (n_toxic + 2 * SMOOTHING)) - np.log((clean + SMOOTHING) / (n_clean + 2 * SMOOTHING))
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Learn from a bounded sample of labelled texts.
 
     docs: doc_id, text. labels: doc_id, toxic (0 or 1). Null ids and labels are ignored; an id
-    with several labels is toxic if one says so. The sample is the `rows` ids with the least hash; its
-    ids (bounded) are broadcast to the scan of the texts. Without both kinds of label, the model
-    has no features and its bias is the smoothed share of toxic labels.
+    with several labels is toxic if one says so; of an id with several texts the one of least hash counts, once. The sample is
+    the `rows` ids with the least hash; its ids (bounded) are broadcast to one scan of the texts. Ids without a
+    text don't count. Without both kinds of label, the model has no features and its bias is the smoothed share of toxic labels.
     """
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     sample = hash_sample(known, labels.count(), rows, "doc_id").toPandas()
     chosen = F.broadcast(spark.createDataFrame(sample.astype("int64"), "doc_id long, toxic long"))
-    texts = texts_of(docs).join(chosen, "doc_id").select("toxic", "text")
-    n_toxic, n_clean = int(sample.toxic.sum()), int((1 - sample.toxic).sum())
+    text = F.coalesce("text", F.lit(""))
+    texts = written(texts_of(docs).join(chosen, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by(text, F.xxhash64(text)).alias("text")).select("toxic", "text"), "labelled")
+    n_toxic, n_clean = texts.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in (F.col("toxic"), 1 - F.col("toxic")))).first()
     share = (n_toxic + SMOOTHING) / (n_toxic + n_clean + 2 * SMOOTHING)
     bias = float(np.log(share / (1 - share)))
     counts = (
@@ -103,13 +110,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         .sort_values("bucket")
     )
     if not n_toxic or not n_clean or counts.empty:
+        discard(texts)
         return Model(np.empty(0, np.int64), np.empty(0), bias)
-    p = (counts.toxic.to_numpy() + SMOOTHING) / (n_toxic + 2 * SMOOTHING)
-    q = (counts.clean.to_numpy() + SMOOTHING) / (n_clean + 2 * SMOOTHING)
-    ratio = np.log(p / q)
+    ratio = log_count_ratios(counts.toxic.to_numpy(), counts.clean.to_numpy(), n_toxic, n_clean)
     wanted = np.abs(ratio) >= MIN_RATIO
     buckets, ratio = counts.bucket.to_numpy()[wanted], ratio[wanted]
     if not len(buckets):
+        discard(texts)
         return Model(np.empty(0, np.int64), np.empty(0), bias)
     mask = np.zeros(BUCKETS, dtype=bool)
     mask[buckets] = True
@@ -126,29 +133,42 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
     table = texts.mapInArrow(rows_of, "toxic long, features binary").toPandas()
     shared.unpersist()
-    table = table.assign(features=table.features.map(bytes)).sort_values(["toxic", "features"])  # sums come in the same order in every run
-    position = np.zeros(BUCKETS, dtype=np.int64)
+    discard(texts)
+    features = list(map(bytes, table.features))
+    order = sorted(range(len(features)), key=lambda i: (table.toxic[i], features[i]))  # sums come in the same order in every run
+    position = np.zeros(BUCKETS, dtype=np.int32)
     position[buckets] = np.arange(len(buckets))
-    lists = [position[np.frombuffer(x, "<i4")] for x in table.features]
-    weights, bias = _fit(lists, table.toxic.to_numpy(dtype=np.float64), ratio, bias)
+    lists = [position[np.frombuffer(features[i], "<i4")] for i in order]
+    weights, bias = _fit(lists, table.toxic.to_numpy(dtype=np.float64)[order], ratio, bias)
+    del features, table, lists
+    give_back()
     return Model(buckets, weights, bias)
 
 
 def _fit(lists: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
-    """L2-penalised logistic regression on features scaled by their ratios: accelerated gradient descent from 0."""
-    columns = np.concatenate(lists)
-    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    scaled = ratio[columns]
-    norms = np.bincount(rows, weights=scaled**2, minlength=len(lists))
-    rate = 1 / (0.25 * np.percentile(norms, 99) + 0.25 + L2 / len(lists))
+    """L2-penalised logistic regression on features scaled by their ratios: accelerated gradient descent from 0.
+
+    Texts are taken FIT_TEXTS at a time, so that beside the features little is held.
+    """
+    parts = []
+    for a in range(0, len(lists), FIT_TEXTS):
+        part = lists[a : a + FIT_TEXTS]
+        parts.append((a, len(part), np.concatenate(part), np.array([len(x) for x in part])))
+
+    def along(weights: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(np.repeat(np.arange(n), sizes), weights=weights[columns], minlength=n) for _, n, columns, sizes in parts])
+
+    def back(errors: np.ndarray) -> np.ndarray:
+        return sum(np.bincount(columns, weights=np.repeat(errors[a : a + n], sizes), minlength=len(ratio)) for a, n, columns, sizes in parts)
+
+    rate = 1 / (0.25 * np.percentile(along(ratio**2), 99) + 0.25 + L2 / len(lists))
     w, last, b, last_b = np.zeros(len(ratio)), np.zeros(len(ratio)), bias, bias
     for t in range(1, STEPS + 1):
         momentum = (t - 1) / (t + 2)
         at, at_b = w + momentum * (w - last), b + momentum * (b - last_b)
-        z = at_b + np.bincount(rows, weights=at[columns] * scaled, minlength=len(lists))
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(lists)
+        error = (1 / (1 + np.exp(-np.clip(at_b + along(at * ratio), -30, 30))) - y) / len(lists)
         last, last_b = w, b
-        w = at - rate * (np.bincount(columns, weights=error[rows] * scaled, minlength=len(ratio)) + L2 / len(lists) * at)
+        w = at - rate * (back(error) * ratio + L2 / len(lists) * at)
         b = at_b - rate * error.sum()
     return w * ratio, float(b)
 
