@@ -63,8 +63,10 @@ def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
     return key
 
 
-def _set_key(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _set_keys(sets: list[np.ndarray]) -> tuple[list[int | None], list[int | None]]:
+    """Two 64-bit keys of each set: its class, and what tells apart sets whose class is the same by chance; null for empty ones."""
+    digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+    return tuple([d and int.from_bytes(d[a : a + 8], "little", signed=True) for d in digests] for a in (0, 8))
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -77,14 +79,16 @@ def _fingerprints(k: int, bands: int, rows: int):
         for batch in batches:
             for row, sets in _sets(batch, k):
                 keys = band_keys(super_minhash(sets, bands * rows), bands)
+                own, check = (pa.array(x, pa.int64()) for x in _set_keys(sets))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id")[row : row + len(sets)],
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([_set_key(s) if len(s) else None for s in sets], pa.int64()),
+                        own,
+                        check,
                         list_column([keys[i] if len(s) else keys[i][:0] for i, s in enumerate(sets)]),
                     ],
-                    ["doc_id", "n_shingles", "class", "bands"],
+                    ["doc_id", "n_shingles", "class", "check", "bands"],
                 )
 
     return run
@@ -95,11 +99,19 @@ def _full_sets(k: int):
         for batch in batches:
             for _, sets in _sets(batch, k):
                 full = [s for s in sets if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([_set_key(s) for s in full], pa.int64()), list_column(full)], ["class", "items"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in _set_keys(full)), list_column(full)], ["class", "check", "items"])
 
     return run
 
 
+def _told_apart(rows: DataFrame, clashes: DataFrame | None) -> DataFrame:
+    """Give sets of a class that others have by chance a class of their own (one of 64 more bits)."""
+    if clashes is None:
+        return rows
+    own = F.when(F.col("clash").isNotNull(), F.xxhash64("class", "check")).otherwise(F.col("class"))
+    return rows.join(clashes, "class", "left").withColumn("class", own).drop("clash")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b) with the exact sizes of their sets and of the intersection."""
     left = sets.select(F.col("class").alias("a"), F.col("items").alias("x"))
@@ -134,25 +146,28 @@ def _support(rows: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
 def _prefix_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes of different components that may be linked, by prefix filtering.
 
-    rows: key, class, n, root of open buckets. Two linked sets of sizes n1 and n2 have at least
+    rows: key, class, n, root of open buckets. Two linked sets of sizes n1 <= n2 have at least
     c = percent * (n1 + n2) / (100 + percent) items in common; so if the items of each stand in order of
-    rarity, one of the first n - c + 1 of both is the same. Edited copies that are too far from all others begin with
-    items of their own and meet nobody. One side holds only classes that are not in the
-    component with most of a bucket's classes: of any pair across components one is such.
+    rarity, one of the first n - c + 1 of both is the same. The lesser set needs only as many as if the other were no larger (a ninth
+    of it, at 80 percent), the greater as if the other were as small as it may be (a fifth). Edited copies that are too
+    far from all others, or fill a common template, begin with items of their own and meet nobody. One side of a pair is
+    not in the component with most of a bucket's classes: of any pair across components one is such.
     """
+    whole, part = 100 + int(percent), int(percent)
     sizes = rows.groupBy("key", "root").agg(F.count("*").alias("classes")).groupBy("key").agg(F.max(F.struct("classes", "root"))["root"].alias("main"))
     minor = rows.join(sizes, "key").where("root <> main").select("class").distinct().withColumn("minor", F.lit(True))
     classes = rows.select("class", "n", "root").distinct().join(minor, "class", "left")
-    items = sets.join(classes, "class").select("class", "n", "root", "minor", F.explode("items").alias("item"))
-    counts = items.groupBy("item").agg(F.count("*").alias("holders")).where("holders > 1")
+    items = sets.join(classes, "class").select("class", "n", "root", F.coalesce("minor", F.lit(False)).alias("minor"), F.explode("items").alias("item"))
+    counts = written(items.groupBy("item").agg(F.count("*").alias("holders")).where("holders > 1"), "holders")
     # items that only one class has stand first and match nothing
     ordered = items.join(counts, "item", "left").withColumn(
         "rank", F.row_number().over(Window.partitionBy("class").orderBy(F.col("holders").asc_nulls_first(), "item"))
     )
-    prefix = written(ordered.where(f"holders > 1 and 100L * (n - rank + 1) >= {int(percent)}L * n"), "prefixes")
-    x, y = (prefix.select("item", *(F.col(c).alias(c + side) for c in ("class", "n", "root", "rank", "minor"))) for side in "12")
-    whole, part = 100 + int(percent), int(percent)
-    found = x.where("minor1").join(y, "item").where("class1 <> class2 and root1 <> root2")
+    prefix = written(ordered.where(f"holders > 1 and 100L * (n - rank + 1) >= {part}L * n").withColumn("short", F.expr(f"{whole}L * (n - rank + 1) >= {2 * part}L * n")), "prefixes")
+    x, y = (prefix.select("item", "short", *(F.col(c).alias(c + side) for c in ("class", "n", "root", "rank", "minor"))) for side in "12")
+    x, y = x.where("short").drop("short"), y.drop("short")
+    found = x.where("minor1").join(y, "item").union(x.where("not minor1").join(y.where("minor2"), "item"))
+    found = found.where(f"(n1 < n2 or n1 = n2 and class1 < class2) and root1 <> root2 and 100L * n1 >= {part}L * n2")
     for side in "12":
         found = found.where(f"{whole}L * (n{side} - rank{side} + 1) >= {part}L * (n1 + n2)")
     return found.select(F.least("class1", "class2").alias("a"), F.greatest("class1", "class2").alias("b")).distinct()
@@ -171,7 +186,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     unless all ids of its group are null (then component_id is null and kept false). Ties
     go to the least id. An empty table gives an empty result.
 
-    Documents with equal sets are one class from the start, so copies cost one row each. Classes that
+    Documents with equal sets (by 128 bits of hash) are one class from the start, so copies cost one row each. Classes that
     share a band key are candidates. In a bucket every class is compared with one hub
     (its least class), not with all others. Buckets that hold several components after that get
     a second hub, the class whose items are shared most: in a family of edited copies, the one that
@@ -182,8 +197,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     spark = docs.sparkSession
     texts = texts_of(docs)
     prints = written(
-        texts.mapInArrow(tidy(_fingerprints(shingle, bands, rows)), "doc_id long, n_shingles long, class long, bands array<long>"), "fingerprints"
+        texts.mapInArrow(tidy(_fingerprints(shingle, bands, rows)), "doc_id long, n_shingles long, class long, check long, bands array<long>"), "fingerprints"
     )
+    clashes = prints.where("class is not null").groupBy("class").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high")
+    clashes = written(clashes.select("class", F.lit(True).alias("clash")), "clashes")  # hardly ever any
+    clashes = None if clashes.isEmpty() else clashes
+    prints = _told_apart(prints, clashes)
     classes = prints.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
     keyed = written(classes.select("class", "n", "doc_id", F.explode("bands").alias("key")), "bands")
     buckets = keyed.groupBy("key").agg(F.min("class").alias("hub"), F.count("*").alias("members")).where("members > 1")
@@ -196,11 +215,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     if leaders.count() <= BROADCAST_IDS:
         leaders = F.broadcast(leaders)
     # rows that repeat a leader's id with another text come along and go at the join of the classes
+    led = texts.join(leaders, "doc_id", "left_semi").select("text").union(texts.where("doc_id is null").select("text"))
     sets = written(
-        texts.join(leaders, "doc_id", "left_semi")
-        .select("text")
-        .union(texts.where("doc_id is null").select("text"))
-        .mapInArrow(tidy(_full_sets(shingle)), "class long, items array<long>")
+        _told_apart(led.mapInArrow(tidy(_full_sets(shingle)), "class long, check long, items array<long>"), clashes)
+        .select("class", "items")
         .join(wanted.select("class"), "class", "left_semi")
         .dropDuplicates(["class"]),
         "sets",
