@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 
 from veritrace.llm import language_model as lm
-from veritrace.llm.common import hash_words
 
 from . import tables
 
@@ -17,43 +16,41 @@ def discounts(n):
     return [0] + [min(max(d, 0.05), k - 0.05) for d, k in zip(raw, (1, 2, 3), strict=True)]
 
 
+def tokens_of(text):
+    return [w.decode() for w in (text or "").encode().lower().split()] + ["</s>"]
+
+
 class Slow:
     """The model in dictionaries of words."""
 
-    def __init__(self, texts):
-        self.pairs = Counter()
+    def __init__(self, texts, order):
+        self.order, self.count, self.levels = order, Counter(), {order: Counter()}
         for t in texts:
-            words = [w.decode() for w in (t or "").encode().lower().split()] + ["</s>"]
-            self.pairs.update(zip(["<s>", *words[:-1]], words, strict=True))
-        self.count, self.context, self.types = Counter(), Counter(), Counter()
-        for (h, w), n in self.pairs.items():
-            self.count[w] += n
-            self.context[h] += n
-            self.types[w] += 1
-        self.high = discounts(Counter(min(n, 5) for n in self.pairs.values()))
-        self.low = discounts(Counter(min(n, 5) for n in self.types.values()))
-        self.left = Counter()
-        for (h, _), n in self.pairs.items():
-            self.left[h] += self.high[min(n, 3)]
-
-    def unigram(self, w):
-        total = len(self.pairs)
+            words = tokens_of(t)
+            self.count.update(words)
+            padded = ["<s>"] * (order - 1) + words
+            self.levels[order].update(zip(*(padded[i:] for i in range(order)), strict=False))
+        for k in range(order - 1, 0, -1):
+            self.levels[k] = Counter(g[1:] for g in self.levels[k + 1])
+        self.discounts = {k: discounts(Counter(min(n, 5) for n in x.values())) for k, x in self.levels.items()}
+        self.total, self.left = Counter(), Counter()
+        for k, grams in self.levels.items():
+            for g, n in grams.items():
+                self.total[k, g[:-1]] += n
+                self.left[k, g[:-1]] += self.discounts[k][min(n, 3)]
+
+    def p(self, history, w):
+        k = len(history) + 1
+        lower = self.p(history[1:], w) if k > 1 else 1 / (len(self.count) + 1)
+        total = self.total[k, history]
         if not total:
-            return 1.0
-        rest = sum(self.low[min(t, 3)] for t in self.types.values()) / total
-        t = self.types[w]
-        return max(t - self.low[min(t, 3)], 0) / total + rest / (len(self.count) + 1)
-
-    def p(self, h, w):
-        c = self.context[h]
-        if not c:
-            return self.unigram(w)
-        n = self.pairs[h, w]
-        return (n - self.high[min(n, 3)]) / c + self.left[h] / c * self.unigram(w)
+            return lower
+        n = self.levels[k][(*history, w)]
+        return max(n - self.discounts[k][min(n, 3)], 0) / total + self.left[k, history] / total * lower
 
     def score(self, text):
-        words = [w.decode() for w in (text or "").encode().lower().split()] + ["</s>"]
-        return sum(math.log10(self.p(h, w)) for h, w in zip(["<s>", *words[:-1]], words, strict=True))
+        padded = ["<s>"] * (self.order - 1) + tokens_of(text)
+        return sum(math.log10(self.p(tuple(padded[i : i + self.order - 1]), padded[i + self.order - 1])) for i in range(len(padded) - self.order + 1))
 
 
 def corpus(rng, n):
@@ -68,35 +65,62 @@ def corpus(rng, n):
     return out
 
 
-def test_scores_match_brute_force(spark):
+@pytest.mark.parametrize(("order", "part"), [(2, 2_500_000), (3, 2_500_000), (2, 60), (3, 60)])
+def test_scores_match_brute_force(spark, monkeypatch, order, part):
+    """With small parts, many words are so frequent that their pairs are dealt over several parts."""
+    monkeypatch.setattr(lm, "PART_TOKENS", part)
+    monkeypatch.setattr(lm, "PART_WORDS", 20)
     rng = random.Random(4)
     texts = corpus(rng, 120)
     train = spark.createDataFrame([(t,) for t in texts] + [(None,), ("",)], "text string")
-    model = lm.train(train)
-    slow = Slow([*texts, None, ""])
-    assert (model.n_tokens, model.n_words, model.n_types) == (sum(slow.count.values()), len(slow.count), len(slow.pairs))
-    new = corpus(rng, 30) + ["never seen words", "x", "", None]
+    model = lm.train(train, order)
+    slow = Slow([*texts, None, ""], order)
+    assert (model.n_tokens, model.n_words, model.n_types) == (sum(slow.count.values()), len(slow.count), len(slow.levels[2]))
+    assert (len(model.deal.hot) > 10) == (part == 60)
+    new = corpus(rng, 30) + ["never seen words", "x", "", None, texts[3], texts[4]]
     docs = spark.createDataFrame([tables.row(i, t) for i, t in enumerate(new)], tables.DOCS)
     got = {r.doc_id: r for r in lm.score(docs, model).collect()}
     for i, t in enumerate(new):
-        words = [w.decode() for w in (t or "").encode().lower().split()] + ["</s>"]
+        words = tokens_of(t)
         assert got[i].n_tokens == len(words) and got[i].n_known == sum(slow.count[w] > 0 for w in words)
-        assert got[i].score == pytest.approx(slow.score(t), rel=1e-4)
+        assert got[i].score == pytest.approx(slow.score(t), rel=1e-6)
         base = sum(math.log10((slow.count[w] + 0.1) / (model.n_tokens + 0.1 * (model.n_words + 1))) for w in words)
         assert got[i].base_score == pytest.approx(base)
     assert sum(got[i].score for i in range(30)) > sum(got[i].base_score for i in range(30))
 
 
-def test_probabilities_after_a_word_sum_to_one(spark):
+@pytest.mark.parametrize("order", [2, 3])
+def test_probabilities_after_words_sum_to_one(spark, order):
     texts = corpus(random.Random(6), 50)
-    model = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"))
-    words = sorted({w for t in texts for w in t.lower().split()})
-    data = np.frombuffer(" ".join(words).encode(), np.uint8)
-    hashes = hash_words(np.array([0, len(data)]), data)[0] >> np.uint64(16)
-    tokens = np.append(hashes, [lm.END, np.uint64(12345)])  # all words, the end, and one that was never seen
-    for h in (hashes[3], lm.START, np.uint64(777)):
-        scores, _ = lm.Reader(model).scores(np.full(len(tokens), h), tokens)
-        assert (10.0**scores).sum() == pytest.approx(1, abs=1e-5)
+    model = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), order)
+    end = model.words.end
+    tokens = np.append(np.arange(end + 1), end + 2).astype(np.uint32)  # all words, the end, and one that was never seen
+    for two, one in ((3, 5), (end + 1, 4), (end + 1, end + 1), (7, end + 2), (0, 1)):
+        scores, _ = lm.Reader(model).scores(np.full(len(tokens), two, np.uint32), np.full(len(tokens), one, np.uint32), tokens)
+        assert (10.0**scores).sum() == pytest.approx(1, abs=1e-6)
+
+
+def test_sorted_keys():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 5, 3000):
+        keys = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        files = lm.Files("/nowhere")
+        files.save = lambda name, array, files=files: files.open.update({name: array})
+        files.save_keys("x", keys)
+        others = rng.integers(0, 2**64, 500, dtype=np.uint64)
+        assert files.find("x", keys).tolist() == list(range(len(keys)))
+        assert (files.find("x", others) == -1).all()
+
+
+def test_blocks_of_columns():
+    rng = np.random.default_rng(1)
+    columns = [np.sort(rng.integers(0, 2**32, 500)), rng.integers(0, 2**32, 500), np.ones(500, int)]
+    assert all((a == b).all() for a, b in zip(columns, lm._unpack(lm._pack(columns), 3), strict=True))
+
+
+def test_other_orders_are_refused(spark):
+    with pytest.raises(ValueError, match="order"):
+        lm.train(tables.empty(spark), 4)
 
 
 def test_awkward_rows_and_empty_tables(spark):

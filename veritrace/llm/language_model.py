@@ -1,157 +1,431 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays, memory-mapped."""
+"""Interpolated modified Kneser-Ney n-gram model: counted in Spark, kept as sorted hash arrays, memory-mapped.
+
+Words get numbers: their place among the sorted 64-bit hashes of all words. N-grams of numbers are counted in parts; every
+part writes sorted arrays of its n-grams' hashes (48 bits of each) to the shared folder, from where workers map what they look up.
+"""
 
 from __future__ import annotations
 
 import io
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs as arrow_fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, discard, hash_words, mix, shared_path, text_chunks, small_batches, texts_of, written
+from .common import U64, discard, hash_words, mix, shared_path, small_batches, text_chunks, texts_of, tidy, written
 from .token_files import _filesystem
 
-#: Words are known by 48 bits of hash. Two values that no word has stand for the start and the end of a text.
-WORD_BITS = U64(16)
-START, END = U64(1 << 48), U64((1 << 48) + 1)
-#: Tokens that are counted together before rows leave a worker, and training tokens for each part of the arrays, about.
-COUNT_TOKENS, PART_TOKENS = 1 << 20, 2_500_000
-_SPREAD = U64(3)
+ORDER = 3
+#: Tokens that are counted together before rows leave a worker; training tokens, words, for each part of the arrays, about.
+COUNT_TOKENS, PART_TOKENS, PART_WORDS = 1 << 21, 2_500_000, 1_000_000
+#: Entries of a sorted array that share the bits their place tells, about.
+BUCKET = 16
+#: Words have numbers below this.
+MOST_WORDS = (1 << 32) - 4
+_FACTOR = U64(0xD6E8FEB86659FD93)
+_U32, _32 = np.uint32, U64(32)
+
+
+# --- words and their numbers
+
+
+@dataclass
+class Words:
+    """The numbers of words: `offsets[k]` and on for those whose hash begins with the bits k. The end of a text, its start and unknown words come last."""
+
+    out: str
+    bits: int
+    offsets: np.ndarray
+
+    @property
+    def end(self) -> int:
+        return int(self.offsets[-1])
+
+    def part_of(self, words: np.ndarray) -> np.ndarray:
+        return (words >> U64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(words), dtype=np.int64)
+
+
+class Files:
+    """Arrays of the shared folder as a worker sees them: mapped, or read where a store has no files that can be mapped (then no more than KEPT)."""
+
+    KEPT = 64
+
+    def __init__(self, out: str):
+        self.filesystem, self.root = _filesystem(out)
+        self.open: dict[str, np.ndarray] = {}
+
+    def array(self, name: str) -> np.ndarray:
+        if name not in self.open:
+            path = f"{self.root}/{name}.npy"
+            if self.filesystem.type_name == "local":
+                self.open[name] = np.load(path, mmap_mode="r")
+            else:
+                if len(self.open) >= self.KEPT:
+                    del self.open[next(iter(self.open))]
+                with self.filesystem.open_input_file(path) as f:
+                    self.open[name] = np.load(io.BytesIO(f.read()))
+        return self.open[name]
+
+    def save(self, name: str, array: np.ndarray) -> None:
+        own = f"{self.root}/.{name}-{TaskContext.get().taskAttemptId()}"
+        data = io.BytesIO()
+        np.save(data, array)
+        with self.filesystem.open_output_stream(own) as f:
+            f.write(data.getbuffer())
+        self.filesystem.move(own, f"{self.root}/{name}.npy")
+
+    # sorted 64-bit keys: the first bits tell the bucket, the next 32 are kept
+
+    def save_keys(self, name: str, keys: np.ndarray) -> None:
+        bits = max(1, (len(keys) // BUCKET).bit_length())
+        starts = np.searchsorted(keys, np.arange(1 << bits, dtype=U64) << U64(64 - bits))
+        self.save(f"{name}-starts", np.append(starts, len(keys)).astype(_U32))
+        self.save(f"{name}-keys", (keys << U64(bits) >> _32).astype(_U32))
+
+    def find(self, name: str, wanted: np.ndarray) -> np.ndarray:
+        """Place of each wanted key, or -1."""
+        starts, keys = self.array(f"{name}-starts"), self.array(f"{name}-keys")
+        bits = (len(starts) - 1).bit_length() - 1
+        if not len(keys):
+            return np.full(len(wanted), -1, dtype=np.int64)
+        bucket, value = (wanted >> U64(64 - bits)).astype(np.int64), (wanted << U64(bits) >> _32).astype(_U32)
+        low, high = starts[bucket].astype(np.int64), starts[bucket + 1].astype(np.int64)
+        end, last = high.copy(), len(keys) - 1
+        for _ in range(int((high - low).max(initial=0)).bit_length()):
+            middle = (low + high) >> 1
+            less = (low < high) & (keys[np.minimum(middle, last)] < value)
+            low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+        return np.where((low < end) & (keys[np.minimum(low, last)] == value), low, -1)
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[np.ndarray] = []
+    size = 0
+
+    def flush():
+        words, n = np.unique(np.concatenate(held), return_counts=True)
+        for a in range(0, len(words), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(words[a : a + (1 << 16)].view(np.int64)), pa.array(n[a : a + (1 << 16)])], ["word", "n"])
+
+    for batch in batches:
+        for _, offsets, data in text_chunks(batch.column("text")):
+            held.append(hash_words(offsets, data)[0])
+            size += len(held[-1])
+            if size >= COUNT_TOKENS:
+                yield from flush()
+                held, size = [], 0
+    if size:
+        yield from flush()
+
+
+def _number_words(out: str):
+    """Writes a part's words: sorted hashes and counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = Files(out)
+        found = [[b.column(c).to_numpy() for c in ("part", "word", "n")] for b in batches if b.num_rows]
+        if not found:
+            return
+        part, word, n = (np.concatenate(x) for x in zip(*found, strict=True))
+        for k in np.unique(part).tolist():
+            own, counts = word[part == k].view(U64), n[part == k]
+            order = np.argsort(own)
+            files.save(f"words-{k:06d}", own[order])
+            files.save(f"counts-{k:06d}", counts[order])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([len(own)], pa.int64())], ["part", "n"])
+
+    return run
+
+
+class Numbers:
+    """Looks up the numbers of words."""
 
+    def __init__(self, words: Words):
+        self.words, self.files = words, Files(words.out)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        w = self.words
+        distinct, back = np.unique(hashes, return_inverse=True)
+        out = np.full(len(distinct), w.end + 2, dtype=_U32)
+        cuts = np.searchsorted(w.part_of(distinct), np.arange(len(w.offsets)))
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            if w.offsets[k + 1] == w.offsets[k]:
+                continue
+            known, own = self.files.array(f"words-{k:06d}"), distinct[cuts[k] : cuts[k + 1]]
+            at = np.searchsorted(known, own)
+            at[at == len(known)] = 0
+            hit = known[at] == own
+            out[cuts[k] : cuts[k + 1]][hit] = w.offsets[k] + at[hit]
+        return out[back]
+
+    def sequences(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(the token two before, the one before, token, text number) of all tokens of the texts; each ends with the end, and starts stand before it."""
+        parts, texts, first = [], [], 0
+        for _, offsets, data in text_chunks(column):
+            words, begins = hash_words(offsets, data)
+            parts.append(words)
+            texts.append(np.repeat(np.arange(len(begins) - 1) + first, np.diff(begins)))
+            first += len(begins) - 1
+        if not first:
+            return tuple(np.empty(0, dtype=np.int64) for _ in range(4))
+        number, text = self.of(np.concatenate(parts)), np.concatenate(texts)
+        ends = np.cumsum(np.bincount(text, minlength=first) + 1) - 1
+        tokens = np.full(len(number) + first, self.words.end, dtype=_U32)
+        inside = np.ones(len(tokens), dtype=bool)
+        inside[ends] = False
+        tokens[inside] = number
+        start = np.append(0, ends[:-1] + 1)
+        one, two = (np.full(len(tokens), self.words.end + 1, dtype=_U32) for _ in range(2))
+        one[1:], two[2:] = tokens[:-1], tokens[:-2]
+        one[start] = two[start] = self.words.end + 1
+        second = start[start + 1 < len(tokens)] + 1
+        two[second] = self.words.end + 1
+        return two, one, tokens, np.repeat(np.arange(first), np.diff(np.append(start, len(tokens))))
+
+
+# --- keys, parts, blocks
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a.astype(U64) << _32 | b.astype(U64)
+
+
+def _key(*numbers: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(numbers[0]), dtype=U64)
+    for x in numbers:
+        out = mix(out * _FACTOR + x.astype(U64) + U64(1))
+    return out
 
-def _sequences(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, previous token, token, text number) of all tokens of a chunk's texts; each text ends with END."""
-    for row, offsets, data in text_chunks(batch.column("text")):
-        words, begins = hash_words(offsets, data)
-        lengths = np.diff(begins) + 1
-        ends = np.cumsum(lengths) - 1
-        tokens = np.empty(len(words) + len(lengths), dtype=U64)
-        at_end = np.zeros(len(tokens), dtype=bool)
-        at_end[ends] = True
-        tokens[at_end] = END
-        tokens[~at_end] = words >> WORD_BITS
-        before = np.empty_like(tokens)
-        before[1:] = tokens[:-1]
-        before[np.append(0, ends[:-1] + 1) if len(ends) else []] = START
-        yield row, before, tokens, np.repeat(np.arange(len(lengths)), lengths)
 
+@dataclass
+class Deal:
+    """Which part holds an n-gram: that of its middle word; n-grams around a word of more than PART_TOKENS tokens are dealt by all their words."""
+
+    parts: int
+    hot: np.ndarray  # sorted
 
-def _part_of(h: np.ndarray, w: np.ndarray, parts: int) -> np.ndarray:
-    """The part that holds a bigram: that of its first word, dealt over four for the sake of very common words."""
-    return ((mix(h * U64(4) + (w & _SPREAD)) >> U64(16)) % U64(parts)).astype(np.int64)
+    def is_hot(self, word: np.ndarray) -> np.ndarray:
+        return np.isin(word, self.hot)
 
+    def top(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return (np.where(self.is_hot(v), _key(u, v, w), _key(v)) % U64(self.parts)).astype(np.int64)
 
-def _key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(h * U64(0xD6E8FEB86659FD93) + w)
+    def pair(self, middle: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The part that holds what is known of a pair: of its middle word, or one of `parts` more for pairs of several parts."""
+        hot = self.is_hot(middle)
+        return np.where(hot, self.parts, 0) + (np.where(hot, _key(a, b), _key(middle)) % U64(self.parts)).astype(np.int64)
 
 
-def _count(parts: int):
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """Columns as 32 bits (what is larger as the largest), the first one sorted, byte plane by byte plane."""
+    planes = [np.ascontiguousarray(np.minimum(x, 0xFFFFFFFF).astype(_U32)).view(np.uint8).reshape(-1, 4).T.tobytes() for x in [np.diff(columns[0].astype(np.int64), prepend=0), *columns[1:]]]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def _unpack(data: bytes, n_columns: int) -> list[np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(n_columns, 4, -1)
+    columns = [np.ascontiguousarray(x.T).view(_U32).ravel() for x in planes]
+    columns[0] = np.cumsum(columns[0], dtype=np.int64).astype(_U32)
+    return columns
+
+
+BLOCKS = "kind string, part int, data binary, n1 long, n2 long, n3 long, n4 long"
+_KINDS = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("data", pa.binary()), *((f"n{i}", pa.int64()) for i in range(1, 5))])
+#: Columns of each kind of block.
+_WIDTH = {"top": 4, "suffix": 3, "context": 6, "words": 6}
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([dict(zip(_KINDS.names, r + (0,) * (7 - len(r)), strict=True)) for r in rows], schema=_KINDS)
+
+
+def _blocks(kind: str, part: np.ndarray, columns: list[np.ndarray]) -> list[tuple]:
+    """Rows with the columns of each part; columns are sorted within it."""
+    cuts = np.flatnonzero(np.append(True, np.diff(part) != 0)) if len(part) else []
+    return [(kind, int(part[a]), _pack([c[a:b] for c in columns])) for a, b in zip(cuts, np.append(cuts[1:], len(part)), strict=True)] if len(part) else []
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> dict[tuple[str, int], list[np.ndarray]]:
+    """The columns of each kind and part in a task's rows; a task has one part, or several if Spark has put small ones together."""
+    held: dict[tuple[str, int], list] = {}
+    for batch in batches:
+        for kind, part, data in zip(batch.column("kind").to_pylist(), batch.column("part").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            held.setdefault((kind, part), []).append(_unpack(data, _WIDTH[kind]))
+    return {k: [np.concatenate(c) for c in zip(*v, strict=True)] for k, v in held.items()}
+
+
+def _merged(hi: np.ndarray, lo: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Rows with equal (hi, lo) as one, sorted, their values summed."""
+    order = np.lexsort((lo, hi))
+    hi, lo = hi[order], lo[order]
+    new = np.flatnonzero(np.append(True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]))) if len(hi) else np.empty(0, np.int64)
+    sums = [np.add.reduceat(v[order].astype(np.int64), new) if len(new) else np.empty(0, np.int64) for v in values]
+    return hi[new], lo[new], sums
+
+
+def _by(groups: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For sorted groups: where each begins; sum of n, and how many n are 1, 2, and 3 or more."""
+    new = np.flatnonzero(np.append(True, groups[1:] != groups[:-1])) if len(groups) else np.empty(0, np.int64)
+    sums = [np.add.reduceat(x.astype(np.int64), new) if len(new) else np.empty(0, np.int64) for x in (n, n == 1, n == 2, n >= 3)]
+    return new, sums
+
+
+# --- counting
+
+
+def _count_grams(words: Words, deal: Deal, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        numbers, held, size = Numbers(words), [], 0
 
         def flush():
-            h, w = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-            # equal bigrams meet in the order of the keys; rows leave in the order of h, which the shuffle's compression likes
-            order = np.lexsort((w, h))
-            h, w = h[order], w[order]
-            new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])))
-            n = np.diff(np.append(new, len(h)))
-            h, w = h[new], w[new]
-            part = _part_of(h, w, parts)
-            for a in range(0, len(h), 1 << 16):
-                s = slice(a, a + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(part[s].astype(np.int32)), pa.array(h[s].view(np.int64)), pa.array(w[s].view(np.int64)), pa.array(n[s].astype(np.int32))], ["part", "h", "w", "n"])
+            u, v, w = (np.concatenate(x) for x in zip(*held, strict=True))
+            if order == 2:
+                part = deal.pair(v, v, w)
+                hi, lo, (n,) = _merged(part.astype(U64) << _32 | v.astype(U64), w, [np.ones(len(w), np.int64)])
+                columns = [hi.astype(_U32), lo.astype(_U32), n]
+            else:
+                part = deal.top(u, v, w)
+                hi, lo, (n,) = _merged(part.astype(U64) << _32 | v.astype(U64), _pair(u, w), [np.ones(len(w), np.int64)])
+                columns = [hi.astype(_U32), (lo >> _32).astype(_U32), lo.astype(_U32), n]
+            yield from map(lambda r: _rows([r]), _blocks("suffix" if order == 2 else "top", (hi >> _32).astype(np.int64), columns))
 
         for batch in batches:
-            for _, before, tokens, _ in _sequences(batch):
-                held.append((before, tokens))
-                size += len(tokens)
-                if size >= COUNT_TOKENS:
-                    yield from flush()
-                    held, size = [], 0
+            *grams, _ = numbers.sequences(batch.column("text"))
+            held.append(grams)
+            size += len(grams[0])
+            if size >= COUNT_TOKENS:
+                yield from flush()
+                held, size = [], 0
         if size:
             yield from flush()
 
     return run
 
 
-def _save(out: str, name: str, array: np.ndarray) -> None:
-    filesystem, root = _filesystem(out)
-    own = f"{root}/.{name}-{TaskContext.get().taskAttemptId()}"
-    data = io.BytesIO()
-    np.save(data, array)
-    with filesystem.open_output_stream(own) as f:
-        f.write(data.getbuffer())
-    filesystem.move(own, f"{root}/{name}")
+def _counts_of(n: np.ndarray) -> tuple[int, ...]:
+    return tuple(int((n == k).sum()) for k in (1, 2, 3, 4))
 
 
-def _load(out: str, name: str) -> np.ndarray:
-    filesystem, root = _filesystem(out)
-    if filesystem.type_name == "local":
-        return np.load(f"{root}/{name}", mmap_mode="r")
-    with filesystem.open_input_file(f"{root}/{name}") as f:
-        return np.load(io.BytesIO(f.read()))
+def _save_suffixes(files: Files, words: Words, name: str, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> list[tuple]:
+    """Pairs (sorted) with their counts at the second level; gives the counts of counts, and what the pairs add to their words."""
+    key = _key(v, w)
+    order = np.argsort(key)
+    once = n[order] == 1
+    files.save_keys(f"{name}-once", key[order][once])
+    files.save_keys(f"{name}-more", key[order][~once])
+    files.save(f"{name}-counts", np.minimum(n[order][~once], 0xFFFFFFFF).astype(_U32))
+    new, (total, n1, n2, n3) = _by(v, n)
+    second, types = np.unique(w, return_counts=True)
+    numbers = np.union1d(v[new], second)
+    columns = np.zeros((5, len(numbers)), dtype=np.int64)
+    columns[:4, np.searchsorted(numbers, v[new])] = total, n1, n2, n3
+    columns[4, np.searchsorted(numbers, second)] = types
+    part = np.searchsorted(words.offsets, numbers, side="right") - 1
+    return [("level2", None, None, *_counts_of(n)), *_blocks("words", part, [numbers, *columns])]
 
 
-def _by_part(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """The columns of each part in a task's rows; a task has one part, or several if Spark has put small ones together."""
-    found = [[b.column(c).to_numpy() for c in ["part", *names]] for b in batches if b.num_rows]
-    if found:
-        part, *columns = (np.concatenate(x) for x in zip(*found, strict=True))
-        for k in np.unique(part).tolist():
-            yield k, [c[part == k] for c in columns]
+def _save_contexts(files: Files, name: str, u: np.ndarray, v: np.ndarray, total: np.ndarray, n1: np.ndarray, n2: np.ndarray, n3: np.ndarray) -> None:
+    """Pairs as contexts: total, and how many counts are 1, 2, and 3 or more. Those of total 1 are known by that."""
+    key = _key(u, v)
+    order = np.argsort(key)
+    once = total[order] == 1
+    files.save_keys(f"{name}-once", key[order][once])
+    files.save_keys(f"{name}-more", key[order][~once])
+    files.save(f"{name}-stats", np.minimum(np.stack([x[order][~once] for x in (total, n1, n2, n3)], axis=1), 0xFFFFFFFF).astype(_U32))
 
 
-def _bigram_parts(out: str):
-    """Of a part's bigrams: writes the sorted arrays, and gives what they add to the statistics of their words."""
+def _top_parts(words: Words, deal: Deal):
+    """Of a part's trigrams: writes their arrays, those of the pairs that are in no other part, and gives what others need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, (h, w, n) in _by_part(batches, ["h", "w", "n"]):
-            h, w = h.view(U64), w.view(U64)
-            key = _key(h, w)
-            for name, mask in (("once", n == 1), ("more", n > 1)):
-                order = np.argsort(key[mask])
-                _save(out, f"{name}-{part:06d}.npy", key[mask][order])
-                if name == "more":
-                    _save(out, f"counts-{part:06d}.npy", np.minimum(n[mask][order], 0xFFFFFFFF).astype(np.uint32))
-            words, at = np.unique(np.concatenate([h, w]), return_inverse=True)
-            first, second = at[: len(h)], at[len(h) :]
-            sums = [np.bincount(first[mask], minlength=len(words)) for mask in (n == 1, n == 2, n >= 3)]
-            sums += [np.bincount(second, minlength=len(words)), np.bincount(second, weights=n, minlength=len(words))]
-            names = ["word", "n1", "n2", "n3", "types", "tokens"]
-            columns = [words.view(np.int64), *(x.astype(np.int64) for x in sums)]
-            for a in range(0, len(words), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)]) for x in columns], names)
+        files = Files(words.out)
+        for (_, part), (v, u, w, n) in _gathered(batches).items():
+            hi, w, (n,) = _merged(_pair(v, u), w, [n])
+            v, u = (hi >> _32).astype(_U32), hi.astype(_U32)
+            key = _key(u, v, w)
+            order = np.argsort(key)
+            once = n[order] == 1
+            files.save_keys(f"top-{part:06d}-once", key[order][once])
+            files.save_keys(f"top-{part:06d}-more", key[order][~once])
+            files.save(f"top-{part:06d}-counts", np.minimum(n[order][~once], 0xFFFFFFFF).astype(_U32))
+            yield _rows([("level3", None, None, *_counts_of(n))])
+            new, stats = _by(hi, n)
+            hot = deal.is_hot(v[new])
+            _save_contexts(files, f"context-{part:06d}", u[new][~hot], v[new][~hot], *(x[~hot] for x in stats))
+            yield from map(lambda r: _rows([r]), _elsewhere("context", deal, u[new][hot], v[new][hot], v[new][hot], [x[hot] for x in stats]))
+            second, _, (types,) = _merged(_pair(v, w), np.zeros(len(v), dtype=_U32), [np.ones(len(v), np.int64)])
+            a, b = (second >> _32).astype(_U32), second.astype(_U32)
+            hot = deal.is_hot(a)
+            yield _rows(_save_suffixes(files, words, f"suffix-{part:06d}", a[~hot], b[~hot], types[~hot]))
+            yield from map(lambda r: _rows([r]), _elsewhere("suffix", deal, a[hot], b[hot], a[hot], [types[hot]]))
 
     return run
 
 
-def _present(out: str, name: str) -> list[int]:
-    """Parts of which an array was written; the others have no rows."""
-    filesystem, root = _filesystem(out)
-    files = (f.base_name for f in filesystem.get_file_info(arrow_fs.FileSelector(root)))
-    return sorted(int(f[len(name) + 1 : -4]) for f in files if f.startswith(f"{name}-"))
+def _elsewhere(kind: str, deal: Deal, a: np.ndarray, b: np.ndarray, middle: np.ndarray, values: list[np.ndarray]) -> list[tuple]:
+    part = deal.pair(middle, a, b)
+    order = np.lexsort((b, a, part))
+    return _blocks(kind, part[order], [x[order] for x in (a, b, *values)])
+
+
+def _pair_parts(words: Words):
+    """Pairs whose counts come from several parts: summed and written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = Files(words.out)
+        for (kind, part), (a, b, *values) in _gathered(batches).items():
+            hi, _, sums = _merged(_pair(a, b), np.zeros(len(a), dtype=_U32), values)
+            a, b = (hi >> _32).astype(_U32), hi.astype(_U32)
+            if kind == "context":
+                _save_contexts(files, f"context-{part:06d}", a, b, *sums)
+                yield _rows([("done", None, None)])
+            else:
+                yield _rows(_save_suffixes(files, words, f"suffix-{part:06d}", a, b, sums[0]))
+
+    return run
+
+
+def _word_parts(words: Words):
+    """Of each word: total, n1, n2, n3 as a context, and in how many pairs it is the second; gives totals of the last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = Files(words.out)
+        for (_, part), (number, *values) in _gathered(batches).items():
+            base = int(words.offsets[part])
+            size = int(words.offsets[part + 1]) - base if part + 1 < len(words.offsets) else 2
+            table = np.zeros((size, 5), dtype=np.uint64)
+            for i, x in enumerate(values):
+                np.add.at(table[:, i], number.astype(np.int64) - base, x.astype(U64))
+            files.save(f"table-{part:06d}", table)
+            types = table[:, 4]
+            yield _rows([("level1", None, None, *_counts_of(types)), ("types", None, None, int(types.sum()), int((types >= 3).sum()))])
+
+    return run
+
+
+# --- the model
 
 
 @dataclass
 class Model:
     """Where the arrays are, and the numbers that all words share."""
 
-    out: str
-    parts: int
-    word_parts: int
+    order: int
+    words: Words
+    deal: Deal
     n_tokens: int
+    n_texts: int
     n_words: int
     n_types: int
-    bigram_discounts: tuple[float, float, float]
-    word_discounts: tuple[float, float, float]
-    word_rest: float
-    present: dict[str, list[int]]
+    discounts: dict[int, tuple[float, float, float]]
+    rest: float
+    present: dict[str, np.ndarray] = field(default_factory=dict)  # for each kind of array: which parts have one
 
 
 def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -164,152 +438,141 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), raw, strict=True))
 
 
-def train(docs: DataFrame) -> Model:
-    """Learn from all texts of a table (column text; null counts as empty).
+def train(docs: DataFrame, order: int = ORDER) -> Model:
+    """Learn from all texts of a table (column text; null counts as empty). order: 2 or 3.
 
-    Everything is counted in Spark: bigram counts are shuffled by part; every part writes its sorted arrays
-    to the shared folder and gives its share of the words' statistics, which are summed and
-    written in the same way. Only totals reach the driver.
+    Everything is counted in Spark. First the words: their sorted hashes give them numbers. Then n-grams of numbers, in blocks that
+    are shuffled by part; a part writes its arrays, and gives its share of the statistics of words, and of pairs around words so
+    frequent that several parts have them; these are summed and written in the same way. Only totals, the sizes of the parts of the words,
+    and those frequent words reach the driver: there are fewer of both than parts.
     """
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    parts = max(8, int(size / 6 / PART_TOKENS) + 1)
-    out = shared_path(spark, "bigrams")
+    out = shared_path(spark, "ngrams")
     filesystem, root = _filesystem(out)
     filesystem.create_dir(root, recursive=True)
-    counted = texts.mapInArrow(_count(parts), "part int, h long, w long, n int").repartitionById(parts, "part")
-    bigrams = counted.groupBy("part", "h", "w").agg(F.sum("n").alias("n"))
-    shares = bigrams.mapInArrow(_bigram_parts(out), "word long, n1 long, n2 long, n3 long, types long, tokens long")
-    names = ["n1", "n2", "n3", "types", "tokens"]
-    words = written(shares.groupBy("word").agg(*(F.sum(c).alias(c) for c in names)), "words")
-
-    def number(condition: str) -> Column:
-        return F.coalesce(F.sum(F.expr(f"if({condition}, 1L, 0L)")), F.lit(0)).alias(condition)
-
-    total = words.agg(
-        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names),
-        number("tokens > 0"),
-        *(number(f"types = {k}") for k in (1, 2, 3, 4)),
-        number("types >= 3"),
-    ).first()
-    present = _present(out, "counts")
-    high = spark.createDataFrame([(i,) for i in present], "part int").repartition(parts, "part").mapInArrow(_count_of_counts(out), "three long, four long").agg(F.sum("three"), F.sum("four")).first()
-    word_discounts = _discounts(total["types = 1"], total["types = 2"], total["types = 3"], total["types = 4"])
-    rest = sum(d * total[c] for d, c in zip(word_discounts, ("types = 1", "types = 2", "types >= 3"), strict=True))
-    word_parts = max(1, int(total["tokens > 0"] / 1_000_000) + 1)
-    model = Model(
-        out, parts, word_parts, total["tokens"], total["tokens > 0"], total["types"], _discounts(total["n1"], total["n2"], high[0] or 0, high[1] or 0), word_discounts, rest / total["types"] if total["types"] else 1.0, {"bigrams": present}
-    )
-    part = F.pmod(F.col("word"), F.lit(word_parts)).cast("int").alias("part")
-    dealt = words.select(part, "word", *names).repartitionById(word_parts, "part")
-    dealt.mapInArrow(_word_parts(model), "n long").agg(F.sum("n")).first()
-    model.present["words"] = _present(out, "words")
-    discard(words)
-    return model
-
-
-def _count_of_counts(out: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in batch.column("part").to_pylist():
-                n = _load(out, f"counts-{part:06d}.npy")
-                yield pa.RecordBatch.from_arrays([pa.array([int((n == k).sum())], pa.int64()) for k in (3, 4)], ["three", "four"])
-
-    return run
-
-
-def _word_parts(model: Model):
-    """Writes a part's words, sorted: hash, count, lower-order probability, weight left to the lower order, occurrences as a context."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, columns in _by_part(batches, ["word", "n1", "n2", "n3", "types", "tokens"]):
-            order = np.argsort(columns[0])
-            word, n1, n2, n3, types, tokens = (x[order] for x in columns)
-            taken = np.array([0, *model.word_discounts])[np.minimum(types, 3)]
-            table = np.empty(len(word), dtype=[("tokens", "<u8"), ("p", "<f4"), ("left", "<f4")])
-            table["tokens"] = tokens
-            table["p"] = np.maximum(types - taken, 0) / max(model.n_types, 1) + model.word_rest / (model.n_words + 1)
-            a, b, c = model.bigram_discounts
-            table["left"] = a * n1 + b * n2 + c * n3
-            _save(model.out, f"words-{part:06d}.npy", word)
-            _save(model.out, f"table-{part:06d}.npy", table)
-            yield pa.RecordBatch.from_arrays([pa.array([len(word)], pa.int64())], ["n"])
-
-    return run
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, found) of each wanted value in a sorted array."""
-    at = np.searchsorted(keys, wanted)
-    at[at == len(keys)] = 0
-    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), dtype=bool)
+    counted = written(texts.mapInArrow(tidy(_count_words), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    n_texts = texts.count()
+    n_words, n_tokens = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if n_words >= MOST_WORDS:
+        raise ValueError("more distinct words than numbers")
+    bits = max(0, (n_words // PART_WORDS).bit_length())
+    part = F.shiftrightunsigned("word", 64 - bits).cast("int") if bits else F.lit(0)
+    sizes = dict(counted.select(part.alias("part"), "word", "n").repartitionById(1 << bits, "part").mapInArrow(_number_words(out), "part int, n long").collect())
+    words = Words(out, bits, np.append(0, np.cumsum([sizes.get(k, 0) for k in range(1 << bits)])))
+    hot = [r.word for r in counted.where(F.col("n") > PART_TOKENS).select("word").collect()]
+    frequent = np.sort(Numbers(words).of(np.array(hot, dtype=np.int64).view(U64))) if hot else np.empty(0, _U32)
+    if n_texts > PART_TOKENS:
+        frequent = np.append(frequent, _U32(words.end + 1))
+    parts = max(8, (n_tokens + n_texts) // PART_TOKENS + 1)
+    deal = Deal(int(parts), frequent)
+    discard(counted)
+
+    grams = texts.mapInArrow(tidy(_count_grams(words, deal, order)), BLOCKS)
+    if order == 2:
+        first, merged = None, grams
+    else:
+        first = written(grams.repartitionById(deal.parts, "part").mapInArrow(tidy(_top_parts(words, deal)), BLOCKS), "trigrams")
+        merged = first.where("kind in ('suffix', 'context')")
+    pairs = written(merged.repartitionById(2 * deal.parts, "part").mapInArrow(tidy(_pair_parts(words)), BLOCKS), "pairs")
+    shares = pairs if first is None else pairs.union(first)
+    ended = shares.where("kind = 'words'").repartitionById(len(words.offsets), "part").mapInArrow(tidy(_word_parts(words)), BLOCKS)
+    ended = written(ended, "ended")
+    sums = {r.kind: (r.n1, r.n2, r.n3, r.n4) for r in shares.where("data is null").union(ended).groupBy("kind").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(1, 5))).collect()}
+    discard(pairs, ended, *([first] if first is not None else []))
+    levels = {k: _discounts(*sums.get(f"level{k}", (0,) * 4)) for k in range(1, order + 1)}
+    one, two, *_ = sums.get("level1", (0,) * 4)
+    n_types, many, *_ = sums.get("types", (0,) * 4)
+    rest = sum(d * n for d, n in zip(levels[1], (one, two, many), strict=True)) / n_types if n_types else 1.0
+    present = {}
+    names = [f.base_name.split("-") for f in filesystem.get_file_info(arrow_fs.FileSelector(root)) if not f.base_name.startswith(".")]
+    for kind in ("top", "context", "suffix", "table"):
+        own = {int(x[1].removesuffix(".npy")) for x in names if x[0] == kind}
+        present[kind] = np.isin(np.arange(2 * deal.parts + len(words.offsets)), sorted(own))
+    return Model(order, words, deal, n_tokens + n_texts, n_texts, n_words + (n_texts > 0), n_types, levels, rest, present)
 
 
 class Reader:
     """The model as a worker sees it: arrays mapped into memory, of which only the pages that are looked at are read."""
 
     def __init__(self, model: Model):
-        self.model, self.open = model, {}
-        self.present = {k: set(v) for k, v in model.present.items()}
-
-    def array(self, name: str, part: int) -> np.ndarray:
-        key = f"{name}-{part:06d}.npy"
-        if key not in self.open:
-            self.open[key] = _load(self.model.out, key)
-        return self.open[key]
+        self.model, self.numbers, self.files = model, Numbers(model.words), Files(model.words.out)
 
-    def words(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Count in training, lower-order probability and weight left as a context, of sorted distinct tokens."""
+    def of_words(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Count in training, probability by the lowest level, total and weight left as a context, of sorted distinct words."""
         m = self.model
-        count = np.zeros(len(tokens), dtype=np.int64)
-        p = np.full(len(tokens), m.word_rest / (m.n_words + 1))
-        left = np.zeros(len(tokens))
-        part = tokens.view(np.int64) % m.word_parts
-        for k in np.unique(part):
-            if k not in self.present["words"]:
-                continue
+        count, table = np.zeros(len(number), dtype=np.int64), np.zeros((len(number), 5))
+        part = np.searchsorted(m.words.offsets, number, side="right") - 1
+        for k in np.unique(part).tolist():
             own = np.flatnonzero(part == k)
-            at, hit = _find(self.array("words", k), tokens[own].view(np.int64))
-            found = self.array("table", k)[at[hit]]
-            count[own[hit]], p[own[hit]], left[own[hit]] = found["tokens"], found["p"], found["left"]
-        return count, p, left
-
-    def bigrams(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Counts in training."""
-        out = np.zeros(len(h), dtype=np.int64)
-        part, key = _part_of(h, w, self.model.parts), _key(h, w)
-        order = np.lexsort((key, part))
-        cuts = np.searchsorted(part[order], np.arange(self.model.parts + 1))
-        for k in np.flatnonzero(np.diff(cuts)):
-            if k not in self.present["bigrams"]:
-                continue
-            own = order[cuts[k] : cuts[k + 1]]
-            at, hit = _find(self.array("more", k), key[own])
-            out[own[hit]] = self.array("counts", k)[at[hit]]
-            own = own[~hit]
-            _, hit = _find(self.array("once", k), key[own])
-            out[own[hit]] = 1
+            at = number[own].astype(np.int64) - int(m.words.offsets[k])
+            if k + 1 < len(m.words.offsets):
+                count[own] = self.files.array(f"counts-{k:06d}")[at]
+            else:
+                count[own] = np.where(at == 0, m.n_texts, 0)
+                own, at = own[at < 2], at[at < 2]
+            if m.present["table"][k]:
+                table[own] = self.files.array(f"table-{k:06d}")[at]
+        types = table[:, 4]
+        taken = np.array([0, *m.discounts[1]])[np.minimum(types, 3).astype(np.int64)]
+        p = (types - taken) / max(m.n_types, 1) + m.rest / (m.n_words + 1)
+        return count, p, table[:, 0], table[:, 1:4] @ np.array(m.discounts[2])
+
+    def _each_part(self, kind: str, part: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
+        order = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.append(True, np.diff(part[order]) != 0)) if len(part) else []
+        for own in np.split(order, cuts[1:]) if len(part) else []:
+            if self.model.present[kind][part[own[0]]]:
+                yield f"{kind}-{int(part[own[0]]):06d}", own
+
+    def counts(self, kind: str, part: np.ndarray, key: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(key), dtype=np.int64)
+        for name, own in self._each_part(kind, part):
+            at = self.files.find(f"{name}-more", key[own])
+            out[own[at >= 0]] = self.files.array(f"{name}-counts")[at[at >= 0]]
+            own = own[at < 0]
+            out[own] = self.files.find(f"{name}-once", key[own]) >= 0
         return out
 
-    def scores(self, before: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each token after the one before it, and the tokens' counts in training."""
-        m = self.model
-        distinct, at = np.unique(np.concatenate([before, tokens]), return_inverse=True)
-        count, p, left = self.words(distinct)
-        h, w = at[: len(before)], at[len(before) :]
-        pair, back = np.unique(h * len(distinct) + w, return_inverse=True)
-        h1, w1 = pair // len(distinct), pair % len(distinct)
-        n = self.bigrams(distinct[h1], distinct[w1])
-        # a word is a context as often as it is a token, the start of a text as often as its end
-        as_context = np.where(distinct == START, self.words(np.array([END]))[0][0], count)
-        total = as_context[h1]
-        taken = np.array([0, *m.bigram_discounts])[np.minimum(n, 3)]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            high = np.where(total > 0, (n - taken) / total, 0)
-            weight = np.where(total > 0, left[h1] / total, 1)
-        return np.log10(high + weight * p[w1])[back], count[w]
+    def contexts(self, part: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Total and weight left of pairs as contexts."""
+        total, left = np.zeros(len(key)), np.zeros(len(key))
+        d = np.array(self.model.discounts[3])
+        for name, own in self._each_part("context", part):
+            at = self.files.find(f"{name}-more", key[own])
+            stats = self.files.array(f"{name}-stats")[at[at >= 0]].astype(float)
+            total[own[at >= 0]], left[own[at >= 0]] = stats[:, 0], stats[:, 1:] @ d
+            own = own[at < 0]
+            hit = own[self.files.find(f"{name}-once", key[own]) >= 0]
+            total[hit], left[hit] = 1, d[0]
+        return total, left
+
+    def _level(self, level: int, n: np.ndarray, total: np.ndarray, left: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        taken = np.array([0, *self.model.discounts[level]])[np.minimum(n, 3)]
+        safe = np.maximum(total, 1)
+        return np.where(total > 0, (n - taken) / safe + left / safe * lower, lower)
+
+    def scores(self, two: np.ndarray, one: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each token after those before it, and the tokens' counts in training."""
+        m, deal = self.model, self.model.deal
+        distinct, at = np.unique(np.concatenate([one, tokens]), return_inverse=True)
+        count, lowest, total, left = self.of_words(distinct)
+        first, last = at[: len(one)], at[len(one) :]
+        pair, back = np.unique(first * len(distinct) + last, return_inverse=True)
+        a, b = pair // len(distinct), pair % len(distinct)
+        v, w = distinct[a], distinct[b]
+        n = self.counts("suffix", deal.pair(v, v, w), _key(v, w))
+        p = self._level(2, n, total[a], left[a], lowest[b])[back]
+        if m.order == 3:
+            n = self.counts("top", deal.top(two, one, tokens), _key(two, one, tokens))
+            context, back = np.unique(_pair(two, one), return_inverse=True)
+            u, v = (context >> _32).astype(_U32), context.astype(_U32)
+            total, left = self.contexts(deal.pair(v, u, v), _key(u, v))
+            p = self._level(3, n, total[back], left[back], p)
+        return np.log10(p), count[last]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -326,12 +589,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m, reader = shared.value, Reader(shared.value)
         floor = np.log10(m.n_tokens + 0.1 * (m.n_words + 1))
         for batch in batches:
-            for row, before, tokens, text in _sequences(batch):
-                scores, count = reader.scores(before, tokens)
-                n = int(text[-1]) + 1
-                base = np.log10(count + 0.1) - floor
-                columns = [np.bincount(text, minlength=n), np.bincount(text[count > 0], minlength=n), np.bincount(text, weights=base, minlength=n), np.bincount(text, weights=scores, minlength=n)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[row : row + n], *map(pa.array, columns)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    rows = texts_of(docs)
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+            two, one, tokens, text = reader.numbers.sequences(batch.column("text"))
+            if not len(tokens):
+                continue
+            scores, count = reader.scores(two, one, tokens)
+            n, base = batch.num_rows, np.log10(count + 0.1) - floor
+            columns = [np.bincount(text, minlength=n), np.bincount(text[count > 0], minlength=n), np.bincount(text, weights=base, minlength=n), np.bincount(text, weights=scores, minlength=n)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    return texts_of(docs).mapInArrow(tidy(run), "doc_id long, n_tokens long, n_known long, base_score double, score double")
