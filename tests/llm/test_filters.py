@@ -1,9 +1,12 @@
 import random
+import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veritrace.llm import toxicity, url_filters
+from veritrace.llm import decontamination, toxicity, url_filters
 from veritrace.llm.common import doc_remainder
 from veritrace.llm.decontamination import find_leaks, lcs_length
 
@@ -40,6 +43,31 @@ def test_toxicity_learns_and_keeps_rows(spark):
     assert toxicity.score(tables.empty(spark), model).collect() == []
 
 
+def test_toxicity_features_and_ratios_match_brute_force(spark, monkeypatch):
+    """Texts and n-grams counted one by one; repeated rows, and ids with two texts or without one, count as the docstring says."""
+    rng = random.Random(6)
+    texts = {i: tables.text(rng, 12) + (" you nitwit" if i % 3 == 0 else " dear friend") for i in range(90)}
+    rows = [tables.row(i, t.upper() if i % 2 else t) for i, t in texts.items()] + [tables.row(5, texts[5].upper())] * 40 + [tables.row(None, "nitwit")]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(95)], "doc_id long, toxic int")
+
+    def grams(text):
+        text = " ".join(re.split("[\\x20\\x09-\\x0D]", text.lower())).encode()
+        return {text[i : i + n] for n in toxicity.LENGTHS for i in range(len(text) - n + 1) if b" " not in text[i + 1 : i + n - 1]}
+
+    toxic, clean = (Counter(g for i, t in texts.items() if (i % 3 == 0) == y for g in grams(t)) for y in (True, False))
+    want = []
+    for g in set(toxic) | set(clean):
+        ratio = np.log((toxic[g] + 0.5) / (30 + 1)) - np.log((clean[g] + 0.5) / (60 + 1))
+        if toxic[g] + clean[g] >= toxicity.MIN_TEXTS and abs(ratio) >= toxicity.MIN_RATIO:
+            want.append(ratio)
+    seen = {}
+    fit = toxicity._fit
+    monkeypatch.setattr(toxicity, "_fit", lambda lists, y, ratio, bias: seen.update(ratio=ratio, y=y, n=len(lists)) or fit(lists, y, ratio, bias))
+    model = toxicity.train(spark.createDataFrame(rows, tables.DOCS), labels)
+    assert sorted(seen["ratio"]) == pytest.approx(sorted(want)) and seen["n"] == 90 and seen["y"].sum() == 30
+    assert len(model.buckets) == len(want)
+
+
 def test_toxicity_without_labels_or_with_one_kind(spark):
     docs = tables.awkward(spark)
     for labels in ([], [(1, 0), (8, 0)]):
@@ -87,11 +115,24 @@ def judged(spark):
 
 
 def test_url_model_on_hosts_it_has_not_seen(spark):
-    good = ["kitchen.example.org/en/1", "forum.example.net/en/9", "maps.example.org/de/"]
-    bad = ["casino-palace.example.org/en/1", "cheap-pills-now.example.org/en/9", "adult-cam.example.net/de/5"]
-    pages = spark.createDataFrame([(i, "https://" + u) for i, u in enumerate(good + bad)], "page_id long, url string")
-    got = [r.verdict for r in url_filters.judge_urls(pages, url_filters.train(url_filters.labelled_urls(spark))).orderBy("page_id").collect()]
-    assert got == ["allow"] * 3 + ["block"] * 3
+    """Hosts are dealt into those that are learnt from and those that are judged; so are paths."""
+    table = url_filters.labelled_urls(spark).withColumn("host", url_filters.host_of(F.col("url"))).withColumn("path", url_filters.path_of(F.col("url")))
+    held_out = F.crc32(F.col("host").cast("binary")) % 4 == 0
+    model = url_filters.train(table.where(~held_out))
+    judged = url_filters.judge_urls(table.where(held_out).select(F.col("label").alias("page_id"), "url"), model, rules=[]).toPandas()
+    assert judged.rule.isna().all() and len(judged) > 60
+    assert ((judged.verdict == "block") == (judged.page_id == 1)).mean() > 0.85
+
+
+def test_url_model_learns_from_paths(spark):
+    """The same unknown host: the path decides."""
+    model = url_filters.train(url_filters.labelled_urls(spark))
+    paths = ["/free/casino-spins", "/ads/click/7", "/buy/cheap-pills", "/articles/science.html", "/news/2024/garden", "/wiki/history"]
+    pages = spark.createDataFrame([(i, f"https://zq.example.org{p}") for i, p in enumerate(paths)], "page_id long, url string")
+    got = [r.probability for r in url_filters.judge_urls(pages, model).orderBy("page_id").collect()]
+    assert min(got[:3]) > max(got[3:])
+    pages = spark.createDataFrame([(i, "https://" + u) for i, u in enumerate(["kitchen.example.org/en/1", "maps.example.org/de/", "casino-palace.example.org/en/1", "cheap-pills-now.example.org/en/9"])], "page_id long, url string")
+    assert [r.verdict for r in url_filters.judge_urls(pages, model).orderBy("page_id").collect()] == ["allow"] * 2 + ["block"] * 2
 
 
 def test_leaks_are_found_and_clean_texts_left_alone(spark):
@@ -140,6 +181,44 @@ def test_leaks_without_their_rarest_words_match_brute_force(spark, share):
     assert found == want
 
 
+def test_recall_of_the_candidate_search(spark):
+    """Against brute force: the rules applied around every word of every text, without candidates."""
+    rng = random.Random(14)
+    items = [tables.text(rng, n) + ". " + tables.text(rng, 6) + "." for n in (10, 14, 20, 30, 40, 52)]
+    docs = []
+    for i in range(90):
+        words = tables.text(rng, rng.randint(5, 150)).split()
+        if i % 4:
+            leak = items[i % len(items)].replace(".", "").split()
+            share, kept = (0.1, 0.2, 0.3, 0.38, 0.45)[i % 5], 6 if i % 2 else 0
+            for j in rng.sample(range(len(leak) - kept), int(share * len(leak))):
+                leak[j] = rng.choice(["", f"new{i}x{j}"])
+            at = rng.randint(0, len(words))
+            words[at:at] = [w for w in leak if w]
+        docs.append(tables.row(i, " ".join(words)))
+    hashed = decontamination._items([type("R", (), {"item_id": k, "text": t}) for k, t in enumerate(items)])
+    want = set()
+    for i, text, *_ in docs:
+        data = np.frombuffer(text.encode(), np.uint8)
+        words, _ = decontamination.hash_words(np.array([0, len(data)]), data, decontamination.WORD_BYTES)
+        for item in hashed:
+            width = decontamination._width(len(item.words))
+            if any(decontamination._judge(item, words[max(a - width // 4, 0) : a + width + width // 4])[1] for a in range(len(words))):
+                want.add((i, item.item_id))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(docs, tables.DOCS), bench).collect()}
+    assert len(want) > 40 and found <= want and len(found) >= 0.97 * len(want)
+
+
+def test_blocks_of_items_are_searched_alike(spark, monkeypatch):
+    rng = random.Random(15)
+    items = [(k, tables.text(rng, 20)) for k in range(12)]
+    docs = spark.createDataFrame([tables.row(i, f"{tables.text(rng, 30)} {items[i % 12][1]} {tables.text(rng, 9)}") for i in range(24)], tables.DOCS)
+    monkeypatch.setattr(decontamination, "ITEMS_PER_BLOCK", 5)
+    found = find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(i, i % 12) for i in range(24)]
+
+
 def test_item_of_one_sentence_is_found_by_its_last_words(spark):
     rng = random.Random(13)
     item = [f"word{j}" for j in range(30)]

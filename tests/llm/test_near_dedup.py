@@ -7,6 +7,7 @@ import pytest
 
 from veritrace.llm.common import hash_shingles, hash_words
 from veritrace.llm.components import connected_components
+from veritrace.llm import near_dedup
 from veritrace.llm.near_dedup import near_duplicates, super_minhash
 
 from . import tables
@@ -125,3 +126,28 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(40)] + [(5, 5)]
     got = dict(connected_components(spark.createDataFrame(edges, "u long, v long")).collect())
     assert got == {i: 0 for i in range(1, 31)} | {100 + i: 100 for i in range(1, 40)}
+
+
+def test_texts_in_a_template_meet_nobody(spark, monkeypatch):
+    """Texts with most words from a template and a few of their own, below the threshold: no pairs come from the shared words."""
+    rng = random.Random(4)
+    template = tables.text(rng, 60)
+    rows = [(i, f"{template} {tables.text(rng, 9)} own{i} {tables.text(rng, 4)}") for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(5)]
+    pairs = []
+    prefix_pairs = near_dedup._prefix_pairs
+    monkeypatch.setattr(near_dedup, "_prefix_pairs", lambda *a: pairs.append(prefix_pairs(*a)) or pairs[-1])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()}
+    assert got == brute(rows, 2)
+    assert pairs[0].count() < len(rows)
+
+
+def test_sets_whose_class_is_the_same_by_chance(spark, monkeypatch):
+    """With classes of two bits many sets share one, and are told apart by the other bits."""
+    keys = near_dedup._set_keys
+    monkeypatch.setattr(near_dedup, "_set_keys", lambda sets: ([k and k % 4 for k in keys(sets)[0]], keys(sets)[1]))
+    rng = random.Random(5)
+    rows = [(i, tables.text(rng, 40)) for i in range(30)]
+    rows += [(100 + i, t) for i, t in rows[:10]]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 5)

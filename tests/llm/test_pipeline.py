@@ -89,3 +89,11 @@ def test_stages_take_awkward_rows_and_empty_tables(spark):
             if name == "near_dedup":
                 kept = [r.doc_id for r in docs.collect()]
                 assert kept.count(1) == (1 if kept else 0) and 2 not in kept and 7 not in kept
+
+
+def test_mix_takes_columns_of_any_name(spark):
+    rows = [(i, f"word{i} and more words", "a", i, i, i, i, i) for i in range(6)] + [(None, "one two", None, 0, 0, 0, 0, 0), (7, None, "b", 1, 1, 1, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int, _copy int, mixed int, row int, n int")
+    got = corpus_pipeline.mix(spark, docs, SF)
+    assert got.columns == docs.columns and got.distinct().subtract(docs).count() == 0 and got.count() >= 6
+    assert corpus_pipeline.mix(spark, docs.limit(0), SF).collect() == []
