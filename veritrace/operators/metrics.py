@@ -2,32 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..store import written
+from .ranks import concordant_pairs, rank_correlation, running_sums, same_keys
+
 
 def pearson(x: str, y: str) -> Column:
     """Correlation; null where one side is constant."""
     return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
 
 
-def average_rank(column: str, *keys: str) -> Column:
-    """Rank with ties averaged, within keys."""
-    ordered = Window.partitionBy(*keys).orderBy(column)
-    return F.rank().over(ordered) + (F.count("*").over(Window.partitionBy(*keys, column)) - 1) / 2.0
-
-
-def _ranked(rows: DataFrame, y: str, pred: str, keys: tuple[str, ...]) -> DataFrame:
-    return rows.withColumns({"_ry": average_rank(y, *keys), "_rp": average_rank(pred, *keys)})
-
-
 def regression_metrics(rows: DataFrame, y: str, pred: str, *keys: str, floor: float = 0.02) -> DataFrame:
     """n, MAE, RMSE, R2, bias, MAPE over y > floor, correlations; R2 is null for a constant truth."""
     error = F.col(pred) - F.col(y)
     large = F.col(y) > floor
-    return (
-        _ranked(rows, y, pred, keys)
-        .groupBy(*keys)
+    base = (
+        rows.groupBy(*keys)
         .agg(
             F.count("*").alias("n"),
             F.avg(F.abs(error)).alias("mae"),
@@ -37,9 +29,9 @@ def regression_metrics(rows: DataFrame, y: str, pred: str, *keys: str, floor: fl
             F.sum(F.when(large, 0).otherwise(1)).alias("mape_excluded"),
             F.avg(error).alias("bias"),
             pearson(y, pred).alias("pearson"),
-            pearson("_ry", "_rp").alias("spearman"),
         )
     )
+    return same_keys(base, rank_correlation(rows, y, pred, *keys), *keys)
 
 
 def calibration(rows: DataFrame, y: str, pred: str, *keys: str) -> DataFrame:
@@ -49,26 +41,26 @@ def calibration(rows: DataFrame, y: str, pred: str, *keys: str) -> DataFrame:
 
 
 def pair_counts(rows: DataFrame, y: str, pred: str) -> DataFrame:
-    """Concordant, discordant and tied pairs of rows, over all pairs.
+    """Concordant, discordant and tied pairs of rows, over all pairs; one row.
 
-    Equal (y, pred) rows are collapsed to a count first. Pairs then come from a theta join of distinct
-    values by blocks of y: for each pair of rows the number of earlier rows with a lesser, equal or
-    greater prediction. The statistic is quadratic in the distinct values; use
-    `concordance_sample` beyond some ten thousand of them.
+    Equal (y, pred) rows are collapsed to a count first; ties follow from counts, rising pairs are counted by blocks of both sides.
     """
     points = rows.where(F.col(y).isNotNull() & F.col(pred).isNotNull()).groupBy(F.col(y).cast("double").alias("y"), F.col(pred).cast("double").alias("p")).agg(F.count("*").alias("n"))
-    a, b = points.select(*(F.col(c).alias(c + "1") for c in "ypn")), points.select(*(F.col(c).alias(c + "2") for c in "ypn"))
-    pairs = a.join(b, F.col("y1") < F.col("y2"))
-    w = F.col("n1") * F.col("n2")
-    counted = pairs.agg(
-        F.coalesce(F.sum(F.when(F.col("p1") < F.col("p2"), w)), F.lit(0)).alias("concordant"),
-        F.coalesce(F.sum(F.when(F.col("p1") > F.col("p2"), w)), F.lit(0)).alias("discordant"),
-        F.coalesce(F.sum(F.when(F.col("p1") == F.col("p2"), w)), F.lit(0)).alias("tied_pred"),
-    )
-    tied = points.groupBy("y").agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("same")).agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("tied_y"), F.sum("same").alias("tied_both")
+    points = written(points, "points")
+    pairs = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
+    tied = points.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(pairs("n"), F.lit(0.0)).alias("tied_both"))
+    for c in "yp":
+        tied = tied.join(F.broadcast(points.groupBy(c).agg(F.sum("n").alias("n")).agg(F.coalesce(pairs("n"), F.lit(0.0)).alias(f"tied_{c}"))), F.lit(True))
+    rising = F.lit(concordant_pairs(points)).cast("double")
+    every = F.col("n") * (F.col("n") - 1) / 2
+    return tied.select(
+        rising.alias("concordant"),
+        (every - F.col("tied_y") - F.col("tied_p") + F.col("tied_both") - rising).alias("discordant"),
+        (F.col("tied_p") - F.col("tied_both")).alias("tied_pred"),
+        "n",
+        "tied_y",
+        "tied_both",
     )
-    return counted.join(F.broadcast(tied), F.lit(True))  # one row each
 
 
 def rank_agreement(rows: DataFrame, y: str, pred: str) -> DataFrame:
@@ -87,20 +79,22 @@ def binary_metrics(rows: DataFrame, y: str, pred: str, threshold: float, *keys:
     """Screening of rows with y > threshold by pred > threshold; areas are null where one class is missing."""
     t = F.col(y) > threshold
     rows = rows.withColumns({"_t": t.cast("int"), "_p": (F.col(pred) > threshold).cast("int")})
-    rows = rows.withColumn("_r", average_rank(pred, *keys))
     by_score = rows.groupBy(*keys, pred).agg(F.sum("_t").alias("_pos"), F.count("*").alias("_n"))
-    down = Window.partitionBy(*keys).orderBy(F.desc(pred)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = by_score.withColumns({"_tp": F.sum("_pos").over(down), "_all": F.sum("_n").over(down)})
-    ap = steps.groupBy(*keys).agg((F.sum(F.col("_pos") * F.col("_tp") / F.col("_all")) / F.nullif(F.sum("_pos").cast("double"), F.lit(0.0))).alias("pr_auc"))
+    steps = running_sums(by_score, pred, ["_pos", "_n"], *keys)
+    tp_so_far, all_so_far = (F.col(f"total_{c}") - F.col(f"before_{c}") for c in ("_pos", "_n"))  # from the greatest down to this score
+    areas = steps.groupBy(*keys).agg(
+        (F.sum(F.col("_pos") * tp_so_far / all_so_far) / F.nullif(F.sum("_pos").cast("double"), F.lit(0.0))).alias("pr_auc"),
+        F.sum(F.col("_pos") * (F.col("before__n") + (F.col("_n") + 1) / 2.0)).alias("_ranks"),
+    )
     count = lambda a, b: F.sum(F.when((F.col("_t") == a) & (F.col("_p") == b), 1).otherwise(0)).cast("double")
     base = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg("_t").alias("prevalence"), count(1, 1).alias("tp"), count(0, 1).alias("fp"), count(1, 0).alias("fn"), count(0, 0).alias("tn"), F.sum(F.col("_r") * F.col("_t")).alias("_ranks")
+        F.count("*").alias("n"), F.avg("_t").alias("prevalence"), count(1, 1).alias("tp"), count(0, 1).alias("fp"), count(1, 0).alias("fn"), count(0, 0).alias("tn")
     )
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     pos, neg = tp + fn, fp + tn
     over = lambda a, b: a / F.nullif(b, F.lit(0.0))
     both = (pos > 0) & (neg > 0)
-    made = base.withColumns(
+    made = same_keys(base, areas, *keys).withColumns(
         {
             "roc_auc": over(F.col("_ranks") - pos * (pos + 1) / 2, pos * neg),
             "precision": F.coalesce(over(tp, tp + fp), F.lit(0.0)),
@@ -108,10 +102,10 @@ def binary_metrics(rows: DataFrame, y: str, pred: str, threshold: float, *keys:
             "f1": F.coalesce(over(2 * tp, 2 * tp + fp + fn), F.lit(0.0)),
             "balanced_accuracy": (over(tp, pos) + over(tn, neg)) / 2,
             "mcc": F.coalesce(over(tp * tn - fp * fn, F.sqrt((tp + fp) * pos * neg * (tn + fn))), F.lit(0.0)),
+            "pr_auc": F.when(both, F.col("pr_auc")),
         }
     ).drop("_ranks")
-    joined = made.join(ap, list(keys)) if keys else made.join(F.broadcast(ap), F.lit(True))
-    return joined.withColumn("pr_auc", F.when(both, F.col("pr_auc")))
+    return made
 
 
 def precision_at_k(rows: DataFrame, y: str, pred: str, k: int, threshold: float, order: str) -> DataFrame:

@@ -10,7 +10,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import average_rank, pearson, rank_agreement
+from .metrics import rank_agreement
+from .ranks import rank_correlation
+
+
+#: Probabilities of at most 0, 1, 2, ... where one is expected.
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+
+
+def _poisson(key: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
+    """A Poisson(1) number for each replicate and key: the quantile of a hash of both."""
+    offset = np.uint64(seed * 0xD1342543DE82EF95 & (1 << 64) - 1)
+    x = _mixed(key + offset)[None, :] + (replicates[:, None] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    uniform = (_mixed(x) >> np.uint64(11)) / float(1 << 53)
+    return np.searchsorted(_POISSON, uniform, side="right").astype(float)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
 
 
 def _replicates(groups: DataFrame, columns: list[str], n_boot: int, seed: int) -> np.ndarray:
@@ -24,9 +43,11 @@ def _replicates(groups: DataFrame, columns: list[str], n_boot: int, seed: int) -
         sums = np.zeros((n_boot + 1, len(columns)))
         for batch in batches:
             values = np.column_stack([batch.column(c).to_numpy().astype(float) for c in columns])
-            for key, row in zip(batch.column("key").to_pylist(), values, strict=True):
-                weights = np.append(np.random.default_rng([seed, key & (2**63 - 1)]).poisson(1.0, n_boot), 1)
-                sums += weights[:, None] * row[None, :]
+            key = batch.column("key").to_numpy().view(np.uint64)
+            sums[n_boot] += values.sum(axis=0)
+            for a in range(0, n_boot, 64):
+                replicates = np.arange(a, min(a + 64, n_boot), dtype=np.uint64)
+                sums[a : a + len(replicates)] += _poisson(key, replicates, seed) @ values
         place = np.repeat(np.arange(n_boot + 1), len(columns))
         yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(np.tile(np.arange(len(columns)), n_boot + 1)), pa.array(sums.ravel())], ["b", "c", "v"])
 
@@ -88,9 +109,9 @@ def call_significance(calls: DataFrame, margin: float | None = None, alpha: floa
     Kendall's p-value takes the normal approximation without ties' correction of the variance, Spearman's the t.
     """
     agreement = rank_agreement(calls, "wer_true", "wer_pred").first()
-    ranked = calls.withColumns({"_a": average_rank("wer_true"), "_b": average_rank("wer_pred")})
+    rho = rank_correlation(calls, "wer_true", "wer_pred").first()["spearman"]
     d = F.col("wer_pred") - F.col("wer_true")
-    n, rho, mean, sd = ranked.agg(F.count("*"), pearson("_a", "_b"), F.avg(d), F.stddev_samp(d)).first()
+    n, mean, sd = calls.agg(F.count("*"), F.avg(d), F.stddev_samp(d)).first()
     tau = agreement["kendall_tau"]
     kendall_p = spearman_p = tost_p = None
     if tau is not None and n > 2:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.align import edit_counts
-from .metrics import average_rank, pearson
+from .metrics import pearson
+from .ranks import rank_correlation, running_sums, same_keys
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -49,31 +50,30 @@ def proxy_blindness(rows: DataFrame, *keys: str) -> DataFrame:
 
     rows: label_wer, pwer_mean.
     """
-    ranked = rows.withColumns({"_rx": average_rank("pwer_mean", *keys), "_ry": average_rank("label_wer", *keys)})
-    return ranked.groupBy(*keys).agg(
+    base = rows.groupBy(*keys).agg(
         F.count("*").alias("n"),
         share(F.col("pwer_mean") == 0).alias("pct_agree"),
         share((F.col("pwer_mean") == 0) & (F.col("label_wer") > 0)).alias("pct_blind"),
         pearson("pwer_mean", "label_wer").alias("pearson"),
-        pearson("_rx", "_ry").alias("spearman"),
     )
+    return same_keys(base, rank_correlation(rows, "pwer_mean", "label_wer", *keys), *keys)
 
 
 def length_report(rows: DataFrame, *keys: str, short_words: int = 5, high_wer: float = 1.0) -> DataFrame:
     """Lengths, and how much of the squared error lies in the top hundredth of rows."""
-    square = F.col("label_wer") ** 2
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(square.desc(), "segment_id"))
-    n = F.count("*").over(Window.partitionBy(*keys))
-    top = rows.withColumn("_top", place <= F.greatest(F.floor(n / 100), F.lit(1)))
-    return top.groupBy(*keys).agg(
+    base = rows.groupBy(*keys).agg(
         F.floor(F.percentile("n_ref_words", F.lit(0.05))).cast("long").alias("words_p05"),
         F.floor(F.percentile("n_ref_words", F.lit(0.5))).cast("long").alias("words_median"),
         share(F.col("n_ref_words") < short_words).alias("pct_short"),
         F.max("label_wer").alias("wer_max"),
         F.percentile("label_wer", F.lit(0.99)).alias("wer_p99"),
         share(F.col("label_wer") > high_wer).alias("pct_high"),
-        ratio(F.sum(F.when(F.col("_top"), square)), F.sum(square)).alias("top_share"),
     )
+    squares = rows.groupBy(*keys, (F.col("label_wer") ** 2).alias("square")).agg(F.count("*").alias("n"))
+    placed = running_sums(squares, "square", ["n"], *keys)
+    wanted = F.greatest(F.floor(F.col("total_n") / 100), F.lit(1)) - (F.col("total_n") - F.col("before_n") - F.col("n"))  # after the greater ones
+    top = F.sum(F.col("square") * F.least(F.greatest(wanted, F.lit(0)), F.col("n")))
+    return same_keys(base, placed.groupBy(*keys).agg(ratio(top, F.sum(F.col("square") * F.col("n"))).alias("top_share")), *keys)
 
 
 def wer_by_system(rows: DataFrame, roles: tuple[str, ...]) -> DataFrame:
@@ -118,9 +118,9 @@ def call_metrics(rows: DataFrame, pred: str = "pred") -> DataFrame:
 def call_summary_of(calls: DataFrame, digits: int = 4) -> DataFrame:
     """Means over calls of the rounded errors, and the rank correlation if there are more than two."""
     rounded = calls.withColumns({c: F.round(c, digits) for c in ("wer_true", "wer_pred", "abs_error", "rel_error")})
-    ranked = rounded.withColumns({"_rx": average_rank("wer_pred"), "_ry": average_rank("wer_true")})
-    out = ranked.agg(F.count("*").alias("calls"), F.avg("rel_error").alias("werr_mean"), F.avg("abs_error").alias("mae"), pearson("_rx", "_ry").alias("_rho"))
-    return out.withColumn("spearman", F.when(F.col("calls") > 2, F.col("_rho"))).drop("_rho")
+    out = rounded.agg(F.count("*").alias("calls"), F.avg("rel_error").alias("werr_mean"), F.avg("abs_error").alias("mae"))
+    ranked = same_keys(out, rank_correlation(rounded, "wer_pred", "wer_true"))
+    return ranked.withColumn("spearman", F.when(F.col("calls") > 2, F.col("spearman")))
 
 
 def true_wer(rows: DataFrame) -> DataFrame:

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; where that is unset (one machine), below a folder of our own."""
+    """A new path below spark.checkpoint.dir; where that is unset on a single machine, below a folder of our own, on a cluster an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veritrace-"))
         root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/veritrace-{name}-{uuid.uuid4().hex}"
