@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,7 @@ from ..schema import PROXIES
 from .align import char_error_rate, edit_counts
 from .text import words
 
+#: Names of the features of the text, and of those that mean the same at any length.
 TEXT = ["n_hyp_words", "n_hyp_chars", "duration", "words_per_second", "chars_per_word", "gzip_ratio", "type_token_ratio", "repeated_word_ratio", "max_word_repeat", "log_duration"]
 SCALE_FREE_TEXT = ["words_per_second", "chars_per_word", "gzip_ratio", "type_token_ratio", "repeated_word_ratio"]
 EXTRA = ["x_is_operator"]
@@ -115,6 +116,23 @@ def with_extra_features(rows: DataFrame) -> DataFrame:
     return rows.withColumn("x_is_operator", F.when(F.lower(F.trim(F.coalesce("speaker_role", F.lit("")))).startswith("oper"), 1.0).otherwise(0.0))
 
 
+def with_call_context(rows: DataFrame, rate: str = "pwer_mean") -> DataFrame:
+    """What stands around a segment in its call: the rates of the segments before and after it and of the call, and its place (0 to 1).
+
+    A segment without a neighbour has its own rate there. The order is that of start_time; calls are short enough for one task each.
+    """
+    order = Window.partitionBy("sample_id").orderBy("start_time", "segment_id")
+    call = Window.partitionBy("sample_id")
+    return rows.withColumns(
+        {
+            "ctx_pwer_prev": F.coalesce(F.lag(rate).over(order), F.col(rate)),
+            "ctx_pwer_next": F.coalesce(F.lead(rate).over(order), F.col(rate)),
+            "ctx_pwer_call": F.avg(rate).over(call),
+            "ctx_position": F.coalesce((F.row_number().over(order) - 1) / F.nullif(F.count("*").over(call) - 1, F.lit(0)), F.lit(0.0)),
+        }
+    )
+
+
 def repeated_ngram_ratio(text: Column, n: int) -> Column:
     """Share of a text's n-grams that repeat an earlier one."""
     ws = words(text)

@@ -36,7 +36,11 @@ def add_labels(rows: DataFrame, role: str = "target", split: bool = True) -> Dat
 
     split: also tell substitutions, deletions and insertions, which needs a Python worker.
     """
-    rows = rows.where(F.col(f"hyp_{role}").isNotNull())
+    return with_labels(rows.where(F.col(f"hyp_{role}").isNotNull()), role, split)
+
+
+def with_labels(rows: DataFrame, role: str = "target", split: bool = False) -> DataFrame:
+    """The same for all rows: those that were not transcribed have null labels."""
     hyp, ref = F.col(f"hyp_{role}_norm"), F.col("reference_norm")
     if split:
         rows = rows.withColumn("_c", edit_counts(ref, hyp))

@@ -11,7 +11,7 @@ from .metrics import binary_metrics, calibration, precision_at_k, rank_agreement
 from .summaries import call_metrics
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
+def union_of(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -33,7 +33,7 @@ def classification_report(rows: DataFrame, y: str, pred: str, thresholds: list[f
         n, bad = rows.agg(F.count("*"), F.sum((F.col(y) > t).cast("long"))).first()
         parts.append(binary_metrics(rows, y, pred, t).withColumn("threshold", F.lit(t)))
         parts += [precision_at_k(rows, y, pred, k, t, order).withColumn("threshold", F.lit(t)) for k in resolve_k(k_values, n, bad or 0)]
-    return _union(parts)
+    return union_of(parts)
 
 
 def transfer_report(rows: DataFrame, preds: list[str], y: str = "label_wer") -> DataFrame:
@@ -45,7 +45,7 @@ def transfer_report(rows: DataFrame, preds: list[str], y: str = "label_wer") ->
             one = regression_metrics(table, truth, guess).join(F.broadcast(calibration(table, truth, guess)), F.lit(True))
             one = one.join(F.broadcast(rank_agreement(table, truth, guess)), F.lit(True))
             parts.append(one.withColumns({"level": F.lit(level), "prediction": F.lit(p)}))
-    return _union(parts)
+    return union_of(parts)
 
 
 def importance_comparison(permutation: DataFrame, gains: DataFrame, n: int = 10) -> DataFrame:

@@ -14,14 +14,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.features import build_features, feature_names, is_transferable
 from ..operators.metrics import gain, regression_metrics
+from ..operators.ranks import running_sums
 from ..schema import PROXIES
 from ..store import written
 
+#: Penalties that are tried, bounds of an estimate.
 RIDGE_ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0)
 LASSO_ALPHAS = (0.0001, 0.001, 0.01, 0.1)
 CLIP = (0.0, 2.0)
@@ -159,8 +161,7 @@ def linear_models(rows: DataFrame, names: list[str], kinds: list[str]) -> dict[t
         elif kind == "mean":
             out |= {(kind, f): solve(sum(g for k, g in sums.items() if k[0] != f), "mean", None) for f in folds}
         elif kind == "pwer":
-            proxy = "pwer_mean" if "pwer_mean" in names else next(n for n in names if n.startswith("pwer_"))
-            out |= {(kind, f): Linear([float(n == proxy) for n in names], 0.0) for f in folds}
+            out |= {(kind, f): proxy_alone(names) for f in folds}
     return out
 
 
@@ -192,7 +193,11 @@ def score_trees(rows: DataFrame, names: list[str], folds: list[str], seed: int =
 def run_protocol(rows: DataFrame, protocol: str, models: tuple[str, ...] = ("mean", "pwer", "ridge", "lasso"), blocks: tuple[str, ...] = ("proxy", "text"), feature_set: str = "transferable", n_splits: int = 5, roles: tuple[str, ...] = PROXIES) -> DataFrame:
     """Out-of-fold predictions of several models under a protocol."""
     table, names = design(rows, blocks, feature_set, roles)
-    table = written(with_folds(table, protocol, n_splits), "design")
+    return run_protocol_on(written(with_folds(table, protocol, n_splits), "design"), names, models)
+
+
+def run_protocol_on(table: DataFrame, names: list[str], models: tuple[str, ...]) -> DataFrame:
+    """The same on a design table with folds."""
     out = score_linear(table, linear_models(table, names, [m for m in models if m not in ("hgb", "xgb")]))
     for kind in ("hgb", "xgb"):
         if kind in models:
@@ -201,19 +206,49 @@ def run_protocol(rows: DataFrame, protocol: str, models: tuple[str, ...] = ("mea
     return out
 
 
+def tuned_on_all(table: DataFrame, names: list[str], model: str) -> Linear:
+    """A model on all rows of a design table, its penalty by inner folds."""
+    sums = grams(table, len(names))
+    if model in ("ridge", "lasso"):
+        return _tuned(table, sums, [None], model)[None]
+    if model == "mean":
+        return solve(sum(sums.values()), "mean", None)
+    if model == "pwer":
+        return proxy_alone(names)
+    raise ValueError(f"no linear model {model}")
+
+
+def proxy_alone(names: list[str]) -> Linear:
+    """The estimate is the proxies' mean rate, or that of the one there is."""
+    proxy = "pwer_mean" if "pwer_mean" in names else next(n for n in names if n.startswith("pwer_"))
+    return Linear([float(n == proxy) for n in names], 0.0)
+
+
 def summarize(result: DataFrame) -> DataFrame:
     """A row for each model, with its gain over the proxy."""
     return gain(regression_metrics(result, "y", "pred", "model"))
 
 
-#: Feature blocks by configuration.
-ABLATION = {"proxy": ("proxy",), "text": ("text",), "proxy+text": ("proxy", "text"), "proxy+text+extra": ("proxy", "text", "extra")}
+#: Feature blocks and model of each configuration.
+ABLATION = {
+    "mean": (("proxy", "text"), "mean"),
+    "text": (("text",), "hgb"),
+    "proxy": (("proxy",), "hgb"),
+    "proxy+text hgb": (("proxy", "text"), "hgb"),
+    "proxy+text xgb": (("proxy", "text"), "xgb"),
+    "proxy+text ridge": (("proxy", "text"), "ridge"),
+}
 
 
-def ablation(rows: DataFrame, model: str = "ridge") -> DataFrame:
+def ablation(rows: DataFrame, configurations: dict = ABLATION) -> DataFrame:
+    """Regression metrics of each configuration; the features of all blocks are made once."""
+    table, every = design(rows, ("proxy", "text"), "full")
+    table = written(with_folds(table), "design")
     out = None
-    for name, blocks in ABLATION.items():
-        part = regression_metrics(run_protocol(rows, "group", (model,), blocks, "full"), "y", "pred", "model").withColumn("config", F.lit(name))
+    for name, (blocks, model) in configurations.items():
+        names = [n for n in every if n in feature_names(blocks)]
+        part = table.withColumn("x", F.array(*(F.col("x")[every.index(n)] for n in names)))
+        part = regression_metrics(run_protocol_on(part, names, (model,)), "y", "pred", "model").withColumn("config", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -235,9 +270,9 @@ def tree_gains(rows: DataFrame, seed: int = 0, steps: int = 30) -> DataFrame:
     return rows.sparkSession.createDataFrame(list(zip(names, fitted.featureImportances.toArray().tolist(), strict=True)), "feature string, gain double")
 
 
-def ridge_export(rows: DataFrame, blocks: tuple[str, ...] = ("proxy", "text"), feature_set: str = "transferable", alpha: float | None = None) -> str:
-    """A ridge on all rows as JSON: names, scaler, coefficients."""
-    table, names = design(rows, blocks, feature_set)
+def ridge_export(rows: DataFrame, blocks: tuple[str, ...] = ("proxy", "text"), feature_set: str = "transferable", alpha: float | None = None, roles: tuple[str, ...] = PROXIES) -> str:
+    """A ridge on all rows as JSON (the keys are fixed values): names, scaler, coefficients."""
+    table, names = design(rows, blocks, feature_set, roles)
     table = written(with_folds(table), "design")
     sums = grams(table, len(names))
     model = solve(sum(sums.values()), "ridge", alpha) if alpha is not None else _tuned(table, sums, [None], "ridge")[None]
@@ -253,6 +288,7 @@ def ridge_export(rows: DataFrame, blocks: tuple[str, ...] = ("proxy", "text"), f
             "clip": list(CLIP),
             "blocks": list(blocks),
             "feature_set": feature_set,
+            "roles": list(roles),
             "n_train_segments": sets.n,
             "train_wer_mean": round(sets.y, 4),
             "train_corpora": sets.corpus,
@@ -266,9 +302,10 @@ def ridge_export(rows: DataFrame, blocks: tuple[str, ...] = ("proxy", "text"), f
 def apply_export(export: str, rows: DataFrame) -> DataFrame:
     """Adds `pred`: a dot product in plain column arithmetic. No label is needed; a feature that can't be built is an error."""
     e = json.loads(export)
-    if missing := set(e["feature_names"]) - set(feature_names(tuple(e["blocks"]))):
+    roles = tuple(e.get("roles", PROXIES))
+    if missing := set(e["feature_names"]) - set(feature_names(tuple(e["blocks"]), roles)):
         raise ValueError(f"features missing from the records: {sorted(missing)}")
-    made = build_features(rows, tuple(e["blocks"]))
+    made = build_features(rows, tuple(e["blocks"]), roles)
     pred = F.lit(e["intercept"])
     for name, mean, scale, coef in zip(e["feature_names"], e["scaler_mean"], e["scaler_scale"], e["coef"], strict=True):
         pred = pred + (F.col(f"features.{name}") - mean) / scale * coef
@@ -285,30 +322,33 @@ def ridge_coefficients(rows: DataFrame, blocks: tuple[str, ...] = ("proxy", "tex
     return rows.sparkSession.createDataFrame(out, "feature string, mean double, std double, stable boolean").orderBy(F.abs("mean").desc())
 
 
-def _replaced(j: int):
-    return lambda v, k: F.when(k == j, F.col("value")).otherwise(v)
-
-
 def permutation_importance(rows: DataFrame, model: str = "ridge", n_repeats: int = 3, seed: int = 0) -> DataFrame:
     """Rise of the out-of-fold MAE when a feature is shuffled among the rows of its fold.
 
-    A feature's values are numbered in a random order within the fold and joined to the rows by number.
+    In each repeat every row gets a partner: the row that has its place in another random order of the fold. The estimate is linear,
+    so it moves by the feature's coefficient times the difference to the partner's value, for all features in one pass.
     """
     table, names = design(rows)
     table = written(with_folds(table), "design")
-    models = linear_models(table, names, [model])
-    numbered = table.withColumn("i", F.row_number().over(Window.partitionBy("fold").orderBy("segment_id")))
-    mae = lambda df: score_linear(df, models).agg(F.avg(F.abs(F.col("pred") - F.col("y")))).first()[0]
-    base, out = mae(table), []
-    for j, name in enumerate(names):
-        rises = []
-        for r in range(n_repeats):
-            order = Window.partitionBy("fold").orderBy(F.xxhash64(F.lit(seed + r), "segment_id"))
-            drawn = table.select("fold", F.row_number().over(order).alias("i"), F.col("x")[j].alias("value"))
-            mixed = numbered.join(drawn, ["fold", "i"]).withColumn("x", F.transform("x", _replaced(j))).drop("value", "i")
-            rises.append(mae(mixed) - base)
-        out.append((name, float(np.mean(rises)), float(np.std(rises))))
-    return rows.sparkSession.createDataFrame(out, "feature string, importance double, std double").orderBy(F.desc("importance"))
+    models = [(f, m.coef, m.intercept) for (_, f), m in linear_models(table, names, [model]).items()]
+    fitted = table.sparkSession.createDataFrame(models, "fold string, coef array<double>, intercept double")
+    both = table.join(F.broadcast(fitted), "fold")  # a row for each fold
+    raw = F.aggregate(F.zip_with("x", "coef", lambda a, b: a * b), F.col("intercept"), lambda acc, v: acc + v)
+
+    def in_order(rows: DataFrame, s: int) -> DataFrame:
+        return running_sums(rows.withColumns({"_h": F.xxhash64(F.lit(s), "segment_id"), "n": F.lit(1)}), "_h", ["n"], "fold")
+
+    own = in_order(both.select("fold", "segment_id", "y", "x", "coef", raw.alias("raw")), seed).drop("_h", "n", "total_n")
+    rises = None
+    for r in range(n_repeats):
+        partner = in_order(table.select("fold", "segment_id", "x"), seed + r + 1).select("fold", "before_n", F.col("x").alias("z"))
+        moved = F.zip_with(F.zip_with("z", "x", lambda a, b: a - b), "coef", lambda d, c: d * c)
+        rise = F.transform(moved, lambda m: F.abs(clipped(F.col("raw") + m) - F.col("y")) - F.abs(clipped(F.col("raw")) - F.col("y")))
+        part = own.join(partner, ["fold", "before_n"]).select(F.posexplode(rise).alias("j", "rise")).groupBy("j").agg(F.avg("rise").alias("rise"))
+        rises = part if rises is None else rises.union(part)
+    named = table.sparkSession.createDataFrame(list(enumerate(names)), "j int, feature string")
+    out = rises.groupBy("j").agg(F.avg("rise").alias("importance"), F.stddev_pop("rise").alias("std"))
+    return out.join(F.broadcast(named), "j").select("feature", "importance", "std").orderBy(F.desc("importance"))
 
 
 def partial_dependence(rows: DataFrame, feature: str, n_points: int = 10) -> DataFrame:

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from .functions import ids, signal
 from .functions.align import char_error_rate, edit_counts, word_errors
-from .functions.features import build_features, orphan_word_ratio, repeated_ngram_ratio
+from .functions.features import build_features, orphan_word_ratio, repeated_ngram_ratio, with_call_context
 from .functions.text import normalize_text, parse_number, strip_accents, words
 from .operators import labels, metrics, reports, resample, summaries
-from .plans import models, pool
+from .plans import bundles, models, pool
 from .plans.oracle import LABELLED, MERGED, edits
 from .schema import ROLES
 from .sources import annotations, sinks
-from .store import shared_path
+from .store import shared_path, written
 from .streaming import ingest
 
 QUERIES = {}
@@ -184,6 +184,21 @@ def s11_s12_p21_picks(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", ids.pick_text(F.col("source"), F.col("lang")).alias("text"), ids.pick_session(F.col("lang")).alias("session"), ids.short_lang(F.col("lang")).alias("lang"))
 
 
+@query("SELECT doc_id, concat('/audio/', doc_id, '.wav') AS wav_path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def s8_missing_files(spark, sf_dir):
+    """Documents as records, labels as the files that are there."""
+    path = F.concat(F.lit("/audio/"), "doc_id", F.lit(".wav"))
+    records = _table(spark, sf_dir, "documents").select("doc_id", path.alias("wav_path"))
+    return annotations.missing_files(records, _table(spark, sf_dir, "labels").select(path.alias("path"))).select("doc_id", "wav_path")
+
+
+@query("SELECT doc_id, lang, NULL::VARCHAR AS url FROM documents UNION ALL SELECT page_id, NULL, url FROM pages")
+def s17_load_pool(spark, sf_dir):
+    """Tables whose columns differ as one."""
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url")
+    return annotations.load_pool([_table(spark, sf_dir, "documents").select("doc_id", "lang"), pages])
+
+
 # --- joins
 
 
@@ -491,7 +506,21 @@ def a22_evaluate_by_dataset(spark, sf_dir):
     return reports.evaluate_by_dataset(_predicted(spark, sf_dir))
 
 
-@query()
+def _one_group(template: str, **kw) -> str:
+    """A query by groups, over all rows as one: as a subquery without the group's column."""
+    return "SELECT * EXCLUDE (one) FROM (WITH everything AS (SELECT *, 1 AS one FROM predicted)" + template.format(k="one", src="everything", **kw) + ")"
+
+
+def _screening_sql(t: float) -> str:
+    binary = _one_group(_BINARY, y="label_wer", p="pred", t=t)
+    return f"""SELECT *, {t}::DOUBLE AS threshold FROM ({binary}) UNION ALL BY NAME
+    SELECT avg((y > {t})::INTEGER) AS precision, k, any_value(prevalence) AS prevalence, avg((y > {t})::INTEGER) / nullif(any_value(prevalence), 0) AS lift, {t}::DOUBLE AS threshold FROM (
+        SELECT k, prevalence, label_wer AS y FROM (SELECT DISTINCT unnest([round_even(0.05 * n, 0)::BIGINT, 50, bad]) AS k, n, bad / n AS prevalence
+            FROM (SELECT count(*) AS n, count(*) FILTER (label_wer > {t}) AS bad FROM predicted)) ks
+        JOIN (SELECT label_wer, row_number() OVER (ORDER BY pred DESC, segment_id) AS i FROM predicted) ON i <= k WHERE k BETWEEN 1 AND n) GROUP BY k"""
+
+
+@query(PREDICTED + "SELECT * FROM (" + " UNION ALL BY NAME ".join(_screening_sql(t) for t in (0.2, 0.21)) + ")")
 def m11_classification_report(spark, sf_dir):
     return reports.classification_report(_predicted(spark, sf_dir), "label_wer", "pred", [0.2, 0.21], [0.05, 50], "segment_id")
 
@@ -501,9 +530,51 @@ def v18_transfer_report(spark, sf_dir):
     return reports.transfer_report(_predicted(spark, sf_dir).withColumn("flat", F.lit(0.2)), ["pred", "flat"])
 
 
+@query(
+    PREDICTED
+    + "SELECT * FROM (SELECT * FROM ("
+    + "WITH everything AS (SELECT * FROM predicted)"
+    + _regression_sql("everything", "label_wer", "pred", "corpus")
+    + ")) JOIN (SELECT * EXCLUDE (n) FROM (WITH everything AS (SELECT * FROM predicted)"
+    + _BINARY.format(k="corpus", y="label_wer", p="pred", t=0.21, src="everything")
+    + ")) USING (corpus)"
+)
+def m12_full_report(spark, sf_dir):
+    return bundles.full_report(_predicted(spark, sf_dir), "label_wer", "pred", 0.21, "corpus")
+
+
+_SYSTEMS = ", u AS (" + " UNION ALL ".join(f"SELECT '{r}' AS role, {r} IS NOT NULL AS has, CASE WHEN {r} IS NOT NULL THEN len(w) END AS n, CASE WHEN {r} IS NOT NULL THEN {edits('w', f'coalesce({r}, [])')} // {1 << 42} END AS e FROM merged" for r in ROLES) + ")"
+
+
+@query(
+    LABELLED
+    + _SYSTEMS
+    + f""", s AS (SELECT role, (sum(e) / sum(n))::DOUBLE AS wer, count(*) FILTER (has)::DOUBLE AS n, avg(has::INTEGER)::DOUBLE AS coverage FROM u GROUP BY role),
+    t AS (SELECT count(*)::DOUBLE AS n, (sum(duration) / 3600)::DOUBLE AS hours, {_WER}::DOUBLE AS wer_weighted, avg(label_wer)::DOUBLE AS wer_mean, {_DURATION_WER}::DOUBLE AS wer_duration, {_ZERO}::DOUBLE AS pct_zero FROM labelled),
+    g AS (SELECT sample_id, count(*) AS n, avg(label_wer) AS m, var_pop(label_wer) AS v FROM labelled GROUP BY 1),
+    d AS (SELECT count(*)::DOUBLE AS sessions, sum(n)::DOUBLE AS n, sum(n * m ** 2) / sum(n) - (sum(n * m) / sum(n)) ** 2 AS var_between, sum(n * v) / sum(n) AS var_within, avg(n) AS per_session FROM g),
+    e AS (SELECT *, var_between / nullif(var_between + var_within, 0) AS icc FROM d)
+    SELECT 'systems' AS section, concat(role, '.', name) AS name, value FROM (UNPIVOT s ON wer, n, coverage INTO NAME name VALUE value)
+    UNION ALL SELECT 'target', name, value FROM (UNPIVOT t ON COLUMNS(*) INTO NAME name VALUE value)
+    UNION ALL SELECT 'spread', name, value FROM (UNPIVOT e ON COLUMNS(*) INTO NAME name VALUE value)"""
+)
+def a20_pilot_report(spark, sf_dir):
+    return bundles.pilot_report(labels.with_labels(pool.merged(spark, sf_dir)))
+
+
 # --- features
 
 
+@query(
+    PREDICTED
+    + """SELECT segment_id, coalesce(lag(pred) OVER o, pred) AS ctx_pwer_prev, coalesce(lead(pred) OVER o, pred) AS ctx_pwer_next, avg(pred) OVER (PARTITION BY sample_id) AS ctx_pwer_call,
+    coalesce((row_number() OVER o - 1)::DOUBLE / nullif(count(*) OVER (PARTITION BY sample_id) - 1, 0), 0.0) AS ctx_position FROM predicted WINDOW o AS (PARTITION BY sample_id ORDER BY start_time, segment_id)"""
+)
+def f6_w9_call_context(spark, sf_dir):
+    rows = with_call_context(_predicted(spark, sf_dir), "pred")
+    return rows.select("segment_id", "ctx_pwer_prev", "ctx_pwer_next", "ctx_pwer_call", "ctx_position")
+
+
 @query(
     LABELLED
     + """, x AS (SELECT segment_id, len(w) - 1 AS g, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS d, w, target, proxy_a FROM labelled)
@@ -573,6 +644,49 @@ for _name in models.PROTOCOLS:
     QUERIES[f"v4_protocol_{_name}"] = _protocol(_name)
 
 
+_PROTOCOLS = {"lodo": "corpus", "lolo": "lang", "loco": "condition"}
+_RATE = "CASE WHEN len({p}) > 0 THEN (" + f"{edits('{p}', 'target')} // {1 << 42}" + ")::DOUBLE / len({p}) WHEN len(target) > 0 THEN 1.0 ELSE 0.0 END"
+_BASELINES = (
+    LABELLED
+    + f", rates AS (SELECT *, ({_RATE.replace('{p}', 'proxy_a')} + {_RATE.replace('{p}', 'proxy_b')}) / 2 AS pwer FROM labelled WHERE proxy_b IS NOT NULL), out_of_fold AS ("
+    + " UNION ALL ".join(
+        f"""SELECT '{p}' AS protocol, 'pwer' AS model, label_wer AS y, least(greatest(pwer, 0.0), 2.0) AS pred FROM rates UNION ALL
+        SELECT '{p}', 'mean', label_wer, least(greatest((sum(label_wer) OVER () - sum(label_wer) OVER (PARTITION BY {k})) / (count(*) OVER () - count(*) OVER (PARTITION BY {k})), 0.0), 2.0) FROM rates"""
+        for p, k in _PROTOCOLS.items()
+    )
+    + ")"
+    + _regression_sql("out_of_fold", "y", "pred", "protocol, model").replace("\n    SELECT", ", res AS (SELECT", 1)
+    + ") SELECT *, 1 - mae / nullif((SELECT mae FROM res x WHERE x.protocol = res.protocol AND x.model = 'pwer'), 0) AS gain FROM res"
+)
+
+
+@query(_BASELINES)
+def v21_evaluate_pool_baselines(spark, sf_dir):
+    return bundles.evaluate_pool(_complete(spark, sf_dir), tuple(_PROTOCOLS), ("mean", "pwer"))
+
+
+@query(
+    LABELLED
+    + f", rates AS (SELECT *, ({_RATE.replace('{p}', 'proxy_a')} + {_RATE.replace('{p}', 'proxy_b')}) / 2 AS pwer FROM labelled WHERE proxy_b IS NOT NULL), "
+    + """out_of_fold AS (SELECT lang, 'pwer' AS model, label_wer AS y, least(greatest(pwer, 0.0), 2.0) AS pred FROM rates UNION ALL
+        SELECT lang, 'mean', label_wer, least(greatest((sum(label_wer) OVER () - sum(label_wer) OVER (PARTITION BY corpus)) / (count(*) OVER () - count(*) OVER (PARTITION BY corpus)), 0.0), 2.0) FROM rates)"""
+    + _regression_sql("out_of_fold", "y", "pred", "lang, model")
+)
+def a21_metrics_by_stratum_baselines(spark, sf_dir):
+    return reports.metrics_by_stratum(models.run_protocol(_complete(spark, sf_dir), "lodo", ("mean", "pwer")), "lang")
+
+
+@query()
+def v21_evaluate_pool(spark, sf_dir):
+    return bundles.evaluate_pool(_complete(spark, sf_dir))
+
+
+@query()
+def v19_evaluate_bundle(spark, sf_dir):
+    rows = written(_complete(spark, sf_dir), "labelled")
+    return bundles.evaluate_bundle(bundles.fit_bundle(rows), rows, thresholds=(0.2, 0.3))
+
+
 @query()
 def v6_boosted_trees(spark, sf_dir):
     return models.summarize(models.run_protocol(_complete(spark, sf_dir), "loco", ("pwer", "hgb", "xgb")))

@@ -53,6 +53,9 @@ def regroup(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     return joined.withColumn("sample_id", F.coalesce("call", "sample_id")).drop("call")
 
 
-def report(rows: DataFrame) -> str:
-    """A small result as JSON text."""
-    return json.dumps([r.asDict(recursive=True) for r in rows.collect()], ensure_ascii=False, indent=1)
+def report(rows: DataFrame, most: int = 100_000) -> str:
+    """A small result as JSON text; one of more than `most` rows is an error."""
+    held = rows.limit(most + 1).collect()
+    if len(held) > most:
+        raise ValueError(f"more than {most} rows are no report: write them")
+    return json.dumps([r.asDict(recursive=True) for r in held], ensure_ascii=False, indent=1)
