@@ -54,7 +54,7 @@ class Words:
 class Files:
     """Arrays of the shared folder as a worker sees them: mapped, or read where a store has no files that can be mapped (then no more than KEPT)."""
 
-    KEPT = 64
+    KEPT = 16
 
     def __init__(self, out: str):
         self.filesystem, self.root = _filesystem(out)
