@@ -33,7 +33,7 @@ TAIL = np.dtype([("index_at", "<u8"), ("entries", "<u8")])
 #: The dictionary: its size, and how many texts of what length at most it is trained on.
 DICTIONARY_BYTES, SAMPLE_TEXTS, SAMPLE_BYTES = 65_536, 600, 16_384
 #: Encoded words that a worker remembers before it starts anew.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 DOCS_PER_FILE = 16_384
 #: Texts are encoded together up to so many bytes.
 ENCODE_BYTES = 4_000_000

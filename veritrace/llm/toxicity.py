@@ -96,8 +96,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     sample = hash_sample(known, labels.count(), rows, "doc_id").toPandas()
     chosen = F.broadcast(spark.createDataFrame(sample.astype("int64"), "doc_id long, toxic long"))
-    text = F.coalesce("text", F.lit(""))
-    texts = written(texts_of(docs).join(chosen, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by(text, F.xxhash64(text)).alias("text")).select("toxic", "text"), "labelled")
+    texts = written(texts_of(docs).fillna("", ["text"]).join(chosen, "doc_id"), "labelled")
+    if texts.count() > texts.select("doc_id").distinct().count():  # ids repeat: the texts are gathered by id
+        repeated, least = texts, F.min_by("text", F.xxhash64("text")).alias("text")
+        texts = written(repeated.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), least), "labelled")
+        discard(repeated)
     n_toxic, n_clean = texts.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in (F.col("toxic"), 1 - F.col("toxic")))).first()
     share = (n_toxic + SMOOTHING) / (n_toxic + n_clean + 2 * SMOOTHING)
     bias = float(np.log(share / (1 - share)))
