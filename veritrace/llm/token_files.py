@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, hash_sample, texts_of, tidy, written
+from .common import discard, give_back, hash_sample, texts_of, tidy, written
 
 MAGIC = b"TOKIDS01"
 INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("offset", "<u8"), ("size", "<u4"), ("n_tokens", "<u4")])
@@ -221,6 +221,8 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2
     sample = hash_sample(sized, docs.count(), SAMPLE_TEXTS, "doc_id", "size", ties="text")
     encoder = WordEncoder(tokenizer, end_id)
     dictionary = train_dictionary(encoder.encode_each(pa.array([r.text for r in sample.collect()], pa.string())))
+    del encoder
+    give_back()
     filesystem, root = _filesystem(out)
     filesystem.create_dir(root, recursive=True)
     with filesystem.open_output_stream(f"{root}/dictionary") as f:
