@@ -11,7 +11,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -81,6 +81,46 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Up to so many rows of a looked-up table go to every executor. Keys of more than a row in so many have their own way beyond that.
+BROADCAST_ROWS, HOT_KEYS = 500_000, 10_000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Left join of written rows with a written table that has each key once; null finds nothing.
+
+    A table of few rows is broadcast. A larger one is shuffled, but for the keys that more than one of HOT_KEYS rows has: there are
+    fewer than HOT_KEYS of these, and their rows stay where they are.
+    """
+    if table.count() <= broadcast_rows:
+        return rows.join(F.broadcast(table), key, "left")
+    least = max(rows.count() // HOT_KEYS, 1)
+    often = written(rows.groupBy(F.col(key).alias("_often")).count().where(F.col("count") > least).select("_often"), "often")
+    same = F.col(key).eqNullSafe(F.col("_often"))
+    apart = rows.join(F.broadcast(often), same, "left_semi").join(F.broadcast(table.join(F.broadcast(often), same, "left_semi")), key, "left")
+    return rows.join(F.broadcast(often), same, "left_anti").join(table, key, "left").unionByName(apart)
+
+
+def numbered(rows: DataFrame, group: list[str], order: list[Column], name: str, table: str) -> DataFrame:
+    """Write rows in order and add `name`: their place within the group from 0, without gaps. Group columns are no part of a struct.
+
+    Rows are dealt by ranges of (group, order, row), so that a group or a value with a third of all rows is spread; a range's rows are numbered where
+    they lie, and what lies before a range comes from one count for each range and group. Rows equal in group and order stand in any order.
+    """
+    ranged = rows.withColumn("_row", F.monotonically_increasing_id())
+    keys = [*(F.col(c).asc_nulls_first() for c in group), *order, F.col("_row")]
+    ranged = ranged.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_row")
+    placed = written(ranged.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id()), table)
+    same = [*group, "_part"]
+    counts = placed.groupBy(*same).agg(F.min("_at").alias("_from"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = counts.select(*(F.col(c).alias(f"_{c}_") for c in group), F.col("_part").alias("_part_"), (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_from")).alias("_shift"))
+    found = F.col("_part") == F.col("_part_")
+    for c in group:
+        found = found & F.col(c).eqNullSafe(F.col(f"_{c}_"))
+    # as many rows as there are ranges, and a few more where a range holds several groups
+    return placed.join(F.broadcast(starts), found).withColumn(name, F.col("_at") + F.col("_shift")).select(*rows.columns, name)
+
+
 def hash_sample(rows: DataFrame, total: int, n: int, *keys: str, ties: str | None = None) -> DataFrame:
     """The n rows with the least hash of their keys, of about `total`: the same in every run. Rows of equal keys go by `ties`.
 
