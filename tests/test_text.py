@@ -2,10 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veritrace.functions.align import _align, char_error_rate, edit_counts, word_errors
+from veritrace.functions import bitparallel
+from veritrace.functions.align import alignments, char_error_rate, edit_counts, word_errors
+from veritrace.functions.bitparallel import edit_distances
 from veritrace.functions.numbers import cardinal, spell
 from veritrace.functions.text import normalize_text, parse_number, strip_accents
 
@@ -76,12 +79,53 @@ def distance(a, b):
     return row[-1]
 
 
-def test_alignment_identities():
-    rng = random.Random(0)
-    for _ in range(300):
-        a, b = ([rng.choice("abcde") for _ in range(rng.randint(0, 9))] for _ in range(2))
-        errors, s, d, i = _align(a, b)
-        assert errors == s + d + i == distance(a, b) and d - i == len(a) - len(b)
+def sequences(rng, n, lengths, alphabets=(2, 5, 1000)):
+    """Pairs of sequences: unrelated, edited copies, equal and empty ones."""
+    out = []
+    for _ in range(n):
+        size = rng.choice(alphabets)
+        a = [rng.randrange(size) for _ in range(rng.choice(lengths))]
+        b = [x if rng.random() > 0.1 else rng.randrange(size) for x in a if rng.random() > 0.1] if rng.random() < 0.6 else [rng.randrange(size) for _ in range(rng.choice(lengths))]
+        out.append((np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)))
+    return out
+
+
+def test_alignments_of_a_batch():
+    pairs = sequences(random.Random(0), 400, [0, 1, 2, 9, 40])
+    for (a, b), (errors, s, d, i) in zip(pairs, alignments(pairs).tolist(), strict=True):
+        assert errors == s + d + i == distance(a.tolist(), b.tolist()) and d - i == len(a) - len(b)
+    alone = [alignments([p])[0].tolist() for p in pairs]
+    assert alone == alignments(pairs).tolist()
+
+
+def test_bit_parallel_distances(monkeypatch):
+    pairs = sequences(random.Random(2), 500, [0, 1, 5, 63, 64, 65, 127, 128, 129, 200])
+    want = [distance(a.tolist(), b.tolist()) for a, b in pairs]
+    assert edit_distances(pairs).tolist() == want
+    monkeypatch.setattr(bitparallel, "LANES", 3)  # many small batches
+    assert edit_distances(pairs).tolist() == want
+    monkeypatch.setattr(bitparallel, "TABLE_WORDS", 100)  # by rows, where the table of matches would be larger
+    assert edit_distances(pairs).tolist() == want
+    assert edit_distances([]).tolist() == []
+
+
+def test_distances_are_those_of_the_builtin(spark):
+    rng = random.Random(5)
+    alphabet = "abc éß名😀"
+    rows = [tuple("".join(rng.choice(alphabet) for _ in range(rng.choice([0, 3, 30, 150]))) for _ in range(2)) for _ in range(2_000)]
+    df = spark.createDataFrame([*rows, (None, "a"), ("a", None)], "r string, h string")
+    plain = [F.replace(c, F.lit(" "), F.lit("")) for c in ("r", "h")]
+    n = F.greatest(F.length(plain[0]), F.lit(1))
+    want = F.when(F.length(plain[0]) > 0, F.levenshtein(*plain) / n).otherwise((F.length(plain[1]) > 0).cast("double"))
+    got = df.select(char_error_rate(F.col("r"), F.col("h")).alias("got"), F.when(F.col("r").isNotNull() & F.col("h").isNotNull(), want).alias("want"))
+    assert got.where("not (got <=> want)").count() == 0
+
+
+def test_word_errors_of_a_large_vocabulary(spark):
+    """More distinct words than there are code units."""
+    ref = " ".join(f"w{i}" for i in range(70_000))
+    df = spark.createDataFrame([(ref, ref.replace("w7 ", "x ").replace(" w500 ", " "))], "r string, h string")
+    assert df.select(word_errors(F.col("r"), F.col("h"))).first()[0] == 2
 
 
 def test_builtin_and_udf_agree(spark):

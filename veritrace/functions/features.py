@@ -61,7 +61,7 @@ def with_proxy_features(rows: DataFrame, roles: tuple[str, ...] = PROXIES) -> Da
         rows = rows.withColumns(
             {
                 f"pwer_{r}": F.col(f"_{r}.wer"),
-                f"pcer_{r}": F.when(proxy.isNotNull(), char_error_rate(proxy, target)),
+                f"pcer_{r}": char_error_rate(proxy, target),
                 f"psub_{r}": F.col(f"_{r}.s") / n,
                 f"pdel_{r}": F.col(f"_{r}.d") / n,
                 f"pins_{r}": F.col(f"_{r}.i") / n,
@@ -147,16 +147,20 @@ def orphan_word_ratio(target: Column, proxies: list[Column]) -> Column:
     return F.when(F.size(ws) > 0, F.size(F.filter(ws, lambda w: ~F.array_contains(known, w))) / F.size(ws)).otherwise(0.0)
 
 
-def build_features(rows: DataFrame, blocks: tuple[str, ...] = ("proxy", "text"), roles: tuple[str, ...] = PROXIES) -> DataFrame:
-    """Adds `features`: a struct of doubles in the order of their names; what is missing is 0. No label is needed."""
-    names = feature_names(blocks, roles)
-    shared = [n for n in names if n in rows.columns]  # columns of the row that a feature is named like
-    made = rows.withColumns({f"_own_{n}": F.col(n) for n in shared})
-    if "proxy" in blocks:
+def build_features(rows: DataFrame, blocks: tuple[str, ...] = ("proxy", "text"), roles: tuple[str, ...] = PROXIES, names: list[str] | None = None) -> DataFrame:
+    """Adds `features`: a struct of doubles in the order of their names; what is missing is 0. No label is needed.
+
+    names: only these (of the blocks' features); what none of them needs is not computed.
+    """
+    every = feature_names(blocks, roles)
+    names = every if names is None else [n for n in every if n in set(names)]
+    own = {c: F.col(c) for c in every if c in rows.columns}  # columns of the row that a feature is named like
+    made = rows.withColumns({f"_own_{c}": column for c, column in own.items()})
+    if "proxy" in blocks and any(block_of(n) == "proxy" for n in names):
         made = with_proxy_features(made, roles)
-    if "text" in blocks:
+    if "text" in blocks and any(block_of(n) == "text" for n in names):
         made = with_text_features(made)
-    if "extra" in blocks:
+    if "extra" in blocks and any(block_of(n) == "extra" for n in names):
         made = with_extra_features(made)
     made = made.withColumn("features", F.struct(*(F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in names)))
-    return made.select(*(F.col(f"_own_{c}").alias(c) if c in shared else c for c in rows.columns), "features")
+    return made.select(*(F.col(f"_own_{c}").alias(c) if c in own else c for c in rows.columns), "features")

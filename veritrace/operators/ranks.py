@@ -52,6 +52,26 @@ def average_ranks(rows: DataFrame, value: str, name: str, *keys: str) -> DataFra
     return ranked.select(*keys, value, (F.col("before_n") + (F.col("n") + 1) / 2.0).alias(name), "total_n")
 
 
+def quantiles(rows: DataFrame, value: str, ps: list[float], *keys: str) -> DataFrame:
+    """(keys, quantiles): the exact quantiles of a column's values that are not null, interpolated linearly; null for a group without any.
+
+    Selection by counted ranges: distinct values are counted and placed (`running_sums`), and the values at the two places beside each
+    quantile are picked out by a sum that tasks begin on their own; no task holds the values of a group.
+    """
+    v = F.col(value).cast("double")
+    placed = running_sums(rows.groupBy(*keys, v.alias("_v")).agg(F.count(v).alias("n")), "_v", ["n"], *keys)
+    picked, out = [], []
+    for i, p in enumerate(ps):
+        at = (F.col("total_n") - 1) * F.lit(float(p))
+        for name, place in (("low", F.floor(at)), ("high", F.ceil(at))):
+            held = (F.col("before_n") <= place) & (place < F.col("before_n") + F.col("n"))
+            picked.append(F.max(F.when(held, F.col("_v"))).alias(f"_{name}{i}"))
+        picked.append(F.max(at - F.floor(at)).alias(f"_part{i}"))
+        low, high = F.col(f"_low{i}"), F.col(f"_high{i}")
+        out.append(low + (high - low) * F.col(f"_part{i}"))
+    return placed.groupBy(*keys).agg(*picked).select(*keys, F.array(*out).alias("quantiles"))
+
+
 def rank_correlation(rows: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
     """(keys, spearman): correlation of the ranks; null where one side is constant."""
     points = rows.groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("n"))

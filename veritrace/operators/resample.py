@@ -10,9 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import rank_agreement
+from ..store import written
+from .metrics import pair_counts, rank_agreement
 from .ranks import rank_correlation
 
+#: Up to so many rows Kendall's p-value is counted exactly, if nothing ties.
+EXACT_KENDALL = 33
 
 #: Probabilities of at most 0, 1, 2, ... where one is expected.
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
@@ -76,6 +79,29 @@ def paired_bootstrap(rows: DataFrame, y: str, a: str, b: str, group: str, n_boot
     return rows.sparkSession.createDataFrame([(float(diff[-1]), float(low), float(high), bool(low > 0))], "mae_difference double, ci_low double, ci_high double, favours_b boolean")
 
 
+def compare_models(result: DataFrame, models: list[str] | None = None, n_boot: int = 1000, seed: int = 0) -> DataFrame:
+    """`paired_bootstrap` of every two models of a protocol's out-of-fold predictions (segment_id, group_id, model, y, pred), in one pass.
+
+    A row for each pair (reference, challenger), names in order: difference of the mean absolute errors, its 95 % interval, and whether that
+    favours the challenger. Only segments that every model has predicted count.
+    """
+    names = sorted(models or [r.model for r in result.select("model").distinct().collect()])
+    errors = [F.max(F.when(F.col("model") == m, F.abs(F.col("pred") - F.col("y")))).alias(f"e{i}") for i, m in enumerate(names)]
+    wide = result.where(F.col("model").isin(names)).groupBy("segment_id", "group_id").agg(*errors).dropna(subset=[f"e{i}" for i in range(len(names))])
+    sums = [F.sum(f"e{i}").alias(f"e{i}") for i in range(len(names))]
+    groups = wide.groupBy("group_id").agg(*sums, F.count("*").alias("n")).withColumn("key", F.xxhash64("group_id"))
+    columns = [*(f"e{i}" for i in range(len(names))), "n"]
+    drawn = _replicates(groups.select("key", *columns), columns, n_boot, seed)
+    mae = drawn[:, :-1] / np.maximum(drawn[:, -1:], 1)
+    some, rows = drawn[:-1, -1] > 0, []
+    for a in range(len(names)):
+        for b in range(a + 1, len(names)):
+            diff = mae[:, a] - mae[:, b]
+            low, high = np.percentile(diff[:-1][some], [2.5, 97.5]) if some.any() else (np.nan, np.nan)
+            rows.append((names[a], names[b], float(diff[-1]), float(low), float(high), bool(low > 0)))
+    return result.sparkSession.createDataFrame(rows, "reference string, challenger string, mae_difference double, ci_low double, ci_high double, favours_b boolean")
+
+
 def concordance_sample(rows: DataFrame, y: str, pred: str, key: str, max_pairs: int = 2_000_000, seed: int = 0) -> DataFrame:
     """Concordance index over about max_pairs random pairs: rows are dealt at random into buckets, and paired inside them."""
     n = rows.count()
@@ -103,23 +129,65 @@ def _t_sf(t: float, df: float) -> float:
     return tail if t >= 0 else 1 - tail
 
 
+def kendall_variance(rows: DataFrame, y: str, pred: str) -> DataFrame:
+    """(n, tied_y, tied_pred, variance): pairs that tie on each side, and the variance of concordant less discordant pairs without association.
+
+    Corrected for ties from the sizes of tied groups, which are counted and never gathered. Null for fewer than 3 rows.
+    """
+    c = F.col("count").cast("double")
+
+    def side(column: str, name: str) -> DataFrame:
+        sums = {"tied": c * (c - 1) / 2, "triples": c * (c - 1) * (c - 2), "weights": c * (c - 1) * (2 * c + 5)}
+        return rows.groupBy(column).count().agg(F.sum("count").alias(f"n_{name}"), *(F.coalesce(F.sum(x), F.lit(0.0)).alias(f"{k}_{name}") for k, x in sums.items()))
+
+    both = side(y, "y").join(F.broadcast(side(pred, "pred")), F.lit(True))
+    n, pairs = F.col("n_y").cast("double"), F.col("n_y") * (F.col("n_y") - 1.0)
+    plain = (pairs * (2 * n + 5) - F.col("weights_y") - F.col("weights_pred")) / 18
+    variance = plain + 2 * F.col("tied_y") * F.col("tied_pred") / pairs + F.col("triples_y") * F.col("triples_pred") / (9 * pairs * (n - 2))
+    return both.select(F.coalesce("n_y", F.lit(0)).alias("n"), "tied_y", "tied_pred", F.when(n > 2, variance).alias("variance"))
+
+
+def kendall_exact(n: int, discordant: int) -> float:
+    """Probability of at most so many discordant pairs of n rows without ties and without association: orders are counted by their inversions."""
+    orders = [1]
+    for k in range(2, n + 1):
+        # the k-th row adds 0 to k - 1 inversions
+        longer, window = [], 0
+        for i in range(len(orders) + k - 1):
+            window += (orders[i] if i < len(orders) else 0) - (orders[i - k] if i >= k else 0)
+            longer.append(window)
+        orders = longer
+    return sum(orders[: discordant + 1]) / math.factorial(n)
+
+
+def kendall_p(rows: DataFrame, y: str, pred: str) -> float | None:
+    """One-sided p-value of Kendall's tau: exact for up to EXACT_KENDALL rows without ties, else normal with the variance corrected for ties."""
+    about = kendall_variance(rows, y, pred).first()
+    pairs = pair_counts(rows, y, pred).first()
+    if not about.tied_y and not about.tied_pred and 1 < about.n <= EXACT_KENDALL:
+        return kendall_exact(about.n, int(pairs.discordant))
+    if not about.variance:
+        return None
+    return _normal_sf((pairs.concordant - pairs.discordant) / math.sqrt(about.variance))
+
+
 def call_significance(calls: DataFrame, margin: float | None = None, alpha: float = 0.05) -> DataFrame:
     """One-sided tests on calls (wer_true, wer_pred): association by Kendall and Spearman, equivalence by two t-tests.
 
-    Kendall's p-value takes the normal approximation without ties' correction of the variance, Spearman's the t.
+    Kendall's p-value is that of `kendall_p`, Spearman's takes the t.
     """
+    calls = written(calls.where("wer_true is not null and wer_pred is not null").select("wer_true", "wer_pred"), "calls")
     agreement = rank_agreement(calls, "wer_true", "wer_pred").first()
     rho = rank_correlation(calls, "wer_true", "wer_pred").first()["spearman"]
     d = F.col("wer_pred") - F.col("wer_true")
     n, mean, sd = calls.agg(F.count("*"), F.avg(d), F.stddev_samp(d)).first()
     tau = agreement["kendall_tau"]
-    kendall_p = spearman_p = tost_p = None
-    if tau is not None and n > 2:
-        kendall_p = _normal_sf(tau / math.sqrt(2 * (2 * n + 5) / (9 * n * (n - 1))))
+    tau_p = kendall_p(calls, "wer_true", "wer_pred") if tau is not None else None
+    spearman_p = tost_p = None
     if rho is not None and n > 2:
         spearman_p = _t_sf(rho * math.sqrt((n - 2) / max(1 - rho * rho, 1e-300)), n - 2)
     if margin is not None and n > 1 and sd:
         error = sd / math.sqrt(n)
         tost_p = max(_t_sf((mean + margin) / error, n - 1), _t_sf((margin - mean) / error, n - 1))
-    row = (n, tau, kendall_p, rho, spearman_p, mean, tost_p, None if kendall_p is None else kendall_p < alpha, None if tost_p is None else tost_p < alpha)
+    row = (n, tau, tau_p, rho, spearman_p, mean, tost_p, None if tau_p is None else tau_p < alpha, None if tost_p is None else tost_p < alpha)
     return calls.sparkSession.createDataFrame([row], "n_calls long, kendall_tau double, kendall_p double, spearman_rho double, spearman_p double, mean_difference double, tost_p double, associated boolean, equivalent boolean")

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.align import edit_counts
+from ..store import written
 from .metrics import pearson
-from .ranks import rank_correlation, running_sums, same_keys
+from .ranks import quantiles, rank_correlation, running_sums, same_keys
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -62,13 +63,13 @@ def proxy_blindness(rows: DataFrame, *keys: str) -> DataFrame:
 def length_report(rows: DataFrame, *keys: str, short_words: int = 5, high_wer: float = 1.0) -> DataFrame:
     """Lengths, and how much of the squared error lies in the top hundredth of rows."""
     base = rows.groupBy(*keys).agg(
-        F.floor(F.percentile("n_ref_words", F.lit(0.05))).cast("long").alias("words_p05"),
-        F.floor(F.percentile("n_ref_words", F.lit(0.5))).cast("long").alias("words_median"),
         share(F.col("n_ref_words") < short_words).alias("pct_short"),
         F.max("label_wer").alias("wer_max"),
-        F.percentile("label_wer", F.lit(0.99)).alias("wer_p99"),
         share(F.col("label_wer") > high_wer).alias("pct_high"),
     )
+    of_words = quantiles(rows, "n_ref_words", [0.05, 0.5], *keys).select(*keys, *(F.floor(F.col("quantiles")[i]).cast("long").alias(c) for i, c in enumerate(("words_p05", "words_median"))))
+    of_rates = quantiles(rows, "label_wer", [0.99], *keys).select(*keys, F.col("quantiles")[0].alias("wer_p99"))
+    base = same_keys(same_keys(base, of_words, *keys), of_rates, *keys)
     squares = rows.groupBy(*keys, (F.col("label_wer") ** 2).alias("square")).agg(F.count("*").alias("n"))
     placed = running_sums(squares, "square", ["n"], *keys)
     wanted = F.greatest(F.floor(F.col("total_n") / 100), F.lit(1)) - (F.col("total_n") - F.col("before_n") - F.col("n"))  # after the greater ones
@@ -137,9 +138,13 @@ def true_wer(rows: DataFrame) -> DataFrame:
 
 
 def call_sizes(rows: DataFrame) -> DataFrame:
-    by = rows.groupBy("sample_id").agg(F.count("*").alias("n"), (F.sum("duration") / 60).alias("minutes"))
-    stats = [f(c).alias(f"{c}_{name}") for c in ("n", "minutes") for name, f in (("min", F.min), ("median", lambda x: F.percentile(x, F.lit(0.5))), ("max", F.max))]
-    return by.agg(F.count("*").alias("calls"), *stats, F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("singletons"))
+    """Segments and minutes of the calls: least, median, most."""
+    by = written(rows.groupBy("sample_id").agg(F.count("*").alias("n"), (F.sum("duration") / 60).alias("minutes")), "calls")
+    ends = [f(c).alias(f"{c}_{name}") for c in ("n", "minutes") for name, f in (("min", F.min), ("max", F.max))]
+    out = by.agg(F.count("*").alias("calls"), *ends, F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("singletons"))
+    for c in ("n", "minutes"):
+        out = same_keys(out, quantiles(by, c, [0.5]).select(F.col("quantiles")[0].alias(f"{c}_median")))
+    return out
 
 
 def call_wer_by_dataset(rows: DataFrame, dataset: str = "corpus") -> DataFrame:
@@ -160,9 +165,9 @@ def dataset_report(rows: DataFrame, roles: tuple[str, ...], dataset: str = "corp
 
 def denominator_bias(rows: DataFrame) -> DataFrame:
     """Words of the reference by words of the hypothesis."""
-    r = F.col("n_ref_words") / F.greatest("n_hyp_words", F.lit(1))
-    q = lambda p: F.percentile("r", F.lit(p))
-    return rows.select(r.alias("r")).agg(F.avg("r").alias("mean"), q(0.5).alias("median"), q(0.1).alias("p10"), q(0.9).alias("p90"), share(F.abs(F.col("r") - 1) <= 0.1).alias("within_10pct"))
+    r = written(rows.select((F.col("n_ref_words") / F.greatest("n_hyp_words", F.lit(1))).alias("r")), "ratios")
+    base = r.agg(F.avg("r").alias("mean"), share(F.abs(F.col("r") - 1) <= 0.1).alias("within_10pct"))
+    return same_keys(base, quantiles(r, "r", [0.5, 0.1, 0.9]).select(*(F.col("quantiles")[i].alias(c) for i, c in enumerate(("median", "p10", "p90")))))
 
 
 def status(rows: DataFrame, roles: tuple[str, ...]) -> DataFrame:

@@ -16,16 +16,17 @@ from ..operators.resample import cluster_bootstrap
 from ..operators.summaries import call_metrics, corpus_summary, corpus_wer_gap, label_spread, ratio, wer_by_system
 from ..schema import PROXIES, ROLES
 from ..store import written
-from .models import PROTOCOLS, Linear, clipped, design, run_protocol_on, summarize, tuned_on_all, with_folds
+from .models import PROTOCOLS, TREES, Linear, clipped, design, fitted_trees, run_protocol_on, summarize, tuned_on_all, with_folds
+from .trees import Forest, forest_of
 
 
 @dataclass
 class Bundle:
-    """A linear model, the features it needs and what it was fitted on; JSON holds all of it."""
+    """A linear model or boosted trees, the features they need and what they were fitted on; JSON holds all of it."""
 
     model: str
     feature_names: list[str]
-    linear: Linear
+    linear: Linear | None
     blocks: list[str]
     roles: list[str]
     feature_set: str
@@ -37,6 +38,7 @@ class Bundle:
     train_langs: list[str] = field(default_factory=list)
     train_conditions: list[str] = field(default_factory=list)
     notes: str = ""
+    forest: Forest | None = None
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), ensure_ascii=False, indent=1)
@@ -44,28 +46,31 @@ class Bundle:
     @staticmethod
     def from_json(text: str) -> Bundle:
         held = json.loads(text)
-        return Bundle(**held | {"linear": Linear(**held["linear"])})
+        return Bundle(**held | {"linear": held["linear"] and Linear(**held["linear"]), "forest": held["forest"] and forest_of(held["forest"])})
 
 
 def fit_bundle(rows: DataFrame, model: str = "ridge", blocks: tuple[str, ...] = ("proxy", "text"), roles: tuple[str, ...] = PROXIES, feature_set: str = "transferable", norm_config: dict | None = None, notes: str = "") -> Bundle:
-    """Fit on all rows, the penalty by inner folds. model: mean, pwer, ridge or lasso; trees are saved by Spark's own writer."""
+    """Fit on all rows, a penalty or a setting by inner folds. model: mean, pwer, ridge, lasso, hgb, xgb or tuned (trees)."""
     table, names = design(rows, blocks, feature_set, roles)
     table = written(with_folds(table), "design")
     about = table.agg(
         F.count("*").alias("n"), F.countDistinct("sample_id").alias("calls"), F.avg("y").alias("y"), *(F.array_sort(F.collect_set(c)).alias(c) for c in ("corpus", "lang", "condition"))
     ).first()
-    return Bundle(model, names, tuned_on_all(table, names, model), list(blocks), list(roles), feature_set, dict(norm_config or {}), about.n, about.calls, about.y, about.corpus, about.lang, about.condition, notes)
+    linear, forest = (None, fitted_trees(table, names, model)) if model in TREES else (tuned_on_all(table, names, model), None)
+    return Bundle(model, names, linear, list(blocks), list(roles), feature_set, dict(norm_config or {}), about.n, about.calls, about.y, about.corpus, about.lang, about.condition, notes, forest)
 
 
 def predict(bundle: Bundle, rows: DataFrame, norm_config: dict | None = None) -> DataFrame:
     """Adds `pred`: the estimate from features alone; no label is needed. Text normalised in another way than for fitting is an error."""
     if norm_config and bundle.norm_config and dict(norm_config) != bundle.norm_config:
         raise ValueError(f"fitted on texts normalised by {bundle.norm_config}, not {dict(norm_config)}")
-    made = build_features(rows, tuple(bundle.blocks), tuple(bundle.roles))
+    made = build_features(rows, tuple(bundle.blocks), tuple(bundle.roles), bundle.feature_names)
     known = set(feature_names(tuple(bundle.blocks), tuple(bundle.roles)))
-    pred = F.lit(bundle.linear.intercept)
-    for name, coef in zip(bundle.feature_names, bundle.linear.coef, strict=True):
-        pred = pred + (F.col(f"features.{name}") if name in known else F.lit(0.0)) * coef
+    values = [F.col(f"features.{name}") if name in known else F.lit(0.0) for name in bundle.feature_names]
+    if bundle.forest:
+        pred = bundle.forest.column(F.array(*values))
+    else:
+        pred = sum((v * coef for v, coef in zip(values, bundle.linear.coef, strict=True)), F.lit(bundle.linear.intercept))
     return made.withColumn("pred", clipped(pred)).drop("features")
 
 

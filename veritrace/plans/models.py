@@ -12,22 +12,24 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.features import build_features, feature_names, is_transferable
 from ..operators.metrics import gain, regression_metrics
-from ..operators.ranks import running_sums
+from ..operators.ranks import quantiles, running_sums
 from ..schema import PROXIES
 from ..store import written
+from . import trees
+from .folds import with_part
 
 #: Penalties that are tried, bounds of an estimate.
 RIDGE_ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0)
 LASSO_ALPHAS = (0.0001, 0.001, 0.01, 0.1)
 CLIP = (0.0, 2.0)
 INNER = 3
+#: Boosted trees, robust ones, and those whose settings are searched for.
+TREES = ("hgb", "xgb", "tuned")
 PROTOCOLS = {"group": None, "lodo": "corpus", "lolo": "lang", "loco": "condition"}
 
 
@@ -38,7 +40,7 @@ def clipped(pred: Column) -> Column:
 def design(rows: DataFrame, blocks: tuple[str, ...] = ("proxy", "text"), feature_set: str = "transferable", roles: tuple[str, ...] = PROXIES) -> tuple[DataFrame, list[str]]:
     """Rows with `x` (array of features), `y`, and the names of the features in order."""
     names = [n for n in feature_names(blocks, roles) if feature_set == "full" or is_transferable(n)]
-    made = build_features(rows, blocks, roles)
+    made = build_features(rows, blocks, roles, names)
     kept = ["segment_id", "sample_id", "group_id", "corpus", "lang", "condition", "duration", "n_ref_words", "n_hyp_words", "label_errors"]
     return made.select(*kept, F.col("label_wer").alias("y"), F.array(*(F.col(f"features.{n}") for n in names)).alias("x")), names
 
@@ -46,11 +48,13 @@ def design(rows: DataFrame, blocks: tuple[str, ...] = ("proxy", "text"), feature
 def with_folds(rows: DataFrame, protocol: str = "group", n_splits: int = 5, group: str = "group_id") -> DataFrame:
     """Adds `fold` and `inner`: rows of a group are in one fold; the protocols lodo, lolo and loco hold a corpus, language or condition out.
 
-    Groups are dealt by a hash of their key, so no list of groups is ever made.
+    Groups are dealt so that folds have like numbers of rows (`plans/folds.py`); with as few groups as folds each is held out alone. Inner
+    folds for penalties are dealt the same way, within each fold where folds are made of groups.
     """
-    key = PROTOCOLS[protocol]
-    fold = F.col(key) if key else F.pmod(F.xxhash64(group), F.lit(n_splits)).cast("string")
-    return rows.withColumn("fold", fold).withColumn("inner", F.pmod(F.xxhash64(F.lit(1), group), F.lit(INNER)).cast("int"))
+    if key := PROTOCOLS[protocol]:
+        return with_part(rows.withColumn("fold", F.col(key)), "inner", group, INNER)
+    dealt = written(with_part(rows, "fold", group, n_splits).withColumn("fold", F.col("fold").cast("string")), "dealt")
+    return with_part(dealt, "inner", group, INNER, "fold")
 
 
 def grams(rows: DataFrame, width: int) -> dict[tuple[str, int], np.ndarray]:
@@ -175,19 +179,21 @@ def score_linear(rows: DataFrame, models: dict[tuple[str, str], Linear]) -> Data
 
 def score_trees(rows: DataFrame, names: list[str], folds: list[str], seed: int = 0, robust: bool = False, steps: int = 50) -> DataFrame:
     """Out-of-fold predictions of boosted trees; robust: absolute loss on samples of rows and features."""
-    assembled = rows
-    for i, n in enumerate(names):
-        assembled = assembled.withColumn(f"f_{n}", F.col("x")[i])
-    assembled = VectorAssembler(inputCols=[f"f_{n}" for n in names], outputCol="v").transform(assembled).drop(*(f"f_{n}" for n in names))
-    gbt = GBTRegressor(featuresCol="v", labelCol="y", predictionCol="p", maxDepth=3, maxIter=steps, stepSize=0.05, minInstancesPerNode=20, seed=seed)
-    if robust:
-        gbt = gbt.setLossType("absolute").setSubsamplingRate(0.8).setFeatureSubsetStrategy("0.8")
-    out = None
-    for f in folds:
-        part = gbt.fit(assembled.where(F.col("fold") != f)).transform(assembled.where(F.col("fold") == f))
-        part = part.withColumn("pred", clipped(F.col("p"))).withColumn("model", F.lit("xgb" if robust else "hgb")).drop("v", "p")
-        out = part if out is None else out.unionByName(part)
-    return out
+    forests = trees.fit_folds(rows, len(names), folds, seed=seed, robust=robust, steps=steps)
+    both = rows.join(F.broadcast(trees.as_table(rows, forests)), "fold")
+    return both.withColumns({"pred": clipped(trees.score(F.col("trees"), F.col("x"))), "model": F.lit("xgb" if robust else "hgb")}).drop("trees")
+
+
+def tuned_trees(rows: DataFrame, names: list[str], folds: list[str], grid: tuple[dict, ...] = trees.GRID, seed: int = 0) -> DataFrame:
+    """Out-of-fold predictions of boosted trees whose settings are chosen for each fold by its inner folds; adds `setting` as JSON."""
+    chosen = trees.tuned(rows, len(names), folds, grid, seed=seed)
+    forests = {}
+    for setting in {json.dumps(s, sort_keys=True) for s in chosen.values()}:
+        own = [f for f in folds if json.dumps(chosen[f], sort_keys=True) == setting]
+        forests |= trees.fit_folds(rows, len(names), own, seed=seed, **json.loads(setting))
+    settings = rows.sparkSession.createDataFrame([(f, json.dumps(s, sort_keys=True)) for f, s in chosen.items()], "fold string, setting string")
+    both = rows.join(F.broadcast(trees.as_table(rows, forests)), "fold").join(F.broadcast(settings), "fold")
+    return both.withColumns({"pred": clipped(trees.score(F.col("trees"), F.col("x"))), "model": F.lit("tuned")}).drop("trees")
 
 
 def run_protocol(rows: DataFrame, protocol: str, models: tuple[str, ...] = ("mean", "pwer", "ridge", "lasso"), blocks: tuple[str, ...] = ("proxy", "text"), feature_set: str = "transferable", n_splits: int = 5, roles: tuple[str, ...] = PROXIES) -> DataFrame:
@@ -198,11 +204,12 @@ def run_protocol(rows: DataFrame, protocol: str, models: tuple[str, ...] = ("mea
 
 def run_protocol_on(table: DataFrame, names: list[str], models: tuple[str, ...]) -> DataFrame:
     """The same on a design table with folds."""
-    out = score_linear(table, linear_models(table, names, [m for m in models if m not in ("hgb", "xgb")]))
-    for kind in ("hgb", "xgb"):
+    out = score_linear(table, linear_models(table, names, [m for m in models if m not in TREES]))
+    for kind in TREES:
         if kind in models:
             folds = sorted(r.fold for r in table.select("fold").distinct().collect())
-            out = out.unionByName(score_trees(table, names, folds, robust=kind == "xgb"), allowMissingColumns=True)
+            scored = tuned_trees(table, names, folds).drop("setting") if kind == "tuned" else score_trees(table, names, folds, robust=kind == "xgb")
+            out = out.unionByName(scored, allowMissingColumns=True)
     return out
 
 
@@ -218,6 +225,12 @@ def tuned_on_all(table: DataFrame, names: list[str], model: str) -> Linear:
     raise ValueError(f"no linear model {model}")
 
 
+def fitted_trees(table: DataFrame, names: list[str], model: str, seed: int = 0) -> trees.Forest:
+    """Boosted trees on all rows of a design table; `tuned`: settings by inner folds."""
+    setting = trees.tuned(table, len(names), [None], seed=seed)[None] if model == "tuned" else {"robust": model == "xgb"}
+    return trees.fit(table, len(names), seed=seed, **setting)
+
+
 def proxy_alone(names: list[str]) -> Linear:
     """The estimate is the proxies' mean rate, or that of the one there is."""
     proxy = "pwer_mean" if "pwer_mean" in names else next(n for n in names if n.startswith("pwer_"))
@@ -265,8 +278,7 @@ def single_proxy_ablation(rows: DataFrame, model: str = "ridge") -> DataFrame:
 def tree_gains(rows: DataFrame, seed: int = 0, steps: int = 30) -> DataFrame:
     """Share of each feature in the loss that boosted trees on all rows save."""
     table, names = design(rows)
-    assembled = VectorAssembler(inputCols=names, outputCol="v").transform(written(table.select("y", *(F.col("x")[i].alias(n) for i, n in enumerate(names))), "design"))
-    fitted = GBTRegressor(featuresCol="v", labelCol="y", maxDepth=3, maxIter=steps, stepSize=0.05, minInstancesPerNode=20, seed=seed).fit(assembled)
+    fitted = trees.regressor(seed, steps=steps).fit(trees.assembled(written(table.select("x", "y"), "design"), len(names)))
     return rows.sparkSession.createDataFrame(list(zip(names, fitted.featureImportances.toArray().tolist(), strict=True)), "feature string, gain double")
 
 
@@ -305,7 +317,7 @@ def apply_export(export: str, rows: DataFrame) -> DataFrame:
     roles = tuple(e.get("roles", PROXIES))
     if missing := set(e["feature_names"]) - set(feature_names(tuple(e["blocks"]), roles)):
         raise ValueError(f"features missing from the records: {sorted(missing)}")
-    made = build_features(rows, tuple(e["blocks"]), roles)
+    made = build_features(rows, tuple(e["blocks"]), roles, e["feature_names"])
     pred = F.lit(e["intercept"])
     for name, mean, scale, coef in zip(e["feature_names"], e["scaler_mean"], e["scaler_scale"], e["coef"], strict=True):
         pred = pred + (F.col(f"features.{name}") - mean) / scale * coef
@@ -325,25 +337,35 @@ def ridge_coefficients(rows: DataFrame, blocks: tuple[str, ...] = ("proxy", "tex
 def permutation_importance(rows: DataFrame, model: str = "ridge", n_repeats: int = 3, seed: int = 0) -> DataFrame:
     """Rise of the out-of-fold MAE when a feature is shuffled among the rows of its fold.
 
-    In each repeat every row gets a partner: the row that has its place in another random order of the fold. The estimate is linear,
-    so it moves by the feature's coefficient times the difference to the partner's value, for all features in one pass.
+    In each repeat every row gets a partner: the row that has its place in another random order of the fold. A linear estimate moves by
+    the feature's coefficient times the difference to the partner's value; trees are scored anew with it. All features go in one pass.
     """
     table, names = design(rows)
     table = written(with_folds(table), "design")
-    models = [(f, m.coef, m.intercept) for (_, f), m in linear_models(table, names, [model]).items()]
-    fitted = table.sparkSession.createDataFrame(models, "fold string, coef array<double>, intercept double")
+    if model in TREES:
+        folds = sorted(r.fold for r in table.select("fold").distinct().collect())
+        fitted = trees.as_table(table, trees.fit_folds(table, len(names), folds, seed=seed, robust=model == "xgb"))
+        raw = trees.score(F.col("trees"), F.col("x"))
+    else:
+        models = [(f, m.coef, m.intercept) for (_, f), m in linear_models(table, names, [model]).items()]
+        fitted = table.sparkSession.createDataFrame(models, "fold string, coef array<double>, intercept double")
+        raw = F.aggregate(F.zip_with("x", "coef", lambda a, b: a * b), F.col("intercept"), lambda acc, v: acc + v)
     both = table.join(F.broadcast(fitted), "fold")  # a row for each fold
-    raw = F.aggregate(F.zip_with("x", "coef", lambda a, b: a * b), F.col("intercept"), lambda acc, v: acc + v)
+    kept = [c for c in fitted.columns if c not in ("fold", "intercept")]
 
     def in_order(rows: DataFrame, s: int) -> DataFrame:
         return running_sums(rows.withColumns({"_h": F.xxhash64(F.lit(s), "segment_id"), "n": F.lit(1)}), "_h", ["n"], "fold")
 
-    own = in_order(both.select("fold", "segment_id", "y", "x", "coef", raw.alias("raw")), seed).drop("_h", "n", "total_n")
+    own = in_order(both.select("fold", "segment_id", "y", "x", *kept, raw.alias("raw")), seed).drop("_h", "n", "total_n")
     rises = None
     for r in range(n_repeats):
         partner = in_order(table.select("fold", "segment_id", "x"), seed + r + 1).select("fold", "before_n", F.col("x").alias("z"))
-        moved = F.zip_with(F.zip_with("z", "x", lambda a, b: a - b), "coef", lambda d, c: d * c)
-        rise = F.transform(moved, lambda m: F.abs(clipped(F.col("raw") + m) - F.col("y")) - F.abs(clipped(F.col("raw")) - F.col("y")))
+        if model in TREES:  # each feature in turn has the partner's value
+            swapped = lambda j: F.transform("x", lambda v, i: F.when(i == j, F.col("z")[j]).otherwise(v))
+            moved = F.transform("x", lambda _, j: trees.score(F.col("trees"), swapped(j)))
+        else:
+            moved = F.transform(F.zip_with(F.zip_with("z", "x", lambda a, b: a - b), "coef", lambda d, c: d * c), lambda m: F.col("raw") + m)
+        rise = F.transform(moved, lambda m: F.abs(clipped(m) - F.col("y")) - F.abs(clipped(F.col("raw")) - F.col("y")))
         part = own.join(partner, ["fold", "before_n"]).select(F.posexplode(rise).alias("j", "rise")).groupBy("j").agg(F.avg("rise").alias("rise"))
         rises = part if rises is None else rises.union(part)
     named = table.sparkSession.createDataFrame(list(enumerate(names)), "j int, feature string")
@@ -351,15 +373,17 @@ def permutation_importance(rows: DataFrame, model: str = "ridge", n_repeats: int
     return out.join(F.broadcast(named), "j").select("feature", "importance", "std").orderBy(F.desc("importance"))
 
 
-def partial_dependence(rows: DataFrame, feature: str, n_points: int = 10) -> DataFrame:
-    """Average prediction of a ridge on all rows as one feature goes from its 5th to its 95th percentile."""
+def partial_dependence(rows: DataFrame, feature: str, n_points: int = 10, model: str = "ridge") -> DataFrame:
+    """Average prediction of a model on all rows as one feature goes from its 5th to its 95th percentile."""
     table, names = design(rows)
     table = written(with_folds(table), "design")
-    model = _tuned(table, grams(table, len(names)), [None], "ridge")[None]
     j = names.index(feature)
-    low, high = table.agg(F.percentile(F.col("x")[j], F.array(F.lit(0.05), F.lit(0.95)))).first()[0]
-    grid = F.explode(F.array(*(F.lit(float(v)) for v in np.linspace(low, high, n_points))))
-    coef = F.array(*map(F.lit, model.coef))
-    pred = F.aggregate(F.zip_with("x", coef, lambda a, b: a * b), F.lit(model.intercept), lambda acc, v: acc + v)
-    moved = table.withColumn("value", grid).withColumn("pred", clipped(pred + (F.col("value") - F.col("x")[j]) * model.coef[j]))
-    return moved.groupBy("value").agg(F.avg("pred").alias("pred"))
+    ends = quantiles(table.select(F.col("x")[j].alias("v")), "v", [0.05, 0.95]).first()
+    grid = F.explode(F.array(*(F.lit(float(v)) for v in np.linspace(*ends.quantiles, n_points))))
+    swapped = F.transform("x", lambda v, i: F.when(i == j, F.col("value")).otherwise(v))
+    if model in TREES:
+        pred = fitted_trees(table, names, model).column(swapped)
+    else:
+        fitted = tuned_on_all(table, names, model)
+        pred = F.aggregate(F.zip_with(swapped, F.array(*map(F.lit, fitted.coef)), lambda a, b: a * b), F.lit(fitted.intercept), lambda acc, v: acc + v)
+    return table.withColumn("value", grid).withColumn("pred", clipped(pred)).groupBy("value").agg(F.avg("pred").alias("pred"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,6 @@ from ..functions.ids import tag_of
 from ..functions.text import normalize_text, words
 from ..operators.labels import add_labels, merge_transcriptions
 from ..sources.annotations import load_results
-from ..store import shared_path
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,27 +49,14 @@ def hypotheses(rows: DataFrame) -> DataFrame:
     return load_results(systems)
 
 
-#: Where a session has written the pool's tables.
-_WRITTEN: dict[tuple[str, str, str], str] = {}
-
-
-def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table of the pool, as a corpus keeps its merged table: written when it is asked for first in a session, then read."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _WRITTEN:
-        path = shared_path(spark, name)
-        make().write.parquet(path)
-        _WRITTEN[key] = path
-    return spark.read.parquet(_WRITTEN[key])
-
-
 def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def make() -> DataFrame:
-        rows = records(spark, sf_dir)
-        return merge_transcriptions(rows, hypotheses(rows), numbers=False)
+    """Records with their hypotheses, as the files are when an action runs: nothing is kept from one call to the next.
 
-    return _once(spark, sf_dir, "merged", make)
+    Alignments cost far more than reading what they align, so rows are dealt over all shuffle partitions, however few files hold them.
+    """
+    rows = records(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "segment_id")
+    return merge_transcriptions(rows, hypotheses(rows), numbers=False)
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _once(spark, sf_dir, "labelled", lambda: add_labels(merged(spark, sf_dir), split=False))
+    return add_labels(merged(spark, sf_dir), split=False)

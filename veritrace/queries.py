@@ -10,7 +10,7 @@ from .functions.align import char_error_rate, edit_counts, word_errors
 from .functions.features import build_features, orphan_word_ratio, repeated_ngram_ratio, with_call_context
 from .functions.text import normalize_text, parse_number, strip_accents, words
 from .operators import labels, metrics, reports, resample, summaries
-from .plans import bundles, models, pool
+from .plans import bundles, folds, models, pool
 from .plans.oracle import LABELLED, MERGED, edits
 from .schema import ROLES
 from .sources import annotations, sinks
@@ -586,6 +586,11 @@ def f4_f5_repeats_and_orphans(spark, sf_dir):
     return rows.select("segment_id", repeated_ngram_ratio(F.col("reference_norm"), 2).alias("repeated_bigrams"), orphan_word_ratio(F.col("hyp_target_norm"), [F.col("hyp_proxy_a_norm")]).alias("orphan_words"))
 
 
+def _one_byte(words: str) -> str:
+    """Words without spaces; capitals, which normalised texts don't have, stand for letters of several bytes, as DuckDB counts bytes."""
+    return f"translate(array_to_string({words}, ''), letters, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ!$%&()*+,-./:;<=>?@', 1, length(letters)))"
+
+
 def _pwer(role: str) -> str:
     return f"CASE WHEN {role} IS NOT NULL THEN {edits(f'coalesce({role}, [])', 'target')} END AS c_{role}"
 
@@ -593,15 +598,18 @@ def _pwer(role: str) -> str:
 @query(
     MERGED
     + f""", c AS (SELECT *, {_pwer("proxy_a")}, {_pwer("proxy_b")} FROM merged WHERE target IS NOT NULL),
+    wide AS (SELECT coalesce(string_agg(DISTINCT l, '' ORDER BY l), '') AS letters FROM (SELECT unnest(string_split(reference_norm, '')) AS l FROM merged) WHERE octet_length(encode(l)) > 1),
     e AS (SELECT segment_id, (c_proxy_a // {1 << 42})::DOUBLE / greatest(len(proxy_a), 1) AS a, (c_proxy_b // {1 << 42})::DOUBLE / greatest(len(proxy_b), 1) AS b,
-        ((c_proxy_a // {1 << 21}) % {1 << 21})::DOUBLE / greatest(len(proxy_a), 1) AS psub, len(target) AS n, array_to_string(target, ' ') AS text, duration, target FROM c)
-    SELECT segment_id, coalesce(a, 0) AS pwer_proxy_a, coalesce(b, 0) AS pwer_proxy_b, psub AS psub_proxy_a,
+        CASE WHEN len(proxy_a) > 0 THEN levenshtein({_one_byte("proxy_a")}, {_one_byte("target")})::DOUBLE / length(array_to_string(proxy_a, ''))
+            WHEN len(target) > 0 THEN 1.0 ELSE 0.0 END AS cer,
+        ((c_proxy_a // {1 << 21}) % {1 << 21})::DOUBLE / greatest(len(proxy_a), 1) AS psub, len(target) AS n, array_to_string(target, ' ') AS text, duration, target FROM c, wide)
+    SELECT segment_id, coalesce(a, 0) AS pwer_proxy_a, coalesce(b, 0) AS pwer_proxy_b, psub AS psub_proxy_a, cer AS pcer_proxy_a,
         CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN (a + b) / 2 ELSE coalesce(a, b, 0) END AS pwer_mean, coalesce(greatest(a, b) - least(a, b), 0) AS pwer_spread, n / greatest(duration, 1e-6) AS words_per_second,
         CASE WHEN n > 0 THEN length(text)::DOUBLE / n ELSE 0 END AS chars_per_word, CASE WHEN n > 0 THEN len(list_distinct(target))::DOUBLE / n ELSE 0 END AS type_token_ratio, ln(1 + greatest(duration, 1e-6)) AS log_duration FROM e"""
 )
 def f1_f2_features(spark, sf_dir):
-    rows = build_features(pool.merged(spark, sf_dir).where("hyp_target is not null"))
-    names = ["pwer_proxy_a", "pwer_proxy_b", "psub_proxy_a", "pwer_mean", "pwer_spread", "words_per_second", "chars_per_word", "type_token_ratio", "log_duration"]
+    names = ["pwer_proxy_a", "pwer_proxy_b", "psub_proxy_a", "pcer_proxy_a", "pwer_mean", "pwer_spread", "words_per_second", "chars_per_word", "type_token_ratio", "log_duration"]
+    rows = build_features(pool.merged(spark, sf_dir).where("hyp_target is not null"), names=names)
     return rows.select("segment_id", *(f"features.{n}" for n in names))
 
 
@@ -624,6 +632,24 @@ def m7_concordance_sample(spark, sf_dir):
     return resample.concordance_sample(_predicted(spark, sf_dir), "label_wer", "pred", "segment_id")
 
 
+@query(
+    PREDICTED
+    + """, a AS (SELECT count(*)::DOUBLE AS c FROM predicted GROUP BY label_wer), b AS (SELECT count(*)::DOUBLE AS c FROM predicted GROUP BY pred),
+    x AS (SELECT sum(c) AS n, sum(c * (c - 1) / 2) AS t, sum(c * (c - 1) * (c - 2)) AS u, sum(c * (c - 1) * (2 * c + 5)) AS v FROM a),
+    z AS (SELECT sum(c * (c - 1) / 2) AS t, sum(c * (c - 1) * (c - 2)) AS u, sum(c * (c - 1) * (2 * c + 5)) AS v FROM b)
+    SELECT n::BIGINT AS n, x.t AS tied_y, z.t AS tied_pred, (n * (n - 1) * (2 * n + 5) - x.v - z.v) / 18 + 2 * x.t * z.t / (n * (n - 1)) + x.u * z.u / (9 * n * (n - 1) * (n - 2)) AS variance FROM x, z"""
+)
+def m16_kendall_variance(spark, sf_dir):
+    return resample.kendall_variance(_predicted(spark, sf_dir), "label_wer", "pred")
+
+
+@query()
+def m14_compare_models(spark, sf_dir):
+    """All pairs of models on the same segments, groups drawn instead of rows."""
+    result = models.run_protocol(_complete(spark, sf_dir), "group", ("mean", "pwer", "ridge"))
+    return resample.compare_models(written(result, "result"), n_boot=200)
+
+
 @query()
 def m16_call_significance(spark, sf_dir):
     return resample.call_significance(summaries.call_metrics(_predicted(spark, sf_dir)), margin=0.1)
@@ -676,6 +702,34 @@ def a21_metrics_by_stratum_baselines(spark, sf_dir):
     return reports.metrics_by_stratum(models.run_protocol(_complete(spark, sf_dir), "lodo", ("mean", "pwer")), "lang")
 
 
+_GROUPS = """, groups AS (SELECT group_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, group_id) AS i FROM labelled WHERE proxy_b IS NOT NULL GROUP BY group_id),
+    deal AS (
+        SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS loads, NULL::VARCHAR AS group_id, 0::BIGINT AS n, 0 AS fold
+        UNION ALL SELECT g.i, list_transform(loads, lambda x, j: CASE WHEN j = list_position(loads, list_min(loads)) THEN x + g.n ELSE x END), g.group_id, g.n, list_position(loads, list_min(loads)) - 1
+        FROM deal JOIN groups g ON g.i = deal.i + 1),
+    folds AS (SELECT group_id, n, fold::INTEGER AS fold FROM deal WHERE group_id IS NOT NULL)"""
+
+
+@query(LABELLED.replace("WITH", "WITH RECURSIVE", 1) + _GROUPS + " SELECT group_id, n, fold FROM folds")
+def v1_grouped_folds(spark, sf_dir):
+    """The largest group left goes to the lightest of five folds."""
+    return folds.deal_groups(_complete(spark, sf_dir), "group_id", 5).withColumnRenamed("part", "fold")
+
+
+@query(
+    LABELLED.replace("WITH", "WITH RECURSIVE", 1)
+    + _GROUPS
+    + f""", rates AS (SELECT *, ({_RATE.replace('{p}', 'proxy_a')} + {_RATE.replace('{p}', 'proxy_b')}) / 2 AS pwer FROM labelled JOIN folds USING (group_id) WHERE proxy_b IS NOT NULL),
+    out_of_fold AS (
+        SELECT 'pwer' AS model, label_wer AS y, least(greatest(pwer, 0.0), 2.0) AS pred FROM rates UNION ALL
+        SELECT 'mean', label_wer, least(greatest((sum(label_wer) OVER () - sum(label_wer) OVER (PARTITION BY fold)) / (count(*) OVER () - count(*) OVER (PARTITION BY fold)), 0.0), 2.0) FROM rates)"""
+    + _regression_sql("out_of_fold", "y", "pred", "model").replace("\n    SELECT", ", res AS (SELECT", 1)
+    + ") SELECT *, 1 - mae / nullif((SELECT mae FROM res x WHERE x.model = 'pwer'), 0) AS gain FROM res"
+)
+def v4_protocol_group_baselines(spark, sf_dir):
+    return models.summarize(models.run_protocol(_complete(spark, sf_dir), "group", ("mean", "pwer")))
+
+
 @query()
 def v21_evaluate_pool(spark, sf_dir):
     return bundles.evaluate_pool(_complete(spark, sf_dir))
