@@ -1,11 +1,14 @@
 import math
+import os
 import random
+import resource
 from collections import Counter
 
 import numpy as np
 import pytest
 
 from veritrace.llm import language_model as lm
+from veritrace.llm.ngram_arrays import Files, find, keys_of, narrow
 
 from . import tables
 
@@ -104,18 +107,50 @@ def test_sorted_keys():
     rng = np.random.default_rng(0)
     for n in (0, 1, 5, 3000):
         keys = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
-        files = lm.Files("/nowhere")
-        files.save = lambda name, array, files=files: files.open.update({name: array})
-        files.save_keys("x", keys)
+        arrays = keys_of("x", keys)
         others = rng.integers(0, 2**64, 500, dtype=np.uint64)
-        assert files.find("x", keys).tolist() == list(range(len(keys)))
-        assert (files.find("x", others) == -1).all()
+        assert find(arrays, "x", keys).tolist() == list(range(len(keys)))
+        assert (find(arrays, "x", others) == -1).all()
 
 
 def test_blocks_of_columns():
     rng = np.random.default_rng(1)
-    columns = [np.sort(rng.integers(0, 2**32, 500)), rng.integers(0, 2**32, 500), np.ones(500, int)]
-    assert all((a == b).all() for a, b in zip(columns, lm._unpack(lm._pack(columns), 3), strict=True))
+    columns = [np.sort(rng.integers(0, 2**32, 500)), rng.integers(0, 2**32, 500), rng.integers(0, 2**63, 500)]
+    assert all((a == b).all() for a, b in zip(columns, lm._unpack("suffix", lm._pack("suffix", columns)), strict=True))
+
+
+def test_counts_beyond_32_bits():
+    assert narrow(np.array([1, 2**32 - 1])).dtype == np.uint32 and narrow(np.array([1, 2**40])).tolist() == [1, 2**40]
+    total, n1 = np.array([2**33, 5]), np.array([7, 2**34])
+    hi, _, sums = lm._merged(np.array([3, 3], dtype=np.uint64), np.zeros(2, np.uint32), [total, n1])
+    assert hi.tolist() == [3] and [x.tolist() for x in sums] == [[2**33 + 5], [2**34 + 7]]
+
+
+def test_few_files_are_open_at_a_time(tmp_path, monkeypatch):
+    """200 parts under a limit of 256 open files; what was asked for longest ago is closed."""
+    from pyspark import TaskContext
+
+    monkeypatch.setattr(TaskContext, "get", classmethod(lambda cls: type("T", (), {"taskAttemptId": lambda self: 1})()))
+    files = Files(str(tmp_path))
+    for k in range(200):
+        files.save(f"top-{k:06d}", a=np.arange(k), b=np.full((k % 3, 2), k, dtype=np.uint64))
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    held = len(os.listdir("/proc/self/fd"))
+    resource.setrlimit(resource.RLIMIT_NOFILE, (held + 100, hard))
+    try:
+        for _ in range(2):
+            for k in range(200):
+                arrays = files.arrays(f"top-{k:06d}")
+                assert arrays["a"].tolist() == list(range(k)) and arrays["b"].shape == (k % 3, 2) and (arrays["b"] == k).all()
+                assert len(files.open) <= Files.MAPPED
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
+
+
+def test_parts_are_told_by_bits(spark):
+    rows = [("level3", p, None) for p in (0, 5, 32_767, 32_768, 70_000)] + [("done", 3, None), ("level2", 1, None), ("types", None, None), ("words", 9, b"x")]
+    got = lm._present(spark.createDataFrame(rows, "kind string, part int, data binary"), 80_000)
+    assert {k: np.flatnonzero(v).tolist() for k, v in got.items()} == {"top": [0, 5, 32_767, 32_768, 70_000], "context": [0, 3, 5, 32_767, 32_768, 70_000], "suffix": [1], "table": []}
 
 
 def test_other_orders_are_refused(spark):

@@ -6,26 +6,24 @@ part writes sorted arrays of its n-grams' hashes (48 bits of each) to the shared
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyarrow import fs as arrow_fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, discard, hash_words, mix, shared_path, small_batches, text_chunks, texts_of, tidy, written
+from .ngram_arrays import Files, find, keys_of, narrow
 from .token_files import _filesystem
 
 ORDER = 3
 #: Tokens that are counted together before rows leave a worker; training tokens, words, for each part of the arrays, about.
 COUNT_TOKENS, PART_TOKENS, PART_WORDS = 1 << 21, 2_500_000, 1_000_000
-#: Entries of a sorted array that share the bits their place tells, about.
-BUCKET = 16
+#: Texts are scored together up to so many bytes.
+SCORE_BYTES = 4_000_000
 #: Words have numbers below this.
 MOST_WORDS = (1 << 32) - 4
 _FACTOR = U64(0xD6E8FEB86659FD93)
@@ -51,59 +49,6 @@ class Words:
         return (words >> U64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(words), dtype=np.int64)
 
 
-class Files:
-    """Arrays of the shared folder as a worker sees them: mapped, or read where a store has no files that can be mapped (then no more than KEPT)."""
-
-    KEPT = 16
-
-    def __init__(self, out: str):
-        self.filesystem, self.root = _filesystem(out)
-        self.open: dict[str, np.ndarray] = {}
-
-    def array(self, name: str) -> np.ndarray:
-        if name not in self.open:
-            path = f"{self.root}/{name}.npy"
-            if self.filesystem.type_name == "local":
-                self.open[name] = np.load(path, mmap_mode="r")
-            else:
-                if len(self.open) >= self.KEPT:
-                    del self.open[next(iter(self.open))]
-                with self.filesystem.open_input_file(path) as f:
-                    self.open[name] = np.load(io.BytesIO(f.read()))
-        return self.open[name]
-
-    def save(self, name: str, array: np.ndarray) -> None:
-        own = f"{self.root}/.{name}-{TaskContext.get().taskAttemptId()}"
-        data = io.BytesIO()
-        np.save(data, array)
-        with self.filesystem.open_output_stream(own) as f:
-            f.write(data.getbuffer())
-        self.filesystem.move(own, f"{self.root}/{name}.npy")
-
-    # sorted 64-bit keys: the first bits tell the bucket, the next 32 are kept
-
-    def save_keys(self, name: str, keys: np.ndarray) -> None:
-        bits = max(1, (len(keys) // BUCKET).bit_length())
-        starts = np.searchsorted(keys, np.arange(1 << bits, dtype=U64) << U64(64 - bits))
-        self.save(f"{name}-starts", np.append(starts, len(keys)).astype(_U32))
-        self.save(f"{name}-keys", (keys << U64(bits) >> _32).astype(_U32))
-
-    def find(self, name: str, wanted: np.ndarray) -> np.ndarray:
-        """Place of each wanted key, or -1."""
-        starts, keys = self.array(f"{name}-starts"), self.array(f"{name}-keys")
-        bits = (len(starts) - 1).bit_length() - 1
-        if not len(keys):
-            return np.full(len(wanted), -1, dtype=np.int64)
-        bucket, value = (wanted >> U64(64 - bits)).astype(np.int64), (wanted << U64(bits) >> _32).astype(_U32)
-        low, high = starts[bucket].astype(np.int64), starts[bucket + 1].astype(np.int64)
-        end, last = high.copy(), len(keys) - 1
-        for _ in range(int((high - low).max(initial=0)).bit_length()):
-            middle = (low + high) >> 1
-            less = (low < high) & (keys[np.minimum(middle, last)] < value)
-            low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
-        return np.where((low < end) & (keys[np.minimum(low, last)] == value), low, -1)
-
-
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
     size = 0
@@ -136,8 +81,7 @@ def _number_words(out: str):
         for k in np.unique(part).tolist():
             own, counts = word[part == k].view(U64), n[part == k]
             order = np.argsort(own)
-            files.save(f"words-{k:06d}", own[order])
-            files.save(f"counts-{k:06d}", counts[order])
+            files.save(f"words-{k:06d}", words=own[order], counts=counts[order])
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([len(own)], pa.int64())], ["part", "n"])
 
     return run
@@ -157,7 +101,7 @@ class Numbers:
         for k in np.flatnonzero(np.diff(cuts)).tolist():
             if w.offsets[k + 1] == w.offsets[k]:
                 continue
-            known, own = self.files.array(f"words-{k:06d}"), distinct[cuts[k] : cuts[k + 1]]
+            known, own = self.files.arrays(f"words-{k:06d}")["words"], distinct[cuts[k] : cuts[k + 1]]
             at = np.searchsorted(known, own)
             at[at == len(known)] = 0
             hit = known[at] == own
@@ -222,23 +166,30 @@ class Deal:
         return np.where(hot, self.parts, 0) + (np.where(hot, _key(a, b), _key(middle)) % U64(self.parts)).astype(np.int64)
 
 
-def _pack(columns: list[np.ndarray]) -> bytes:
-    """Columns as 32 bits (what is larger as the largest), the first one sorted, byte plane by byte plane."""
-    planes = [np.ascontiguousarray(np.minimum(x, 0xFFFFFFFF).astype(_U32)).view(np.uint8).reshape(-1, 4).T.tobytes() for x in [np.diff(columns[0].astype(np.int64), prepend=0), *columns[1:]]]
+#: Columns of each kind of block: numbers of words, of 32 bits, and counts, of 64.
+_WIDTH = {"top": (3, 1), "suffix": (2, 1), "context": (2, 4), "words": (1, 5)}
+
+
+def _pack(kind: str, columns: list[np.ndarray]) -> bytes:
+    """A block's columns, the first one sorted, byte plane by byte plane: the upper planes of small counts take hardly any room."""
+    numbers, planes = _WIDTH[kind][0], []
+    for i, x in enumerate([np.diff(columns[0].astype(np.int64), prepend=0), *columns[1:]]):
+        wide = _U32 if i < numbers else U64
+        planes.append(np.ascontiguousarray(x.astype(wide)).view(np.uint8).reshape(-1, wide().itemsize).T.tobytes())
     return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
-def _unpack(data: bytes, n_columns: int) -> list[np.ndarray]:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(n_columns, 4, -1)
-    columns = [np.ascontiguousarray(x.T).view(_U32).ravel() for x in planes]
+def _unpack(kind: str, data: bytes) -> list[np.ndarray]:
+    numbers, counts = _WIDTH[kind]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(4 * numbers + 8 * counts, -1)
+    columns = [np.ascontiguousarray(planes[4 * i : 4 * i + 4].T).view(_U32).ravel() for i in range(numbers)]
+    columns += [np.ascontiguousarray(planes[i : i + 8].T).view(U64).ravel().astype(np.int64) for i in range(4 * numbers, len(planes), 8)]
     columns[0] = np.cumsum(columns[0], dtype=np.int64).astype(_U32)
     return columns
 
 
 BLOCKS = "kind string, part int, data binary, n1 long, n2 long, n3 long, n4 long"
 _KINDS = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("data", pa.binary()), *((f"n{i}", pa.int64()) for i in range(1, 5))])
-#: Columns of each kind of block.
-_WIDTH = {"top": 4, "suffix": 3, "context": 6, "words": 6}
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -248,7 +199,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 def _blocks(kind: str, part: np.ndarray, columns: list[np.ndarray]) -> list[tuple]:
     """Rows with the columns of each part; columns are sorted within it."""
     cuts = np.flatnonzero(np.append(True, np.diff(part) != 0)) if len(part) else []
-    return [(kind, int(part[a]), _pack([c[a:b] for c in columns])) for a, b in zip(cuts, np.append(cuts[1:], len(part)), strict=True)] if len(part) else []
+    return [(kind, int(part[a]), _pack(kind, [c[a:b] for c in columns])) for a, b in zip(cuts, np.append(cuts[1:], len(part)), strict=True)] if len(part) else []
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> dict[tuple[str, int], list[np.ndarray]]:
@@ -256,7 +207,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> dict[tuple[str, int], list[n
     held: dict[tuple[str, int], list] = {}
     for batch in batches:
         for kind, part, data in zip(batch.column("kind").to_pylist(), batch.column("part").to_pylist(), batch.column("data").to_pylist(), strict=True):
-            held.setdefault((kind, part), []).append(_unpack(data, _WIDTH[kind]))
+            held.setdefault((kind, part), []).append(_unpack(kind, data))
     return {k: [np.concatenate(c) for c in zip(*v, strict=True)] for k, v in held.items()}
 
 
@@ -312,14 +263,12 @@ def _counts_of(n: np.ndarray) -> tuple[int, ...]:
     return tuple(int((n == k).sum()) for k in (1, 2, 3, 4))
 
 
-def _save_suffixes(files: Files, words: Words, name: str, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> list[tuple]:
+def _save_suffixes(files: Files, words: Words, suffix_part: int, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> list[tuple]:
     """Pairs (sorted) with their counts at the second level; gives the counts of counts, and what the pairs add to their words."""
     key = _key(v, w)
     order = np.argsort(key)
     once = n[order] == 1
-    files.save_keys(f"{name}-once", key[order][once])
-    files.save_keys(f"{name}-more", key[order][~once])
-    files.save(f"{name}-counts", np.minimum(n[order][~once], 0xFFFFFFFF).astype(_U32))
+    files.save(f"suffix-{suffix_part:06d}", **keys_of("once", key[order][once]), **keys_of("more", key[order][~once]), counts=narrow(n[order][~once]))
     new, (total, n1, n2, n3) = _by(v, n)
     second, types = np.unique(w, return_counts=True)
     numbers = np.union1d(v[new], second)
@@ -327,7 +276,7 @@ def _save_suffixes(files: Files, words: Words, name: str, v: np.ndarray, w: np.n
     columns[:4, np.searchsorted(numbers, v[new])] = total, n1, n2, n3
     columns[4, np.searchsorted(numbers, second)] = types
     part = np.searchsorted(words.offsets, numbers, side="right") - 1
-    return [("level2", None, None, *_counts_of(n)), *_blocks("words", part, [numbers, *columns])]
+    return [("level2", suffix_part, None, *_counts_of(n)), *_blocks("words", part, [numbers, *columns])]
 
 
 def _save_contexts(files: Files, name: str, u: np.ndarray, v: np.ndarray, total: np.ndarray, n1: np.ndarray, n2: np.ndarray, n3: np.ndarray) -> None:
@@ -335,9 +284,8 @@ def _save_contexts(files: Files, name: str, u: np.ndarray, v: np.ndarray, total:
     key = _key(u, v)
     order = np.argsort(key)
     once = total[order] == 1
-    files.save_keys(f"{name}-once", key[order][once])
-    files.save_keys(f"{name}-more", key[order][~once])
-    files.save(f"{name}-stats", np.minimum(np.stack([x[order][~once] for x in (total, n1, n2, n3)], axis=1), 0xFFFFFFFF).astype(_U32))
+    stats = np.stack([x[order][~once] for x in (total, n1, n2, n3)], axis=1)
+    files.save(name, **keys_of("once", key[order][once]), **keys_of("more", key[order][~once]), stats=narrow(stats))
 
 
 def _top_parts(words: Words, deal: Deal):
@@ -351,10 +299,8 @@ def _top_parts(words: Words, deal: Deal):
             key = _key(u, v, w)
             order = np.argsort(key)
             once = n[order] == 1
-            files.save_keys(f"top-{part:06d}-once", key[order][once])
-            files.save_keys(f"top-{part:06d}-more", key[order][~once])
-            files.save(f"top-{part:06d}-counts", np.minimum(n[order][~once], 0xFFFFFFFF).astype(_U32))
-            yield _rows([("level3", None, None, *_counts_of(n))])
+            files.save(f"top-{part:06d}", **keys_of("once", key[order][once]), **keys_of("more", key[order][~once]), counts=narrow(n[order][~once]))
+            yield _rows([("level3", part, None, *_counts_of(n))])
             new, stats = _by(hi, n)
             hot = deal.is_hot(v[new])
             _save_contexts(files, f"context-{part:06d}", u[new][~hot], v[new][~hot], *(x[~hot] for x in stats))
@@ -362,7 +308,7 @@ def _top_parts(words: Words, deal: Deal):
             second, _, (types,) = _merged(_pair(v, w), np.zeros(len(v), dtype=_U32), [np.ones(len(v), np.int64)])
             a, b = (second >> _32).astype(_U32), second.astype(_U32)
             hot = deal.is_hot(a)
-            yield _rows(_save_suffixes(files, words, f"suffix-{part:06d}", a[~hot], b[~hot], types[~hot]))
+            yield _rows(_save_suffixes(files, words, part, a[~hot], b[~hot], types[~hot]))
             yield from map(lambda r: _rows([r]), _elsewhere("suffix", deal, a[hot], b[hot], a[hot], [types[hot]]))
 
     return run
@@ -384,9 +330,9 @@ def _pair_parts(words: Words):
             a, b = (hi >> _32).astype(_U32), hi.astype(_U32)
             if kind == "context":
                 _save_contexts(files, f"context-{part:06d}", a, b, *sums)
-                yield _rows([("done", None, None)])
+                yield _rows([("done", part, None)])
             else:
-                yield _rows(_save_suffixes(files, words, f"suffix-{part:06d}", a, b, sums[0]))
+                yield _rows(_save_suffixes(files, words, part, a, b, sums[0]))
 
     return run
 
@@ -402,9 +348,9 @@ def _word_parts(words: Words):
             table = np.zeros((size, 5), dtype=np.uint64)
             for i, x in enumerate(values):
                 np.add.at(table[:, i], number.astype(np.int64) - base, x.astype(U64))
-            files.save(f"table-{part:06d}", table)
+            files.save(f"table-{part:06d}", table=table)
             types = table[:, 4]
-            yield _rows([("level1", None, None, *_counts_of(types)), ("types", None, None, int(types.sum()), int((types >= 3).sum()))])
+            yield _rows([("level1", part, None, *_counts_of(types)), ("types", None, None, int(types.sum()), int((types >= 3).sum()))])
 
     return run
 
@@ -482,19 +428,30 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     ended = shares.where("kind = 'words'").repartitionById(len(words.offsets), "part").mapInArrow(tidy(_word_parts(words)), BLOCKS)
     ended = written(ended, "ended")
     sums = {r.kind: (r.n1, r.n2, r.n3, r.n4) for r in shares.where("data is null").union(ended).groupBy("kind").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(1, 5))).collect()}
+    present = _present(shares.union(ended), int(2 * deal.parts + len(words.offsets)))
     discard(pairs, ended, *([first] if first is not None else []))
     levels = {k: _discounts(*sums.get(f"level{k}", (0,) * 4)) for k in range(1, order + 1)}
     one, two, *_ = sums.get("level1", (0,) * 4)
     n_types, many, *_ = sums.get("types", (0,) * 4)
     rest = sum(d * n for d, n in zip(levels[1], (one, two, many), strict=True)) / n_types if n_types else 1.0
-    present = {}
-    names = [f.base_name.split("-") for f in filesystem.get_file_info(arrow_fs.FileSelector(root)) if not f.base_name.startswith(".")]
-    for kind in ("top", "context", "suffix", "table"):
-        own = {int(x[1].removesuffix(".npy")) for x in names if x[0] == kind}
-        present[kind] = np.isin(np.arange(2 * deal.parts + len(words.offsets)), sorted(own))
     return Model(order, words, deal, n_tokens + n_texts, n_texts, n_words + (n_texts > 0), n_types, levels, rest, present)
 
 
+def _present(rows: DataFrame, n_parts: int) -> dict[str, np.ndarray]:
+    """Which parts have a file of each kind, from what the tasks that wrote them gave back; the driver gets a bit for each."""
+    place = F.col("part") + 1
+    marks = rows.where("data is null and part is not null").groupBy("kind", F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    kinds = {"level3": ("top", "context"), "done": ("context",), "level2": ("suffix",), "level1": ("table",)}
+    out = {k: np.zeros(n_parts, dtype=bool) for k in ("top", "context", "suffix", "table")}
+    for r in marks.collect():
+        bits = np.unpackbits(np.frombuffer(bytes(r.bits), dtype=np.uint8), bitorder="little").astype(bool)
+        first = (r.bucket - 1) * len(bits)
+        for kind in kinds[r.kind]:
+            own = out[kind][first : first + len(bits)]
+            own |= bits[: len(own)]
+    return out
+
+
 class Reader:
     """The model as a worker sees it: arrays mapped into memory, of which only the pages that are looked at are read."""
 
@@ -510,43 +467,43 @@ class Reader:
             own = np.flatnonzero(part == k)
             at = number[own].astype(np.int64) - int(m.words.offsets[k])
             if k + 1 < len(m.words.offsets):
-                count[own] = self.files.array(f"counts-{k:06d}")[at]
+                count[own] = self.files.arrays(f"words-{k:06d}")["counts"][at]
             else:
                 count[own] = np.where(at == 0, m.n_texts, 0)
                 own, at = own[at < 2], at[at < 2]
             if m.present["table"][k]:
-                table[own] = self.files.array(f"table-{k:06d}")[at]
+                table[own] = self.files.arrays(f"table-{k:06d}")["table"][at]
         types = table[:, 4]
         taken = np.array([0, *m.discounts[1]])[np.minimum(types, 3).astype(np.int64)]
         p = (types - taken) / max(m.n_types, 1) + m.rest / (m.n_words + 1)
         return count, p, table[:, 0], table[:, 1:4] @ np.array(m.discounts[2])
 
-    def _each_part(self, kind: str, part: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
+    def _each_part(self, kind: str, part: np.ndarray) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
         order = np.argsort(part, kind="stable")
         cuts = np.flatnonzero(np.append(True, np.diff(part[order]) != 0)) if len(part) else []
         for own in np.split(order, cuts[1:]) if len(part) else []:
             if self.model.present[kind][part[own[0]]]:
-                yield f"{kind}-{int(part[own[0]]):06d}", own
+                yield self.files.arrays(f"{kind}-{int(part[own[0]]):06d}"), own
 
     def counts(self, kind: str, part: np.ndarray, key: np.ndarray) -> np.ndarray:
         out = np.zeros(len(key), dtype=np.int64)
-        for name, own in self._each_part(kind, part):
-            at = self.files.find(f"{name}-more", key[own])
-            out[own[at >= 0]] = self.files.array(f"{name}-counts")[at[at >= 0]]
+        for arrays, own in self._each_part(kind, part):
+            at = find(arrays, "more", key[own])
+            out[own[at >= 0]] = arrays["counts"][at[at >= 0]]
             own = own[at < 0]
-            out[own] = self.files.find(f"{name}-once", key[own]) >= 0
+            out[own] = find(arrays, "once", key[own]) >= 0
         return out
 
     def contexts(self, part: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Total and weight left of pairs as contexts."""
         total, left = np.zeros(len(key)), np.zeros(len(key))
         d = np.array(self.model.discounts[3])
-        for name, own in self._each_part("context", part):
-            at = self.files.find(f"{name}-more", key[own])
-            stats = self.files.array(f"{name}-stats")[at[at >= 0]].astype(float)
+        for arrays, own in self._each_part("context", part):
+            at = find(arrays, "more", key[own])
+            stats = arrays["stats"][at[at >= 0]].astype(float)
             total[own[at >= 0]], left[own[at >= 0]] = stats[:, 0], stats[:, 1:] @ d
             own = own[at < 0]
-            hit = own[self.files.find(f"{name}-once", key[own]) >= 0]
+            hit = own[find(arrays, "once", key[own]) >= 0]
             total[hit], left[hit] = 1, d[0]
         return total, left
 
@@ -575,6 +532,18 @@ class Reader:
         return np.log10(p), count[last]
 
 
+def _larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches together up to SCORE_BYTES, so that short texts share the opening of files."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= SCORE_BYTES:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Score every whole text: doc_id, n_tokens, n_known, base_score, score.
 
@@ -588,13 +557,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, reader = shared.value, Reader(shared.value)
         floor = np.log10(m.n_tokens + 0.1 * (m.n_words + 1))
-        for batch in batches:
-            two, one, tokens, text = reader.numbers.sequences(batch.column("text"))
+        for table in _larger(batches):
+            two, one, tokens, text = reader.numbers.sequences(table.column("text"))
             if not len(tokens):
                 continue
             scores, count = reader.scores(two, one, tokens)
-            n, base = batch.num_rows, np.log10(count + 0.1) - floor
+            n, base = table.num_rows, np.log10(count + 0.1) - floor
             columns = [np.bincount(text, minlength=n), np.bincount(text[count > 0], minlength=n), np.bincount(text, weights=base, minlength=n), np.bincount(text, weights=scores, minlength=n)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            ids = table.column("doc_id").combine_chunks()
+            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, columns)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return texts_of(docs).mapInArrow(tidy(run), "doc_id long, n_tokens long, n_known long, base_score double, score double")
