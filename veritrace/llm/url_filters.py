@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -22,31 +24,14 @@ RULES = [
     ("block", "net/fr/"),
 ]
 
-#: The labelled table: each host stands with the paths of its label and with those that say nothing; of shared hosts the path tells.
-BLOCKED_HOSTS = """
-casino-win.example.net casino-royal.example.org best-casino.example.net cheap-pills.example.net cheap-meds.example.org
-pills-online.example.org free-bets.example.net free-spins.example.org sports-bets.example.net adult-x.example.org
-adult-chat.example.net adult-video.example.org spam-farm.example.net spam-links.example.org link-farm.example.org
-ads-track.example.net ads-server.example.org click-track.example.net
-""".split()
-ALLOWED_HOSTS = """
-news.example.net blog.example.org www.example.org m.example.net wiki.example.org library.example.net museum.example.org
-school.example.net science.example.org weather.example.net recipes.example.org history.example.net garden.example.org
-travel.example.net music.example.org books.example.net health.example.org city.example.net theatre.example.org
-archive.example.net open-data.example.org long-reads.example.net field-notes.example.org forum.example.net reader.example.org
-""".split()
-SHARED_HOSTS = "pages.example.net users.example.org cdn.example.net files.example.org static.example.net home.example.org".split()
-BLOCKED_PATHS = ["/casino/bonus", "/free/spins.php", "/buy/pills-cheap", "/adult/videos", "/bets/win-now", "/ads/click", "/track/redirect"]
-ALLOWED_PATHS = ["/about", "/articles/history.html", "/news/2024/science", "/wiki/garden", "/docs/guide", "/books/review", "/archive/letters"]
-PATHS = ["/", "/en/120", "/de/77.html", "/it/403/"]
-
-
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table: url, label (1: block)."""
-    kinds = [(BLOCKED_HOSTS, BLOCKED_PATHS, 1.0), (ALLOWED_HOSTS, ALLOWED_PATHS, 0.0)]
-    rows = [(f"http://{h}{p}", y) for hosts, paths, y in kinds for h in hosts for p in paths + PATHS]
-    rows += [(f"http://{h}{p}", y) for _, paths, y in kinds for h in SHARED_HOSTS for p in paths]
-    return spark.createDataFrame(rows, "url string, label double")
+#: The labelled table: a label (block, allow) and a url in each line.
+LABELLED = Path(__file__).with_name("labelled_urls.tsv")
+
+
+def labelled_urls(spark: SparkSession, path: Path = LABELLED) -> DataFrame:
+    """The small labelled table: url, label (1: block). It is a file of the package, read where the session is."""
+    rows = [line.split("\t") for line in path.read_text(encoding="utf-8").splitlines() if line]
+    return spark.createDataFrame([(url, float(label == "block")) for label, url in rows], "url string, label double")
 
 
 def host_of(url: Column) -> Column:
