@@ -208,13 +208,11 @@ def _group(width: int, members: np.ndarray, items: list[Item], terms: Terms, idf
     )
 
 
-def build_index(texts: DataFrame, items: list[Item], n_texts: int, keys: np.ndarray, df: np.ndarray) -> Index | None:
-    """keys, df: words of all items (sorted hashes), and in how many texts each is."""
-    if not items:
-        return None
+def build_index(texts: DataFrame, items: list[Item], n_texts: int, df: np.ndarray) -> Index:
+    """df: in how many of the n_texts texts each word of the items is, in the order of the words' hashes."""
     own = np.unique(np.concatenate([x.words for x in items]))
     terms = Terms(own)
-    idf = np.log1p(n_texts / (1 + df[np.searchsorted(keys, own)])) + 1e-3
+    idf = np.log1p(n_texts / (1 + df)) + 1e-3
     basis = _fit(texts, n_texts, items, terms, idf)
     latent = np.zeros((len(own) + 1, basis.shape[1]), dtype=np.float32)
     latent[1:] = basis * idf[:, None]
@@ -336,8 +334,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     leak. A candidate is a leak with LCS of the item's words in order, or with LCS_WITH_ANSWER of them and
     the item's answer word for word. Null or
     empty texts and items match nothing; items without id are left out; repeated rows and ids are
-    each looked at; empty tables give an empty result. Idf is counted over all texts, in one pass for all items. Items are the query set:
-    they are searched in blocks of about ITEMS_PER_BLOCK, so that what a worker holds is bounded.
+    each looked at; empty tables give an empty result. Items are the query set: they are searched in blocks of about ITEMS_PER_BLOCK, so that what
+    the driver and a worker hold is bounded. For each block, idf is counted over all texts in one pass and the texts are searched in another.
     """
     spark = docs.sparkSession
     texts = texts_of(docs).fillna("", ["text"])
@@ -345,16 +343,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = "doc_id long, item_id long, cosine double, lcs int, item_words int, word long"
     blocks = -(-asked.count() // ITEMS_PER_BLOCK)
     out = spark.createDataFrame([], schema)
-    parts = [_items(asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()) for block in range(blocks)]
-    every = [x.words for items in parts for x in items]
-    keys = np.unique(np.concatenate(every)) if every else np.empty(0, U64)
-    n_texts, df = _document_frequencies(texts, keys) if every else (0, None)
-    for items in parts:
-        index = build_index(texts, items, n_texts, keys, df)
-        if index is None:
+    for block in range(blocks):
+        items = _items(asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect())
+        if not items:
             continue
+        keys = np.unique(np.concatenate([x.words for x in items]))
+        index = build_index(texts, items, *_document_frequencies(texts, keys))
         shared = spark.sparkContext.broadcast(index)
-        del index
+        del index, items, keys
         give_back()
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -375,5 +371,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         ["doc_id", "item_id", "cosine", "lcs", "item_words", "word"],
                     )
 
-        out = out.union(texts.mapInArrow(tidy(run), schema)) if blocks > 1 else texts.mapInArrow(tidy(run), schema)
+        found = texts.mapInArrow(tidy(run), schema)
+        if blocks == 1:
+            return found
+        out = out.union(written(found, "leaks"))  # the block's index goes before the next one is made
+        shared.destroy()
     return out

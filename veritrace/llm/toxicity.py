@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, _IS_WORD, _VALUES, discard, give_back, hash_sample, mix, small_batches, text_chunks, texts_of, tidy, written
@@ -22,6 +22,8 @@ MIN_TEXTS, MIN_RATIO = 8, 1.0
 SMOOTHING = 0.5
 L2, STEPS = 1.0, 150
 FIT_TEXTS = 500
+#: Bytes of features that the weights are fitted on, at most.
+FIT_BYTES = 256 << 20
 _MULTIPLIER = U64(0x9E3779B97F4A7C15)
 
 
@@ -90,7 +92,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     docs: doc_id, text. labels: doc_id, toxic (0 or 1). Null ids and labels are ignored; an id
     with several labels is toxic if one says so; of an id with several texts the one of least hash counts, once. The sample is
     the `rows` ids with the least hash; its ids (bounded) are broadcast to one scan of the texts. Ids without a
-    text don't count. Without both kinds of label, the model has no features and its bias is the smoothed share of toxic labels.
+    text don't count. All of the sample is counted; the weights are fitted on as many of its texts, in the order of their hash, as have FIT_BYTES of
+    features together (4 bytes for each distinct one of a text, whatever its length), which is what the driver holds. Without both kinds of label, the model has no features and its bias is the smoothed share of toxic labels.
     """
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
@@ -132,11 +135,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
                 owner, bucket = _features(offsets, data, shared.value)
                 cuts = np.searchsorted(owner, np.arange(1, n))
                 lists = [x.astype("<i4").tobytes() for x in np.split(bucket, cuts)] if n else []
-                yield pa.RecordBatch.from_arrays([batch.column("toxic")[row : row + n], pa.array(lists, pa.binary())], ["toxic", "features"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[row : row + n], batch.column("toxic")[row : row + n], pa.array(lists, pa.binary())], ["doc_id", "toxic", "features"])
 
-    table = texts.mapInArrow(rows_of, "toxic long, features binary").toPandas()
+    found = written(texts.mapInArrow(rows_of, "doc_id long, toxic long, features binary"), "features")
+    in_order = Window.orderBy(F.xxhash64("doc_id", F.lit(42)), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # TRAIN_ROWS rows at most
+    within = found.select("doc_id", F.sum(F.octet_length("features")).over(in_order).alias("bytes")).where(F.col("bytes") <= FIT_BYTES)
+    table = found.join(F.broadcast(within.select("doc_id")), "doc_id").select("toxic", "features").toPandas()
     shared.unpersist()
-    discard(texts)
+    discard(texts, found)
     features = list(map(bytes, table.features))
     order = sorted(range(len(features)), key=lambda i: (table.toxic[i], features[i]))  # sums come in the same order in every run
     position = np.zeros(BUCKETS, dtype=np.int32)
