@@ -1,6 +1,7 @@
 """Scans, joins, summaries, models and streams on small fixtures."""
 
 import json
+import os
 
 import numpy as np
 import pytest
@@ -161,9 +162,44 @@ def test_ingestion_resumes(spark, tmp_path):
     add([("a", 3, "w"), ("c", 1, "v")])
     ingest.ingest(stream(), cache, progress)
     ingest.ingest(stream(), cache, progress)
-    got = {r.segment_id: r.text for r in ingest.state(spark.read.parquet(cache)).collect()}
+    got = {r.segment_id: r.text for r in ingest.state(spark, cache).collect()}
     assert got == {"a": "w", "b": "z", "c": "v"}
-    assert spark.read.parquet(cache).count() == 4
+    assert sum(spark.read.parquet(p).count() for p in ingest.parts(spark, cache)) == 4
+
+
+def test_reading_a_cache_costs_the_same_after_many_batches(spark, tmp_path):
+    cache = str(tmp_path / "cache")
+    want = {}
+    for number in range(100):  # as the sink of a stream writes them
+        rows = [(f"s{i}", number, f"{number}-{i}") for i in range(number % 7, 12)]
+        want |= {s: t for s, _, t in rows}
+        spark.createDataFrame(rows, "segment_id string, seq long, text string").coalesce(1).write.parquet(f"{cache}/batches/batch={number}")
+        if number % 10 == 9:
+            before = ingest.state(spark, cache)
+            ingest.merge(spark, cache)
+            assert {r.segment_id: r.text for r in before.collect()} == want  # a reader that has begun can end
+        assert len(ingest.parts(spark, cache)) <= 10
+    assert {r.segment_id: r.text for r in ingest.state(spark, cache).collect()} == want
+    assert len(os.listdir(f"{cache}/batches")) <= 2 * 10 and len(os.listdir(f"{cache}/bases")) == 2
+
+
+def test_replayed_batches_do_no_harm(spark, tmp_path):
+    source, cache, progress = (str(tmp_path / n) for n in ("in", "cache", "progress"))
+    schema = "segment_id string, seq long, text string"
+    for k in range(5):
+        spark.createDataFrame([("a", k, f"a{k}"), (f"b{k}", 0, "b")], schema).coalesce(1).write.mode("append").json(source)
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(source)
+    ingest.ingest(stream(), cache, progress, merge_after=2)
+    want = {"a": "a4"} | {f"b{k}": "b" for k in range(5)}
+    state = lambda: {r.segment_id: r.text for r in ingest.state(spark, cache).collect()}
+    assert state() == want and len(ingest.parts(spark, cache)) <= 2
+    # the last batches run again, as after a crash before their commits
+    for number in (3, 4):
+        os.remove(f"{progress}/commits/{number}")
+        if os.path.exists(f"{progress}/commits/.{number}.crc"):
+            os.remove(f"{progress}/commits/.{number}.crc")
+    ingest.ingest(stream(), cache, progress, merge_after=2)
+    assert state() == want
 
 
 def test_windowed_counts(spark, tmp_path):

@@ -21,6 +21,13 @@ _TENS = {
     "es": "veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa",
 }
 _HUNDREDS_ES = "ciento doscientos trescientos cuatrocientos quinientos seiscientos setecientos ochocientos novecientos"
+# Names of 10^6, 10^9, 10^12, ...; in Spanish of 10^6, 10^12, 10^18, ...
+_SCALES = {
+    "en": "million billion trillion quadrillion quintillion sextillion",
+    "de": "Million Milliarde Billion Billiarde Trillion Trilliarde",
+    "fr": "million milliard billion billiard trillion trilliard",
+    "es": "millón billón trillón",
+}
 _POINT = {"en": "point", "de": "Komma", "fr": "virgule", "es": "punto"}
 _MINUS = {"en": "minus", "de": "minus", "fr": "moins", "es": "menos"}
 
@@ -63,47 +70,50 @@ def _es_before_noun(words: str) -> str:
     return re.sub(r"veintiuno$", "veintiún", words) if words.endswith("veintiuno") else re.sub(r"uno$", "un", words)
 
 
+def _below_million(n: int, lang: str) -> str:
+    thousands, rest = n // 1000, n % 1000
+    if not thousands:
+        return _below_thousand(rest, lang)
+    head = _below_thousand(thousands, lang)
+    if lang == "de":
+        return ("ein" if thousands == 1 else head) + "tausend" + (_below_thousand(rest, lang) if rest else "")
+    if lang == "fr":
+        head = "mille" if thousands == 1 else f"{re.sub('(cent|vingt)s$', r'\1', head)} mille"
+    elif lang == "es":
+        head = "mil" if thousands == 1 else f"{_es_before_noun(head)} mil"
+    else:
+        head = f"{head} thousand"
+    joint = (" and " if rest < 100 else ", ") if lang == "en" else " "
+    return head + (joint + _below_thousand(rest, lang) if rest else "")
+
+
+def _scaled(n: int, scale: str, lang: str) -> str:
+    """n times a scale word, with what the language does to both."""
+    if lang == "de":
+        return f"eine {scale}" if n == 1 else f"{_below_thousand(n, lang)} {scale}" + ("n" if scale.endswith("e") else "en")
+    if lang == "fr":
+        return f"{_below_thousand(n, lang)} {scale}" + ("s" if n > 1 else "")
+    if lang == "es":
+        return f"un {scale}" if n == 1 else f"{_es_before_noun(_below_million(n, lang))} {scale.replace('ón', 'ones')}"
+    return f"{_below_thousand(n, lang)} {scale}"
+
+
 def cardinal(n: int, lang: str) -> str:
-    """A number below a milliard in words; beyond that, digit by digit."""
-    if n < 1000:
-        return _below_thousand(n, lang)
-    if n >= 10**9:
+    """A number below 10^24 in words; beyond that, digit by digit."""
+    if n >= 10**24:
         return " ".join(_UNITS[lang].split()[int(d)] for d in str(n))
-    millions, thousands, rest = n // 10**6, n // 1000 % 1000, n % 1000
-    parts = []
-    if millions:
-        head = _below_thousand(millions, lang)
-        if lang == "de":
-            parts.append("eine Million" if millions == 1 else f"{head} Millionen")
-        elif lang == "fr":
-            parts.append(f"{head} million" + ("s" if millions > 1 else ""))
-        elif lang == "es":
-            parts.append("un millón" if millions == 1 else f"{_es_before_noun(head)} millones")
-        else:
-            parts.append(f"{head} million")
-    tail = ""
-    if thousands:
-        head = _below_thousand(thousands, lang)
-        if lang == "de":
-            tail = ("ein" if thousands == 1 else head) + "tausend"
-        elif lang == "fr":
-            tail = "mille" if thousands == 1 else f"{re.sub('(cent|vingt)s$', r'\\1', head)} mille"
-        elif lang == "es":
-            tail = "mil" if thousands == 1 else f"{_es_before_noun(head)} mil"
-        else:
-            tail = f"{head} thousand"
-    if rest:
-        end = _below_thousand(rest, lang)
-        if lang == "de" and tail:
-            tail += end
-        elif lang == "en":
-            joint = " and " if rest < 100 else ", " if tail else ""
-            tail = (tail + joint + end) if tail else ("and " if rest < 100 and parts else "") + end
-        else:
-            tail = f"{tail} {end}".strip()
-    if tail:
-        parts.append(tail)
-    return (", " if lang == "en" and not tail.startswith("and ") else " ").join(parts)
+    step, parts, high = (10**6 if lang == "es" else 10**3), [], n // 10**6
+    for scale in _SCALES[lang].split():
+        high, group = divmod(high, step)
+        if group:
+            parts.insert(0, _scaled(group, scale, lang))
+    rest = n % 10**6
+    if rest or not parts:
+        parts.append(_below_million(rest, lang))
+    if lang != "en":
+        return " ".join(parts)
+    # what is below a hundred is joined by "and"
+    return ", ".join(parts) if rest >= 100 or not rest else " and ".join(x for x in (", ".join(parts[:-1]), parts[-1]) if x)
 
 
 def _value(raw: str) -> tuple[bool, str, str]:

@@ -13,7 +13,7 @@ from .operators import labels, metrics, reports, resample, summaries
 from .plans import bundles, folds, models, pool
 from .plans.oracle import LABELLED, MERGED, edits
 from .schema import ROLES
-from .sources import annotations, sinks
+from .sources import annotations, ordinals, sinks, versions
 from .store import shared_path, written
 from .streaming import ingest
 
@@ -192,6 +192,28 @@ def s8_missing_files(spark, sf_dir):
     return annotations.missing_files(records, _table(spark, sf_dir, "labels").select(path.alias("path"))).select("doc_id", "wav_path")
 
 
+@query(
+    """SELECT doc_id, index FROM (SELECT doc_id, n_chars, row_number() OVER () - 1 AS index FROM documents) WHERE n_chars >= 200
+    ORDER BY index + 50 * (('0x' || substr(md5('7:' || index), 1, 8))::BIGINT / 4294967296.0), index LIMIT 100"""
+)
+def s7_first_rows(spark, sf_dir):
+    """The first hundred documents of some length, as they come out of a seeded buffer of fifty over the order of the files."""
+    docs = ordinals.with_index(_table(spark, sf_dir, "documents")).where("n_chars >= 200")
+    return ordinals.first_rows(docs, 100, buffer=50, seed=7).select("doc_id", "index")
+
+
+@query(
+    """SELECT source AS corpus, lang, CASE WHEN n_chars % 2 = 0 THEN 'clean' ELSE 'noise' END AS condition, count(*) AS rows, true AS complete
+    FROM documents GROUP BY 1, 2, 3"""
+)
+def k11_pack_manifest(spark, sf_dir):
+    """Documents as a pool, packed by source, language and an imitated condition."""
+    condition = F.when(F.col("n_chars") % 2 == 0, "clean").otherwise("noise")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("corpus"), "lang", condition.alias("condition"))
+    held = versions.pack_pool(docs, shared_path(spark, "pack"))
+    return held.select("corpus", "lang", "condition", "rows", ((F.col("files") > 0) & (F.col("bytes") > 0)).alias("complete"))
+
+
 @query("SELECT doc_id, lang, NULL::VARCHAR AS url FROM documents UNION ALL SELECT page_id, NULL, url FROM pages")
 def s17_load_pool(spark, sf_dir):
     """Tables whose columns differ as one."""
@@ -799,7 +821,8 @@ def st_incremental_cache(spark, sf_dir):
     lines = stream.select(F.col("user_id").alias("segment_id"), F.struct("ts", "event_id").alias("seq"), "event_id", F.col("event_type").alias("system"))
     cache = shared_path(spark, "cache")
     ingest.ingest(lines, cache, shared_path(spark, "progress"))
-    return ingest.state(spark.read.parquet(cache)).select("segment_id", "event_id", "system")
+    ingest.merge(spark, cache)
+    return ingest.state(spark, cache).select("segment_id", "event_id", "system")
 
 
 @query(
