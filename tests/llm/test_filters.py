@@ -135,10 +135,7 @@ def judged(spark):
 
 
 def brute_grams(host, path):
-    out = set()
-    for mark, text in (("h:", f"^{host}$"), ("p:", f"^{path}$")):
-        out |= {mark + text[i : i + n] for n in (3, 4, 5) for i in range(len(text) - n + 1)}
-    return out
+    return {text[i : i + n] for text in (f"^{host}$", f"^{path}$") for n in (3, 4, 5) for i in range(len(text) - n + 1)}
 
 
 def test_url_features_are_the_grams_of_host_and_path(spark):
@@ -167,7 +164,7 @@ def test_url_model_on_hosts_and_paths_it_has_not_seen(spark):
         blocked += int(block.sum())
         hits += int((block & (judged.page_id == 1)).sum())
     print(f"held out: accuracy {right / table.count():.3f}, precision of block {hits / blocked:.3f}, recall {hits / table.where('label = 1').count():.3f}")
-    assert right / table.count() > 0.75 and hits / blocked > 0.8
+    assert right / table.count() > 0.88 and hits / blocked > 0.88
 
 
 def test_url_model_learns_from_paths(spark):
@@ -177,7 +174,7 @@ def test_url_model_learns_from_paths(spark):
     pages = spark.createDataFrame([(i, f"https://zq.example.org{p}") for i, p in enumerate(paths)], "page_id long, url string")
     got = [r.probability for r in url_filters.judge_urls(pages, model).orderBy("page_id").collect()]
     assert min(got[:3]) > max(got[3:])
-    pages = spark.createDataFrame([(i, "https://" + u) for i, u in enumerate(["kitchen.example.org/en/1", "maps.example.org/de/", "casino-palace.example.org/en/1", "cheap-pills-now.example.org/en/9"])], "page_id long, url string")
+    pages = spark.createDataFrame([(i, "https://" + u) for i, u in enumerate(["kitchen.example.org/en/1", "maps.example.org/de/", "online-casino-palace.example.org/en/1", "cheap-pills-now.example.org/en/9"])], "page_id long, url string")
     assert [r.verdict for r in url_filters.judge_urls(pages, model).orderBy("page_id").collect()] == ["allow"] * 2 + ["block"] * 2
 
 

@@ -14,6 +14,8 @@ from .common import UPPER
 
 FEATURES = 1 << 16
 LENGTHS = (3, 4, 5)
+#: Share of pages that are to be blocked, as expected beforehand: the labelled table has about as many of either, the web has not.
+BLOCK_SHARE = 1 / 3
 
 #: Fixed values: (verdict, host/path) of rules.
 RULES = [
@@ -44,27 +46,34 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _grams(text: Column, mark: str) -> Column:
+def _grams(text: Column) -> Column:
+    """Runs of LENGTHS characters of a text between marks of its begin and end."""
     padded = F.concat(F.lit("^"), text, F.lit("$"))
-    parts = [
-        F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i, n=n: F.concat(F.lit(mark), F.substring(padded, i, F.lit(n))))).otherwise(
-            F.array().cast("array<string>")
-        )
-        for n in LENGTHS
-    ]
-    return F.concat(*parts)
+
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(padded) - (n - 1))
+        return F.when(F.length(padded) >= n, F.transform(starts, lambda i: F.substring(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*map(runs, LENGTHS))
 
 
 def _with_features(urls: DataFrame) -> DataFrame:
-    grams = F.array_union(_grams(F.col("host"), "h:"), _grams(F.col("path"), "p:"))
+    """What stands in a host is the same feature where it stands in a path, so each learns from the other."""
     hashing = HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True)
-    return hashing.transform(urls.withColumn("grams", grams))
+    return hashing.transform(urls.withColumn("grams", F.array_union(_grams(F.col("host")), _grams(F.col("path")))))
 
 
-def train(labelled: DataFrame) -> LogisticRegressionModel:
-    """Fit on a table of url and label (1: block); its size is that of a hand-made list."""
-    urls = labelled.select("label", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    return LogisticRegression(maxIter=60, regParam=0.003, featuresCol="features", labelCol="label").fit(_with_features(urls))
+def train(labelled: DataFrame, block_share: float = BLOCK_SHARE) -> LogisticRegressionModel:
+    """Fit on a table of url and label (1: block); its size is that of a hand-made list. Both labels must occur.
+
+    Rows weigh as if block_share of them were to be blocked, so that a url that tells nothing is allowed.
+    """
+    n, n_block = labelled.agg(F.count("*"), F.sum("label")).first()
+    weight = F.when(F.col("label") == 1, block_share * n / n_block).otherwise((1 - block_share) * n / (n - n_block))
+    urls = labelled.select("label", weight.alias("weight"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    # n-grams are not scaled by their spread: that would make the rarest of a small table the heaviest
+    fit = LogisticRegression(maxIter=60, regParam=0.003, standardization=False, featuresCol="features", labelCol="label", weightCol="weight")
+    return fit.fit(_with_features(urls))
 
 
 def _rule(rules: list[tuple[str, str]]) -> Column:
