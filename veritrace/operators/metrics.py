@@ -75,6 +75,14 @@ def rank_agreement(rows: DataFrame, y: str, pred: str) -> DataFrame:
     )
 
 
+def extended_metrics(rows: DataFrame, y: str, pred: str, floor: float = 1e-9) -> DataFrame:
+    """Regression metrics of all rows, with the relative error over all truths that are not zero (beyond floor), their number, and rank agreement."""
+    base = regression_metrics(rows, y, pred).drop("mape", "mape_excluded")
+    some = F.abs(F.col(y)) > floor
+    relative = rows.agg(F.avg(F.when(some, F.abs((F.col(pred) - F.col(y)) / F.nullif(F.col(y), F.lit(0.0))))).alias("mape"), F.count_if(some).alias("mape_n"))
+    return same_keys(same_keys(base, relative), rank_agreement(rows, y, pred))
+
+
 def binary_metrics(rows: DataFrame, y: str, pred: str, threshold: float, *keys: str) -> DataFrame:
     """Screening of rows with y > threshold by pred > threshold; areas are null where one class is missing."""
     t = F.col(y) > threshold

@@ -33,8 +33,9 @@ TREES = ("hgb", "xgb", "tuned")
 PROTOCOLS = {"group": None, "lodo": "corpus", "lolo": "lang", "loco": "condition"}
 
 
-def clipped(pred: Column) -> Column:
-    return F.least(F.greatest(pred, F.lit(CLIP[0])), F.lit(CLIP[1]))
+def clipped(pred: Column, upper: float | None = CLIP[1]) -> Column:
+    low = F.greatest(pred, F.lit(CLIP[0]))
+    return low if upper is None else F.least(low, F.lit(upper))
 
 
 def design(rows: DataFrame, blocks: tuple[str, ...] = ("proxy", "text"), feature_set: str = "transferable", roles: tuple[str, ...] = PROXIES) -> tuple[DataFrame, list[str]]:
@@ -169,22 +170,22 @@ def linear_models(rows: DataFrame, names: list[str], kinds: list[str]) -> dict[t
     return out
 
 
-def score_linear(rows: DataFrame, models: dict[tuple[str, str], Linear]) -> DataFrame:
+def score_linear(rows: DataFrame, models: dict[tuple[str, str], Linear], upper: float | None = CLIP[1]) -> DataFrame:
     """Out-of-fold predictions in long form: a row for each segment and model."""
     table = rows.sparkSession.createDataFrame([(m, f, x.coef, x.intercept) for (m, f), x in models.items()], "model string, fold string, coef array<double>, intercept double")
     both = rows.join(F.broadcast(table), "fold")  # a row for each fold and model
     pred = F.aggregate(F.zip_with("x", "coef", lambda a, b: a * b), F.col("intercept"), lambda acc, v: acc + v)
-    return both.withColumn("pred", clipped(pred)).drop("coef", "intercept")
+    return both.withColumn("pred", clipped(pred, upper)).drop("coef", "intercept")
 
 
-def score_trees(rows: DataFrame, names: list[str], folds: list[str], seed: int = 0, robust: bool = False, steps: int = 50) -> DataFrame:
+def score_trees(rows: DataFrame, names: list[str], folds: list[str], seed: int = 0, robust: bool = False, steps: int = 50, upper: float | None = CLIP[1]) -> DataFrame:
     """Out-of-fold predictions of boosted trees; robust: absolute loss on samples of rows and features."""
     forests = trees.fit_folds(rows, len(names), folds, seed=seed, robust=robust, steps=steps)
     both = rows.join(F.broadcast(trees.as_table(rows, forests)), "fold")
-    return both.withColumns({"pred": clipped(trees.score(F.col("trees"), F.col("x"))), "model": F.lit("xgb" if robust else "hgb")}).drop("trees")
+    return both.withColumns({"pred": clipped(trees.score(F.col("trees"), F.col("x")), upper), "model": F.lit("xgb" if robust else "hgb")}).drop("trees")
 
 
-def tuned_trees(rows: DataFrame, names: list[str], folds: list[str], grid: tuple[dict, ...] = trees.GRID, seed: int = 0) -> DataFrame:
+def tuned_trees(rows: DataFrame, names: list[str], folds: list[str], grid: tuple[dict, ...] = trees.GRID, seed: int = 0, upper: float | None = CLIP[1]) -> DataFrame:
     """Out-of-fold predictions of boosted trees whose settings are chosen for each fold by its inner folds; adds `setting` as JSON."""
     chosen = trees.tuned(rows, len(names), folds, grid, seed=seed)
     forests = {}
@@ -193,22 +194,41 @@ def tuned_trees(rows: DataFrame, names: list[str], folds: list[str], grid: tuple
         forests |= trees.fit_folds(rows, len(names), own, seed=seed, **json.loads(setting))
     settings = rows.sparkSession.createDataFrame([(f, json.dumps(s, sort_keys=True)) for f, s in chosen.items()], "fold string, setting string")
     both = rows.join(F.broadcast(trees.as_table(rows, forests)), "fold").join(F.broadcast(settings), "fold")
-    return both.withColumns({"pred": clipped(trees.score(F.col("trees"), F.col("x"))), "model": F.lit("tuned")}).drop("trees")
-
-
-def run_protocol(rows: DataFrame, protocol: str, models: tuple[str, ...] = ("mean", "pwer", "ridge", "lasso"), blocks: tuple[str, ...] = ("proxy", "text"), feature_set: str = "transferable", n_splits: int = 5, roles: tuple[str, ...] = PROXIES) -> DataFrame:
-    """Out-of-fold predictions of several models under a protocol."""
+    return both.withColumns({"pred": clipped(trees.score(F.col("trees"), F.col("x")), upper), "model": F.lit("tuned")}).drop("trees")
+
+
+def run_protocol(
+    rows: DataFrame,
+    protocol: str,
+    models: tuple[str, ...] = ("mean", "pwer", "ridge", "lasso"),
+    blocks: tuple[str, ...] = ("proxy", "text"),
+    feature_set: str = "transferable",
+    n_splits: int = 5,
+    roles: tuple[str, ...] = PROXIES,
+    target: str = "wer",
+) -> DataFrame:
+    """Out-of-fold predictions of several models under a protocol.
+
+    target: wer, or errors: then the number of errors is what is learnt, and the rate is that by the hypothesis's words; `pred_errors` is added.
+    """
     table, names = design(rows, blocks, feature_set, roles)
-    return run_protocol_on(written(with_folds(table, protocol, n_splits), "design"), names, models)
+    if target == "wer":
+        return run_protocol_on(written(with_folds(table, protocol, n_splits), "design"), names, models)
+    if target != "errors":
+        raise ValueError(f"no target {target}")
+    table = table.withColumn("wer", F.col("y")).withColumn("y", F.col("label_errors").cast("double"))
+    out = run_protocol_on(written(with_folds(table, protocol, n_splits), "design"), names, models, upper=None)
+    rate = F.col("pred_errors") / F.greatest("n_hyp_words", F.lit(1))
+    return out.withColumnRenamed("pred", "pred_errors").withColumns({"pred": clipped(rate), "y": F.col("wer")}).drop("wer")
 
 
-def run_protocol_on(table: DataFrame, names: list[str], models: tuple[str, ...]) -> DataFrame:
+def run_protocol_on(table: DataFrame, names: list[str], models: tuple[str, ...], upper: float | None = CLIP[1]) -> DataFrame:
     """The same on a design table with folds."""
-    out = score_linear(table, linear_models(table, names, [m for m in models if m not in TREES]))
+    out = score_linear(table, linear_models(table, names, [m for m in models if m not in TREES]), upper)
     for kind in TREES:
         if kind in models:
             folds = sorted(r.fold for r in table.select("fold").distinct().collect())
-            scored = tuned_trees(table, names, folds).drop("setting") if kind == "tuned" else score_trees(table, names, folds, robust=kind == "xgb")
+            scored = tuned_trees(table, names, folds, upper=upper).drop("setting") if kind == "tuned" else score_trees(table, names, folds, robust=kind == "xgb", upper=upper)
             out = out.unionByName(scored, allowMissingColumns=True)
     return out
 

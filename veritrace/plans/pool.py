@@ -9,6 +9,7 @@ from ..functions.ids import tag_of
 from ..functions.text import normalize_text, words
 from ..operators.labels import add_labels, merge_transcriptions
 from ..sources.annotations import load_results
+from ..store import written
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,4 +60,5 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return add_labels(merged(spark, sf_dir), split=False)
+    """The labelled table, written anew in each call: its alignments are then made once, however often a plan reads it."""
+    return written(add_labels(merged(spark, sf_dir), split=False), "labelled")

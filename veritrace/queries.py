@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -468,6 +470,21 @@ def m3_m7_rank_agreement(spark, sf_dir):
     return metrics.rank_agreement(_predicted(spark, sf_dir), "label_wer", "pred")
 
 
+@query(
+    "SELECT n, mae, rmse, r2, bias, pearson, spearman, mape, mape_n, c_index, kendall_tau FROM (SELECT * EXCLUDE (mape, mape_excluded) FROM ("
+    + PREDICTED
+    + ", everything AS (SELECT *, 1 AS one FROM predicted)"
+    + _regression_sql("everything", "label_wer", "pred", "one")
+    + ")), ("
+    + PREDICTED
+    + "SELECT avg(CASE WHEN label_wer > 1e-9 THEN abs((pred - label_wer) / label_wer) END) AS mape, count(*) FILTER (label_wer > 1e-9) AS mape_n FROM predicted), ("
+    + ORACLE_SQL["m3_m7_rank_agreement"]
+    + ")"
+)
+def m5_extended_metrics(spark, sf_dir):
+    return metrics.extended_metrics(_predicted(spark, sf_dir), "label_wer", "pred")
+
+
 _BINARY = """, z AS (SELECT {k} AS k, ({y} > {t})::INTEGER AS t, ({p} > {t})::INTEGER AS q, {p} AS s FROM {src}),
     r AS (SELECT *, rank() OVER (PARTITION BY k ORDER BY s) + (count(*) OVER (PARTITION BY k, s) - 1) / 2.0 AS rk FROM z),
     st AS (SELECT k, s, sum(t) AS pos, count(*) AS n FROM z GROUP BY 1, 2),
@@ -729,7 +746,7 @@ _GROUPS = """, groups AS (SELECT group_id, count(*) AS n, row_number() OVER (ORD
         SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS loads, NULL::VARCHAR AS group_id, 0::BIGINT AS n, 0 AS fold
         UNION ALL SELECT g.i, list_transform(loads, lambda x, j: CASE WHEN j = list_position(loads, list_min(loads)) THEN x + g.n ELSE x END), g.group_id, g.n, list_position(loads, list_min(loads)) - 1
         FROM deal JOIN groups g ON g.i = deal.i + 1),
-    folds AS (SELECT group_id, n, fold::INTEGER AS fold FROM deal WHERE group_id IS NOT NULL)"""
+    folds AS MATERIALIZED (SELECT group_id, n, fold::INTEGER AS fold FROM deal WHERE group_id IS NOT NULL)"""
 
 
 @query(LABELLED.replace("WITH", "WITH RECURSIVE", 1) + _GROUPS + " SELECT group_id, n, fold FROM folds")
@@ -741,7 +758,7 @@ def v1_grouped_folds(spark, sf_dir):
 @query(
     LABELLED.replace("WITH", "WITH RECURSIVE", 1)
     + _GROUPS
-    + f""", rates AS (SELECT *, ({_RATE.replace('{p}', 'proxy_a')} + {_RATE.replace('{p}', 'proxy_b')}) / 2 AS pwer FROM labelled JOIN folds USING (group_id) WHERE proxy_b IS NOT NULL),
+    + f""", rates AS MATERIALIZED (SELECT *, ({_RATE.replace('{p}', 'proxy_a')} + {_RATE.replace('{p}', 'proxy_b')}) / 2 AS pwer FROM labelled JOIN folds USING (group_id) WHERE proxy_b IS NOT NULL),
     out_of_fold AS (
         SELECT 'pwer' AS model, label_wer AS y, least(greatest(pwer, 0.0), 2.0) AS pred FROM rates UNION ALL
         SELECT 'mean', label_wer, least(greatest((sum(label_wer) OVER () - sum(label_wer) OVER (PARTITION BY fold)) / (count(*) OVER () - count(*) OVER (PARTITION BY fold)), 0.0), 2.0) FROM rates)"""
@@ -752,6 +769,39 @@ def v4_protocol_group_baselines(spark, sf_dir):
     return models.summarize(models.run_protocol(_complete(spark, sf_dir), "group", ("mean", "pwer")))
 
 
+@query(
+    LABELLED
+    + """, done AS (SELECT * FROM labelled WHERE proxy_b IS NOT NULL), guessed AS (
+        SELECT segment_id, (sum(label_errors) OVER () - sum(label_errors) OVER (PARTITION BY corpus))::DOUBLE / (count(*) OVER () - count(*) OVER (PARTITION BY corpus)) AS e, label_wer, len(target) AS n FROM done)
+    SELECT segment_id, e AS pred_errors, least(e / greatest(n, 1), 2.0) AS pred, label_wer AS y FROM guessed"""
+)
+def v3_errors_target(spark, sf_dir):
+    """Errors in place of rates as what is learnt: the mean of the other corpora."""
+    return models.run_protocol(_complete(spark, sf_dir), "lodo", ("mean",), target="errors").select("segment_id", "pred_errors", "pred", "y")
+
+
+_GIVEN = {
+    "feature_names": ["pwer_mean", "words_per_second"],
+    "scaler_mean": [0.2, 2.0],
+    "scaler_scale": [0.1, 0.5],
+    "coef": [0.08, -0.01],
+    "intercept": 0.25,
+    "clip": [0.0, 2.0],
+    "blocks": ["proxy", "text"],
+}
+
+
+@query(
+    LABELLED
+    + f", rates AS (SELECT *, ({_RATE.replace('{p}', 'proxy_a')} + {_RATE.replace('{p}', 'proxy_b')}) / 2 AS pwer FROM labelled WHERE proxy_b IS NOT NULL), "
+    + """scored AS (SELECT *, least(greatest(0.25 + (pwer - 0.2) / 0.1 * 0.08 - (len(target) / greatest(duration, 1e-6) - 2.0) / 0.5 * 0.01, 0.0), 2.0) AS pred FROM rates)
+    SELECT sample_id, count(*) AS n_segments, sum(duration) AS duration, sum(pred * duration) / sum(duration) AS wer_estimate FROM scored GROUP BY 1 HAVING sum(duration) > 0"""
+)
+def v17_apply_given_export(spark, sf_dir):
+    """A linear export with given numbers, applied to segments and summed up by calls."""
+    return summaries.call_estimates(models.apply_export(json.dumps(_GIVEN), _complete(spark, sf_dir)))
+
+
 @query()
 def v21_evaluate_pool(spark, sf_dir):
     return bundles.evaluate_pool(_complete(spark, sf_dir))
