@@ -35,7 +35,7 @@ def test_bundle_round_trip_and_prediction(spark, complete):
     mean = bundles.predict(bundles.fit_bundle(complete, "mean"), complete)
     assert mean.select("pred").distinct().count() == 1
     with pytest.raises(ValueError, match="no linear model"):
-        bundles.fit_bundle(complete, "hgb")
+        bundles.fit_bundle(complete, "other")
 
 
 def test_evaluation_at_both_levels(complete):

@@ -52,13 +52,8 @@ def loads_after(loads: np.ndarray, size: int, n: int) -> np.ndarray:
     return loads + taken * size
 
 
-def deal_groups(rows: DataFrame, group: str, n_folds: int, *within: str) -> DataFrame:
-    """(within, group, n, part): the fold, from 0, of each group, within each value of `within` if given.
-
-    Groups go by falling size, those of a size by their key; each to the fold with the fewest rows so far, the first of several. With as few groups as
-    folds every group is a fold. A null key is a group.
-    """
-    groups = written(rows.groupBy(*within, group).agg(F.count("*").alias("n")), "groups")
+def deal_counts(groups: DataFrame, group: str, n_folds: int, *within: str) -> DataFrame:
+    """Adds `part`, the fold from 0, to a written table (within, group, n) that has each group once."""
     sizes = groups.groupBy(*within, "n").agg(F.count("*").alias("m")).collect()
     runs: dict[tuple, dict[int, np.ndarray]] = {}
     for key in sorted({tuple(r[c] for c in within) for r in sizes}, key=str):
@@ -66,7 +61,7 @@ def deal_groups(rows: DataFrame, group: str, n_folds: int, *within: str) -> Data
         for n, m in sorted(((r.n, r.m) for r in sizes if tuple(r[c] for c in within) == key), reverse=True):
             runs.setdefault(key, {})[n] = loads
             loads = loads_after(loads, n, m)
-    shared = rows.sparkSession.sparkContext.broadcast(runs)
+    shared = groups.sparkSession.sparkContext.broadcast(runs)
     placed = running_sums(groups.withColumn("one", F.lit(1)), group, ["one"], *within, "n")
     names = [*within, group, "n"]
 
@@ -86,7 +81,16 @@ def deal_groups(rows: DataFrame, group: str, n_folds: int, *within: str) -> Data
     return placed.select(*names, F.col("before_one").cast("long").alias("at")).mapInArrow(run, f"{schema}, part int")
 
 
-def with_part(rows: DataFrame, name: str, group: str, n_folds: int, *within: str) -> DataFrame:
-    """Adds the fold of each row's group under a name."""
-    dealt = written(deal_groups(rows, group, n_folds, *within).select(*within, group, F.col("part").alias(name)), "folds")
-    return same_keys(rows, F.broadcast(dealt) if dealt.count() <= BROADCAST_GROUPS else dealt, *within, group)
+def deal_groups(rows: DataFrame, group: str, n_folds: int, *within: str) -> DataFrame:
+    """(within, group, n, part): the fold, from 0, of each group, within each value of `within` if given.
+
+    Groups go by falling size, those of a size by their key; each to the fold with the fewest rows so far, the first of several. With as few groups as
+    folds every group is a fold. A null key is a group.
+    """
+    return deal_counts(written(rows.groupBy(*within, group).agg(F.count("*").alias("n")), "groups"), group, n_folds, *within)
+
+
+def with_parts(rows: DataFrame, dealt: DataFrame, group: str) -> DataFrame:
+    """Adds what a table of groups says to their rows."""
+    dealt = written(dealt, "folds")
+    return same_keys(rows, F.broadcast(dealt) if dealt.count() <= BROADCAST_GROUPS else dealt, group)

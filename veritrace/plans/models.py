@@ -21,7 +21,7 @@ from ..operators.ranks import quantiles, running_sums
 from ..schema import PROXIES
 from ..store import written
 from . import trees
-from .folds import with_part
+from .folds import deal_counts, deal_groups, with_parts
 
 #: Penalties that are tried, bounds of an estimate.
 RIDGE_ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0)
@@ -53,9 +53,11 @@ def with_folds(rows: DataFrame, protocol: str = "group", n_splits: int = 5, grou
     folds for penalties are dealt the same way, within each fold where folds are made of groups.
     """
     if key := PROTOCOLS[protocol]:
-        return with_part(rows.withColumn("fold", F.col(key)), "inner", group, INNER)
-    dealt = written(with_part(rows, "fold", group, n_splits).withColumn("fold", F.col("fold").cast("string")), "dealt")
-    return with_part(dealt, "inner", group, INNER, "fold")
+        inner = deal_groups(rows, group, INNER).select(group, F.col("part").alias("inner"))
+        return with_parts(rows.withColumn("fold", F.col(key)), inner, group)
+    dealt = written(deal_groups(rows, group, n_splits).withColumnRenamed("part", "fold"), "dealt")
+    inner = deal_counts(dealt, group, INNER, "fold").select(group, F.col("fold").cast("string").alias("fold"), F.col("part").alias("inner"))
+    return with_parts(rows, inner, group)
 
 
 def grams(rows: DataFrame, width: int) -> dict[tuple[str, int], np.ndarray]:
