@@ -4,6 +4,7 @@ import json
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,7 +174,9 @@ def test_reading_a_cache_costs_the_same_after_many_batches(spark, tmp_path):
     for number in range(100):  # as the sink of a stream writes them
         rows = [(f"s{i}", number, f"{number}-{i}") for i in range(number % 7, 12)]
         want |= {s: t for s, _, t in rows}
-        spark.createDataFrame(rows, "segment_id string, seq long, text string").coalesce(1).write.parquet(f"{cache}/batches/batch={number}")
+        os.makedirs(f"{cache}/batches/batch={number}")
+        pd.DataFrame(rows, columns=["segment_id", "seq", "text"]).to_parquet(f"{cache}/batches/batch={number}/part-0.parquet", index=False)
+        open(f"{cache}/batches/batch={number}/_SUCCESS", "w").close()
         if number % 10 == 9:
             before = ingest.state(spark, cache)
             ingest.merge(spark, cache)

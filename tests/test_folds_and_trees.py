@@ -116,7 +116,9 @@ def test_settings_are_those_of_a_plain_search(spark):
     assert scored.count() == 240 and scored.where("pred is null").count() == 0
 
 
-def test_bundle_of_trees(spark):
+def test_bundle_of_trees(spark, monkeypatch):
+    made = trees.regressor
+    monkeypatch.setattr(trees, "regressor", lambda *a, **kw: made(*a, **kw).setMaxIter(6))  # a few trees do
     rows = pool.labelled(spark, SF).where("hyp_proxy_b is not null").cache()
     for model in ("hgb", "xgb"):
         bundle = bundles.fit_bundle(rows, model)

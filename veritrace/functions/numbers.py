@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+# Fixed value: what is taken for a number.
 _NUMBER = re.compile(r"[-+]?\d[\d.,]*")
 
 # Number words.

@@ -22,7 +22,10 @@ from .trees import Forest, forest_of
 
 @dataclass
 class Bundle:
-    """A linear model or boosted trees, the features they need and what they were fitted on; JSON holds all of it."""
+    """A linear model or boosted trees, the features they need and what they were fitted on; JSON holds all of it.
+
+    Fixed values: the fields' names.
+    """
 
     model: str
     feature_names: list[str]
