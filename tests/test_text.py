@@ -148,3 +148,41 @@ def test_null_transcripts_have_no_counts(spark):
 
 def test_strip_accents_keeps_ascii_in_the_jvm(spark):
     assert one(spark, strip_accents(F.col("t"), F.col("l")), t="ÀÉ ß ñ", l="fr") == "AE ss n"
+
+
+def test_alignments_of_a_batch_take_bounded_memory():
+    """As many rows as a batch may have are held a part at a time; results are those of each row alone."""
+    import tracemalloc
+
+    import pandas as pd
+
+    from veritrace.functions import align
+
+    rng = random.Random(5)
+    a = pd.Series(["".join(rng.choices("abcdefgh ", k=400)) for _ in range(2000)] + [None, ""])
+    b = pd.Series([x and "".join(c for c in x if rng.random() > 0.2) for x in a])
+    few = slice(0, len(a), 97)
+    for run, parts in ((align._distances, align._code_points), (align._distances, align._words), (lambda x, y, _: align._align_udf.func(x, y), None)):
+        tracemalloc.start()
+        got = run(a, b, parts)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 80 << 20, peak
+        alone = pd.concat([run(a[i : i + 1].reset_index(drop=True), b[i : i + 1].reset_index(drop=True), parts) for i in range(len(a))[few]], ignore_index=True)
+        assert got[few].reset_index(drop=True).equals(alone)
+        assert got.iloc[2000:2001].isna().all(axis=None)
+
+
+def test_batches_to_python_are_small(spark):
+    """Where features are made, Python gets BATCH_ROWS rows at once at most."""
+    from veritrace.plans import pool
+    from veritrace.store import BATCH_ROWS
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        pool.merged(spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get(key)) == BATCH_ROWS
+    finally:
+        spark.conf.set(key, before)

@@ -17,6 +17,8 @@ _ERROR, _SUB, _DEL = 1 << 42, (1 << 42) + (1 << 21), (1 << 42) + 1
 _MASK = (1 << 21) - 1
 #: Cells of a row of the alignments that advance together.
 _CELLS = 1 << 16
+#: Characters of a batch that are taken apart at once, about; each becomes an integer of 8 bytes.
+CHUNK_CHARS = 1 << 19
 
 COUNTS = T.StructType([T.StructField(c, T.IntegerType()) for c in ("errors", "s", "d", "i", "n_ref", "n_hyp")] + [T.StructField("wer", T.DoubleType())])
 
@@ -74,6 +76,19 @@ def _code_points(texts: list[str]) -> Iterator[np.ndarray]:
         yield np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
 
 
+def _chunks(a: pd.Series, b: pd.Series) -> Iterator[slice]:
+    """Runs of rows of CHUNK_CHARS or a row each, however many rows a batch has."""
+    size = (a.str.len().fillna(0) + b.str.len().fillna(0)).to_numpy(dtype=np.int64) if len(a) else np.empty(0, np.int64)
+    cuts = [0]
+    total = 0
+    for i, n in enumerate(size.tolist()):
+        if total and total + n > CHUNK_CHARS:
+            cuts.append(i)
+            total = 0
+        total += n
+    return (slice(x, y) for x, y in zip(cuts, [*cuts[1:], len(size)], strict=True))
+
+
 def _known(a: pd.Series, b: pd.Series, parts: Callable[[list[str]], Iterator[np.ndarray]]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Where neither side is null, and the pairs there."""
     known = (a.notna() & b.notna()).to_numpy()
@@ -88,20 +103,23 @@ def _words(texts: list[str]) -> Iterator[np.ndarray]:
 
 @F.pandas_udf(COUNTS)
 def _align_udf(refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
-    known, pairs = _known(refs, hyps, _words)
-    counts = alignments(pairs)
-    n_ref, n_hyp = (np.array([len(p[i]) for p in pairs], dtype=np.int64) for i in (0, 1))
-    out = {c: pd.array([None] * len(known), dtype="Int32") for c in COUNTS.names[:-1]} | {"wer": pd.array([None] * len(known), dtype="Float64")}
-    for c, values in zip(COUNTS.names, [*counts.T, n_ref, n_hyp], strict=False):
-        out[c][known] = values
-    out["wer"][known] = np.where(n_ref > 0, counts[:, 0] / np.maximum(n_ref, 1), n_hyp > 0)
+    out = {c: pd.array([None] * len(refs), dtype="Int32") for c in COUNTS.names[:-1]} | {"wer": pd.array([None] * len(refs), dtype="Float64")}
+    for rows in _chunks(refs, hyps):
+        known, pairs = _known(refs.iloc[rows], hyps.iloc[rows], _words)
+        at = np.arange(len(refs))[rows][known]
+        counts = alignments(pairs)
+        n_ref, n_hyp = (np.array([len(p[i]) for p in pairs], dtype=np.int64) for i in (0, 1))
+        for c, values in zip(COUNTS.names, [*counts.T, n_ref, n_hyp], strict=False):
+            out[c][at] = values
+        out["wer"][at] = np.where(n_ref > 0, counts[:, 0] / np.maximum(n_ref, 1), n_hyp > 0)
     return pd.DataFrame(out)
 
 
 def _distances(a: pd.Series, b: pd.Series, parts: Callable[[list[str]], Iterator[np.ndarray]]) -> pd.Series:
-    known, pairs = _known(a, b, parts)
-    out = pd.array([None] * len(known), dtype="Int32")
-    out[known] = edit_distances(pairs)
+    out = pd.array([None] * len(a), dtype="Int32")
+    for rows in _chunks(a, b):
+        known, pairs = _known(a.iloc[rows], b.iloc[rows], parts)
+        out[np.arange(len(a))[rows][known]] = edit_distances(pairs)
     return pd.Series(out)
 
 

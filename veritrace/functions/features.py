@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import PROXIES
+from ..store import small_batches
 from .align import char_error_rate, edit_counts
 from .text import words
 
@@ -152,6 +153,7 @@ def build_features(rows: DataFrame, blocks: tuple[str, ...] = ("proxy", "text"),
 
     names: only these (of the blocks' features); what none of them needs is not computed.
     """
+    small_batches(rows.sparkSession)
     every = feature_names(blocks, roles)
     names = every if names is None else [n for n in every if n in set(names)]
     own = {c: F.col(c) for c in every if c in rows.columns}  # columns of the row that a feature is named like

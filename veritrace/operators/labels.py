@@ -9,6 +9,7 @@ from ..functions.align import edit_counts, rate, word_errors
 from ..functions.ids import call_dir
 from ..functions.text import normalize_text
 from ..schema import ROLES
+from ..store import small_batches
 
 
 def merge_transcriptions(records: DataFrame, results: DataFrame, roles: tuple[str, ...] = ROLES, accents: bool = False, numbers: bool = True) -> DataFrame:
@@ -16,6 +17,7 @@ def merge_transcriptions(records: DataFrame, results: DataFrame, roles: tuple[st
 
     A null hypothesis was not transcribed; '' was, and nothing was heard.
     """
+    small_batches(records.sparkSession)
     wide = results.groupBy("segment_id").pivot("role", list(roles)).agg(F.first("text"))
     wide = wide.select("segment_id", *(F.col(r).alias(f"hyp_{r}") for r in roles))
     rows = records.join(wide, "segment_id", "left")
@@ -41,6 +43,7 @@ def add_labels(rows: DataFrame, role: str = "target", split: bool = True) -> Dat
 
 def with_labels(rows: DataFrame, role: str = "target", split: bool = False) -> DataFrame:
     """The same for all rows: those that were not transcribed have null labels."""
+    small_batches(rows.sparkSession)
     hyp, ref = F.col(f"hyp_{role}_norm"), F.col("reference_norm")
     if split:
         rows = rows.withColumn("_c", edit_counts(ref, hyp))

@@ -9,11 +9,12 @@ from ..functions.ids import tag_of
 from ..functions.text import normalize_text, words
 from ..operators.labels import add_labels, merge_transcriptions
 from ..sources.annotations import load_results
-from ..store import written
+from ..store import small_batches, written
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A segment for each turn; corpus, language and condition follow from the call's number."""
+    small_batches(spark)
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("conv_id") % len(values) + 1).cast("int"))
     rows = turns.select(

@@ -16,7 +16,7 @@ from .plans import bundles, folds, models, pool
 from .plans.oracle import LABELLED, MERGED, edits
 from .schema import ROLES
 from .sources import annotations, ordinals, sinks, versions
-from .store import shared_path, written
+from .store import shared_path, small_batches, written
 from .streaming import ingest
 
 QUERIES = {}
@@ -36,6 +36,7 @@ def query(sql: str | None = None):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
