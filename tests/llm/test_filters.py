@@ -88,6 +88,22 @@ def test_toxicity_fits_on_a_bounded_number_of_bytes(spark, monkeypatch):
     assert got == {i: i % 2 for i in range(121)}
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """A word that only texts beyond the first `rows` have, and a fit on every row: parts go on from where the first texts end."""
+    rng = random.Random(9)
+    place = spark.range(400).select("id", F.xxhash64("id", F.lit(42)).alias("h")).orderBy("h", "id").collect()
+    beyond = {r.id for r in place[40:]}
+    seldom = set(sorted(beyond)[:60])
+    words = {i: "you nitwit" if i % 3 == 0 and i not in seldom else "damned scoundrel" if i in seldom else "dear friend" for i in range(400)}
+    docs = spark.createDataFrame([tables.row(i, f"{tables.text(rng, 30)} {w}") for i, w in words.items()], tables.DOCS)
+    labels = spark.createDataFrame([(i, int(w != "dear friend")) for i, w in words.items()], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, rows=40)
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
+    assert got == {i: int(w != "dear friend") for i, w in words.items()}
+    again = toxicity.train(docs, labels, rows=40)
+    assert again.bias == model.bias and again.weights.tolist() == model.weights.tolist()
+
+
 def test_toxicity_without_labels_or_with_one_kind(spark):
     docs = tables.awkward(spark)
     for labels in ([], [(1, 0), (8, 0)]):
