@@ -47,6 +47,14 @@ def test_evaluation_at_both_levels(complete):
     assert all(r.recall == 1 for r in got if r.kind == "classification" and r.tp)
 
 
+def test_bundle_evaluation_makes_features_once(complete, monkeypatch):
+    """Levels and reports read estimates from a written table, not through the features."""
+    seen = []
+    monkeypatch.setattr(bundles, "evaluate_predictions", lambda rows, **kw: seen.append(rows))
+    bundles.evaluate_bundle(bundles.fit_bundle(complete, "mean"), complete)
+    assert seen[0].count() == complete.count() and all("veritrace-predicted" in f for f in seen[0].inputFiles()) and seen[0].inputFiles()
+
+
 def test_pool_evaluation_makes_features_once(complete, monkeypatch):
     calls = []
     made = models.build_features

@@ -109,8 +109,8 @@ def evaluate_predictions(rows: DataFrame, thresholds: tuple[float, ...] = (0.5,)
 
 
 def evaluate_bundle(bundle: Bundle, rows: DataFrame, **kw) -> DataFrame:
-    """`evaluate_predictions` of a bundle on labelled rows."""
-    return evaluate_predictions(predict(bundle, rows), **kw)
+    """`evaluate_predictions` of a bundle on labelled rows. Its estimates are written: features are made once, not for each level and report."""
+    return evaluate_predictions(written(predict(bundle, rows), "predicted"), **kw)
 
 
 def evaluate_pool(rows: DataFrame, protocols: tuple[str, ...] = tuple(PROTOCOLS), models: tuple[str, ...] = ("mean", "pwer", "ridge", "lasso"), feature_set: str = "transferable") -> DataFrame:
