@@ -186,3 +186,14 @@ def test_batches_to_python_are_small(spark):
         assert int(spark.conf.get(key)) == BATCH_ROWS
     finally:
         spark.conf.set(key, before)
+
+
+def test_texts_of_a_row_share_a_worker(spark):
+    """What a task sends to Python: the hypotheses of all systems in one step, then what is aligned; each step is a worker of its own."""
+    from veritrace.operators import labels
+    from veritrace.plans import pool
+
+    plan = labels.add_labels(pool.merged(spark, "/root/testdata/sf0.001"), split=False)._jdf.queryExecution().executedPlan().toString()
+    after_join = plan[: plan.index("Join")]
+    assert after_join.count("ArrowEvalPython") == 2, after_join
+    assert all(plan.count(f"ArrowEvalPython [{f}(") for f in ("_compose", "_word_distance"))

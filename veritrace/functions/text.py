@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,16 +16,15 @@ _PLAIN = r"^[\x00-\x7F]*$"
 _COMPOSED = r"^[\x00-\x7FÀ-ſ]*$"
 
 
+# Not over iterators of batches: Spark gives each such function a worker of its own in every task, and plain ones of a projection share one.
 @F.pandas_udf(T.StringType())
-def _compose(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for series in texts:
-        yield series.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+def _compose(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
-def _strip_marks(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for series in texts:
-        yield series.map(lambda x: "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c) != "Mn"), na_action="ignore")
+def _strip_marks(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c) != "Mn"), na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())

@@ -21,10 +21,9 @@ def merge_transcriptions(records: DataFrame, results: DataFrame, roles: tuple[st
     wide = results.groupBy("segment_id").pivot("role", list(roles)).agg(F.first("text"))
     wide = wide.select("segment_id", *(F.col(r).alias(f"hyp_{r}") for r in roles))
     rows = records.join(wide, "segment_id", "left")
-    for r in roles:
-        hyp = F.col(f"hyp_{r}")
-        rows = rows.withColumn(f"hyp_{r}_norm", F.when(hyp.isNotNull(), normalize_text(hyp, F.col("lang"), accents, numbers)))
-    return rows
+    normal = lambda hyp: F.when(hyp.isNotNull(), normalize_text(hyp, F.col("lang"), accents, numbers))
+    # all at once: column after column, each would have a Python worker of its own in every task
+    return rows.withColumns({f"hyp_{r}_norm": normal(F.col(f"hyp_{r}")) for r in roles})
 
 
 def coverage(rows: DataFrame, roles: tuple[str, ...] = ROLES) -> DataFrame:
