@@ -139,3 +139,8 @@ def test_small_columns(spark):
     assert 0 < ratios[0][0] < 0.1 and ratios[1][0] == ratios[2][0] == 0
     sound = spark.createDataFrame([([0.5, -0.1], [[1.0, 3.0], [2.0, 4.0]])], "s array<double>, f array<array<double>>").select(clip(F.col("s")).alias("c"), mono(F.col("f")).alias("m")).first()
     assert sound.c == pytest.approx([0.95, -0.38]) and sound.m == [2.0, 3.0]
+
+
+def test_pilot_report_makes_its_rows_once(spark):
+    plan = bundles.pilot_report(labels.with_labels(pool.merged(spark, SF)))._jdf.queryExecution().executedPlan().toString()
+    assert "_compose(" not in plan and "_word_distance(" not in plan

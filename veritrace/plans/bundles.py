@@ -131,6 +131,7 @@ def pilot_report(rows: DataFrame, roles: tuple[str, ...] = ROLES) -> DataFrame:
         prefix = F.concat(F.col(name), F.lit(".")) if name else F.lit("")
         return table.select(prefix.alias("_p"), pair.alias("x")).select(F.lit(section).alias("section"), F.concat("_p", "x.name").alias("name"), "x.value")
 
+    rows = written(rows, "pilot")  # three parts read it
     done = rows.where("hyp_target is not null")
     return union_of([long("systems", wer_by_system(rows, roles), "role"), long("target", corpus_summary(done)), long("spread", label_spread(done))])
 
