@@ -151,3 +151,19 @@ def test_sets_whose_class_is_the_same_by_chance(spark, monkeypatch):
     rows += [(100 + i, t) for i, t in rows[:10]]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows, 5)
+
+
+def test_known_components_take_no_round(spark, monkeypatch):
+    """Stars are done as they come; an edge more is joined to them without starting over."""
+    from veritrace.llm import components
+
+    rounds, write = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, name: rounds.append(name) or write(df, name))
+    stars = [(u, 0) for u in range(1, 30)] + [(u, 100) for u in range(101, 120)]
+    table = lambda edges: spark.createDataFrame(edges, "u long, v long")
+    known = connected_components(table(stars + stars[::3] + [(7, 7), (None, 5), (6, None)]))
+    assert dict(known.collect()) == dict(stars) and len(rounds) == 1
+    rounds.clear()
+    joined = connected_components(known.toDF("u", "v").union(table([(17, 105)])))
+    assert dict(joined.collect()) == dict.fromkeys([*range(1, 30), *range(100, 120)], 0)
+    assert len(rounds) <= 4

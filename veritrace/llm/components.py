@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -21,19 +21,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge down at most, and none if it is the lower end of another: then all components are found."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return not nodes.where("down + up > 1 and down > 0").agg(F.count("*")).first()[0]
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Union-find by alternating star contractions (large-star, small-star).
 
     edges: columns u, v (long). Returns (node, root) for every node of an edge but the roots
     themselves; a root is the least node of its component. Loops, repeated edges and
-    nulls are ignored. Only counts and checksums of the edge table reach the driver; each
-    round's edges are written to the shared folder.
+    nulls are ignored. Only counts reach the driver; each round's edges are written to the shared folder.
+    Edges that are stars around least nodes already take no round: to add edges to known components, give (node, root) of these and the new edges.
     """
-    now = written(edges.select("u", "v").where("u <> v").distinct(), "edges")
-    state = None
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(mark) == state:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = tuple(mark)
-        now = written(_small_star(_large_star(now)), "edges")
+    now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    while not _are_stars(now):
+        before, now = now, written(_small_star(_large_star(now)), "edges")
+        discard(before)
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

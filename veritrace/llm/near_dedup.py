@@ -124,6 +124,11 @@ def _edges(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _known_edges(roots: DataFrame) -> DataFrame:
+    """What is known of components, as edges: far fewer rounds from here than from all links."""
+    return roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+
+
 def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """Of rows (key, class, ...) those of buckets that hold several components, with the component's root."""
     placed = rows.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
@@ -225,8 +230,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     )
     tested = written(_verified(first, sets), "tested")
     linked = F.expr(f"100L * common >= {int(percent)}L * (na + nb - common)")
-    edges = _edges(tested.where(linked))
-    roots = connected_components(edges)
+    roots = connected_components(_edges(tested.where(linked)))
 
     # Buckets that hold several components now: their most supported class is a second hub.
     crowded = members.where("members > 2").select("key", "class", "n")
@@ -235,8 +239,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     again = still_open.join(hubs, "key").where("root <> hub.root")
     again = again.select(F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")).distinct()
     again = written(_verified(again.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets), "tested")
-    edges = edges.union(_edges(again.where(linked)))
-    roots = connected_components(edges)
+    roots = connected_components(_known_edges(roots).union(_edges(again.where(linked))))
 
     # What is open even so is compared across components where a prefix of rare items is shared.
     left = written(_open(still_open.select("key", "class", "n"), roots), "open")
@@ -245,7 +248,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     last = written(_verified(last.join(done, ["a", "b"], "left_anti"), sets), "tested")
     more = written(_edges(last.where(linked)), "links")
     if not more.isEmpty():
-        roots = connected_components(edges.union(more))
+        roots = connected_components(_known_edges(roots).union(more))
     discard(keyed, members, wanted, sets, tested, still_open, again, left, last, more)
     named = prints.select("doc_id", "n_shingles", "class").join(roots.withColumnRenamed("node", "class"), "class", "left")
     named = named.withColumn("root", F.coalesce("root", "class"))
