@@ -195,3 +195,16 @@ def test_replaced_files_are_read_anew(spark, tmp_path):
     spark.catalog.refreshByPath(path)
     after = summaries.corpus_summary(pool.labelled(spark, str(tmp_path))).first().n
     assert 0 < after < before and after <= len(half)
+
+
+def test_fits_of_several_tables_run_side_by_side(spark, monkeypatch):
+    """Fits of one table don't wait for those of another, and each forest is that of its own table and settings."""
+    import threading
+
+    table = spark.createDataFrame([(str(i % 2), [float(i % 7), float(i % 5)], float(i % 7)) for i in range(80)], "fold string, x array<double>, y double")
+    other = table.selectExpr("fold", "array(x[1]) AS x", "-y AS y")
+    jobs = [(table, 2, ["0", "1"], {"steps": 1, "depth": 1}), (other, 1, ["0", "1"], {"steps": 2, "depth": 1})]
+    alone = [trees.fit_folds(t, width, folds, **settings) for t, width, folds, settings in jobs]
+    meet, flat = threading.Barrier(4, timeout=60), trees.flattened
+    monkeypatch.setattr(trees, "flattened", lambda model: (meet.wait(), flat(model))[1])
+    assert trees.fit_all(jobs) == alone

@@ -180,9 +180,9 @@ def score_linear(rows: DataFrame, models: dict[tuple[str, str], Linear], upper:
     return both.withColumn("pred", clipped(pred, upper)).drop("coef", "intercept")
 
 
-def score_trees(rows: DataFrame, names: list[str], folds: list[str], seed: int = 0, robust: bool = False, steps: int = 50, upper: float | None = CLIP[1]) -> DataFrame:
-    """Out-of-fold predictions of boosted trees; robust: absolute loss on samples of rows and features."""
-    forests = trees.fit_folds(rows, len(names), folds, seed=seed, robust=robust, steps=steps)
+def score_trees(rows: DataFrame, names: list[str], folds: list[str], seed: int = 0, robust: bool = False, steps: int = 50, upper: float | None = CLIP[1], forests: dict[str, trees.Forest] | None = None) -> DataFrame:
+    """Out-of-fold predictions of boosted trees; robust: absolute loss on samples of rows and features. forests: fitted already."""
+    forests = forests or trees.fit_folds(rows, len(names), folds, seed=seed, robust=robust, steps=steps)
     both = rows.join(F.broadcast(trees.as_table(rows, forests)), "fold")
     return both.withColumns({"pred": clipped(trees.score(F.col("trees"), F.col("x")), upper), "model": F.lit("xgb" if robust else "hgb")}).drop("trees")
 
@@ -224,13 +224,13 @@ def run_protocol(
     return out.withColumnRenamed("pred", "pred_errors").withColumns({"pred": clipped(rate), "y": F.col("wer")}).drop("wer")
 
 
-def run_protocol_on(table: DataFrame, names: list[str], models: tuple[str, ...], upper: float | None = CLIP[1]) -> DataFrame:
-    """The same on a design table with folds."""
+def run_protocol_on(table: DataFrame, names: list[str], models: tuple[str, ...], upper: float | None = CLIP[1], forests: dict[str, trees.Forest] | None = None) -> DataFrame:
+    """The same on a design table with folds. forests: of the one model hgb or xgb, if they are fitted already."""
     out = score_linear(table, linear_models(table, names, [m for m in models if m not in TREES]), upper)
     for kind in TREES:
         if kind in models:
             folds = sorted(r.fold for r in table.select("fold").distinct().collect())
-            scored = tuned_trees(table, names, folds, upper=upper).drop("setting") if kind == "tuned" else score_trees(table, names, folds, robust=kind == "xgb", upper=upper)
+            scored = tuned_trees(table, names, folds, upper=upper).drop("setting") if kind == "tuned" else score_trees(table, names, folds, robust=kind == "xgb", upper=upper, forests=forests)
             out = out.unionByName(scored, allowMissingColumns=True)
     return out
 
@@ -276,14 +276,17 @@ ABLATION = {
 
 
 def ablation(rows: DataFrame, configurations: dict = ABLATION) -> DataFrame:
-    """Regression metrics of each configuration; the features of all blocks are made once."""
+    """Regression metrics of each configuration; the features of all blocks are made once, trees of all configurations are fitted side by side."""
     table, every = design(rows, ("proxy", "text"), "full")
     table = written(with_folds(table), "design")
+    names_of = {name: [n for n in every if n in feature_names(blocks)] for name, (blocks, _) in configurations.items()}
+    parts = {name: table.withColumn("x", F.array(*(F.col("x")[every.index(n)] for n in names))) for name, names in names_of.items()}
+    grown = [name for name, (_, model) in configurations.items() if model in ("hgb", "xgb")]
+    folds = sorted(r.fold for r in table.select("fold").distinct().collect()) if grown else []
+    forests = dict(zip(grown, trees.fit_all([(parts[name], len(names_of[name]), folds, {"robust": configurations[name][1] == "xgb"}) for name in grown]), strict=True))
     out = None
-    for name, (blocks, model) in configurations.items():
-        names = [n for n in every if n in feature_names(blocks)]
-        part = table.withColumn("x", F.array(*(F.col("x")[every.index(n)] for n in names)))
-        part = regression_metrics(run_protocol_on(part, names, (model,)), "y", "pred", "model").withColumn("config", F.lit(name))
+    for name, (_, model) in configurations.items():
+        part = regression_metrics(run_protocol_on(parts[name], names_of[name], (model,), forests=forests.get(name)), "y", "pred", "model").withColumn("config", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 FOREST = "array<struct<weight: double, levels: int, feature: array<int>, threshold: array<double>, child: array<int>, value: array<double>>>"
 #: Settings of boosted trees that a search tries, and fits that run at the same time.
 GRID: tuple[dict, ...] = ({"depth": 2, "steps": 30}, {"depth": 3, "steps": 30}, {"depth": 3, "steps": 60})
-PARALLEL_FITS = 4
+PARALLEL_FITS = 8
 
 
 @dataclass
@@ -111,9 +111,17 @@ def fit(table: DataFrame, width: int, **settings) -> Forest:
 
 def fit_folds(table: DataFrame, width: int, folds: list[str], **settings) -> dict[str, Forest]:
     """A forest for each fold, fitted on the rows outside it; a few fits run at the same time."""
-    ready = assembled(table.select("fold", "x", "y"), width)
+    return fit_all([(table, width, folds, settings)])[0]
+
+
+def fit_all(jobs: list[tuple[DataFrame, int, list[str], dict]]) -> list[dict[str, Forest]]:
+    """`fit_folds` of several (table, width, folds, settings). A fit is many short jobs one after the other, so those of one table don't wait for those of another."""
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        return dict(zip(folds, pool.map(lambda f: flattened(regressor(**settings).fit(ready.where(F.col("fold") != f))), folds), strict=True))
+        running = []
+        for table, width, folds, settings in jobs:
+            ready = assembled(table.select("fold", "x", "y"), width)
+            running.append({f: pool.submit(lambda f=f, ready=ready, settings=settings: flattened(regressor(**settings).fit(ready.where(F.col("fold") != f)))) for f in folds})
+        return [{f: fit.result() for f, fit in own.items()} for own in running]
 
 
 def as_table(table: DataFrame, forests: dict[str, Forest]) -> DataFrame:
